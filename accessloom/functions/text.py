@@ -58,7 +58,8 @@ def _fold_tables() -> tuple[str, str, dict[str, str], str]:
 def _fold_accents(c: Column) -> Column:
     src, dst, many, marks = _fold_tables()
     single = F.translate(c, src, dst)
-    pairs = F.create_map(*[F.lit(x) for kv in many.items() for x in kv])
+    listed = "\u0001".join(f"{ch}\u0002{spelled}" for ch, spelled in many.items())
+    pairs = F.str_to_map(F.lit(listed), F.lit("\u0001"), F.lit("\u0002"))
     spelled = F.array_join(
         F.transform(
             F.regexp_extract_all(single, F.lit("(?s)(.)"), 1),

@@ -76,9 +76,12 @@ class Fixtures:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
 
     # ---- resolved graph -------------------------------------------------------------------
 
@@ -181,7 +184,7 @@ class Fixtures:
             F.when(o % 2 == 0, "accept").otherwise("suppress").alias("action"),
             shifted(-days).alias("created_at"),
             F.when(o % 3 == 1, shifted(F.lit(-1))).when(o % 3 == 2, shifted(F.lit(30))).alias("expires_at"), o)
-        newer = chosen.filter(o % 46 == 0).withColumn("created_at", shifted(F.lit(0))).withColumn(
+        newer = chosen.filter(o % 92 == 0).withColumn("created_at", shifted(F.lit(0))).withColumn(
             "expires_at", as_of)
         return chosen.unionByName(newer).drop("o_orderkey")
 
