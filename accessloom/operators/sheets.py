@@ -50,10 +50,11 @@ def sheet_layout(cells: DataFrame, headers: Sequence[str] = EXPECTED_HEADERS) ->
 def elect_primary(layout: DataFrame) -> DataFrame:
     """(sheet, header_row, max_date, is_primary): the newest sheet; undated last, ties to the first name."""
     by_sheet = layout.groupBy("sheet").agg(F.min("header_row").alias("header_row"), F.max("max_date").alias("max_date"))
-    newest = by_sheet.agg(F.max(F.coalesce("max_date", F.lit("0001-01-01").cast("date"))).alias("_best"))
-    best = by_sheet.crossJoin(newest).filter(F.coalesce("max_date", F.lit("0001-01-01").cast("date")) == F.col("_best"))
-    primary = best.agg(F.min("sheet").alias("_primary"))
-    return by_sheet.crossJoin(primary).select("sheet", "header_row", "max_date", (F.col("sheet") == F.col("_primary")).alias("is_primary"))
+    age = -F.unix_date(F.coalesce("max_date", F.lit("0001-01-01").cast("date")))
+    primary = by_sheet.agg(F.min(F.struct(age.alias("age"), "sheet")).alias("best")).select(
+        F.col("best.sheet").alias("sheet"), F.lit(True).alias("_first"))
+    return by_sheet.join(primary, "sheet", "left").select(
+        "sheet", "header_row", "max_date", F.col("_first").isNotNull().alias("is_primary"))
 
 
 def sheet_rows(cells: DataFrame, layout: DataFrame, headers: Sequence[str] = EXPECTED_HEADERS) -> DataFrame:
