@@ -225,8 +225,9 @@ def all_findings(
 
 
 def active_dispositions(dispositions: DataFrame, as_of: Column) -> DataFrame:
-    """Latest disposition per finding key, kept only while it is valid."""
-    latest = first_per_key(dispositions, ["finding_key"], [F.desc("created_at")])
+    """Latest disposition per finding key, kept only while it is valid; ties go to the earlier expiry."""
+    newest = [F.desc("created_at"), F.asc_nulls_last("expires_at"), F.col("action")]
+    latest = first_per_key(dispositions, ["finding_key"], newest)
     return latest.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)).select("finding_key", "action")
 
 
