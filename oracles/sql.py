@@ -57,7 +57,11 @@ def _near(a: str, b: str) -> str:
 
 
 def _ratio(a: str, b: str) -> str:
-    return f"(100 * (1.0 - (length({a})+length({b})-2*{_lcs(a, b)})::DOUBLE / (length({a})+length({b}))))"
+    """Indel distance equals Levenshtein when only one side loses characters; one substitution costs 2."""
+    total = f"length({a})+length({b})"
+    distance = f"""CASE WHEN levenshtein({a},{b})=abs(length({a})-length({b})) THEN levenshtein({a},{b})
+      WHEN length({a})=length({b}) AND levenshtein({a},{b})=1 THEN 2 ELSE {total}-2*{_lcs(a, b)} END"""
+    return f"(100 * (1.0 - ({distance})::DOUBLE / ({total})))"
 
 
 AS_OF = "TIMESTAMP '2001-12-31 00:00:00'"
