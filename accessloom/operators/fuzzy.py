@@ -94,7 +94,9 @@ def similar_names(probes: DataFrame, index: DataFrame, scope: Sequence[str] = ()
 
     def distinct_names(df: DataFrame) -> DataFrame:
         named = df.select(*scope, "name").filter(F.col("name") != "").distinct()
-        return named.withColumn("name_len", F.length("name"))
+        # Each name grows into many rows, so names are spread evenly and not merged into few tasks.
+        spread = named.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *scope, "name")
+        return spread.withColumn("name_len", F.length("name"))
 
     probe, known = distinct_names(probes), distinct_names(index)
     total = F.col("probe_len") + F.col("index_len")

@@ -29,9 +29,9 @@ def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
     frontier = start.join(steps.select(F.col("child_id").alias("root_id")).distinct(), "root_id", "left_semi")
     levels: list[DataFrame] = []
     visited = frontier.select("root_id", "node_id")
-    for depth in range(1, max_depth + 1):
+    for _ in range(max_depth):
         onward = frontier.join(steps, frontier["node_id"] == steps["child_id"]).select(
-            "root_id", F.col("parent_id").alias("node_id"), F.lit(depth).alias("depth"),
+            "root_id", F.col("parent_id").alias("node_id"), (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array("parent_id")).alias("path"),
             F.concat("path_names", F.array("parent_name")).alias("path_names"))
         fresh = onward.join(visited, ["root_id", "node_id"], "left_anti")

@@ -16,8 +16,10 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return ranked.filter(F.col("_rn") <= n).drop("_rn")
 
 
-def position_in_group(df: DataFrame, keys: Sequence[str], line: str, out: str, slice_width: int = 1_000_000) -> DataFrame:
-    """0-based position by ``line`` within each key.
+def position_in_group(
+    df: DataFrame, keys: Sequence[str], line: str, out: str, ties: Sequence[str] = (), slice_width: int = 1_000_000
+) -> DataFrame:
+    """0-based position by ``line`` (then ``ties``) within each key.
 
     A group is cut into slices of ``slice_width`` line numbers; rows are ranked inside a slice and
     shifted by the size of the slices before it, so one huge group spreads over many tasks.
@@ -29,7 +31,7 @@ def position_in_group(df: DataFrame, keys: Sequence[str], line: str, out: str, s
         sliced.groupBy(*slice_keys).agg(F.count("*").alias("_n"))
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     )
-    local = F.row_number().over(Window.partitionBy(*slice_keys).orderBy(line)) - 1
+    local = F.row_number().over(Window.partitionBy(*slice_keys).orderBy(line, *ties)) - 1
     return (
         sliced.withColumn("_local", local).join(offsets, slice_keys, "inner")
         .withColumn(out, (F.col("_local") + F.col("_offset")).cast("bigint"))

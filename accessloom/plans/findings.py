@@ -6,7 +6,7 @@ privileged-grant join. All thresholds, rule pairs and the as-of instant are para
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +16,7 @@ from accessloom.functions.text import contains_ci
 from accessloom.operators.joins import lookup
 from accessloom.operators.merge import EXISTING
 from accessloom.operators.rank import first_per_key
+from accessloom.session import cut_lineage
 
 TERM_COLUMNS = ("base_points", "privileged_points", "context_points", "extra_points")
 
@@ -114,11 +115,13 @@ def account_findings(
     facts: DataFrame, as_of: Column, dormant_days: int = 180, rules: tuple[str, ...] = ACCOUNT_RULES
 ) -> DataFrame:
     """The chosen account rules in one pass: each fact row yields one finding per rule that applies."""
-    built = dict(zip(ACCOUNT_RULES, (
-        _terminated(as_of), _orphaned(), _dormant(as_of, dormant_days), _unowned_non_human())))
-    hits = [F.when(applies, finding).cast(FINDING_TYPE) for applies, finding in (built[r] for r in rules)]
+    makers = {
+        "TERMINATED_WITH_ACTIVE_ACCESS": lambda: _terminated(as_of), "ORPHANED_ACCOUNT": _orphaned,
+        "DORMANT_ACCOUNT": lambda: _dormant(as_of, dormant_days), "UNOWNED_NON_HUMAN_IDENTITY": _unowned_non_human}
+    built = [makers[r]() for r in rules]
+    hits = [F.when(applies, finding).cast(FINDING_TYPE) for applies, finding in built]
     if len(rules) == 1:
-        return facts.filter(built[rules[0]][0]).select(hits[0].alias("f")).select("f.*")
+        return facts.filter(built[0][0]).select(hits[0].alias("f")).select("f.*")
     return facts.select(F.inline(F.filter(F.array(*hits), lambda f: f.isNotNull())))
 
 
@@ -202,6 +205,19 @@ def missing_managers(g: Graph, executive_department: str) -> DataFrame:
     return hit.select(finding.alias("f")).select("f.*")
 
 
+def with_notable_grants(g: Graph, sod_pairs: list[tuple[str, str, str]]) -> Graph:
+    """The graph cut down to grants a rule can use: privileged ones and both sides of the rule pairs.
+
+    All rules then read one small table written by a single pass over the grants.
+    """
+    notable = F.col("privileged")
+    for _, left, right in sod_pairs:
+        notable = notable | contains_ci(F.col("name"), left) | contains_ci(F.col("name"), right)
+    chosen = g.entitlements.filter(notable).select("entitlement_id")
+    grants = g.grants.select("account_id", "entitlement_id").join(chosen, "entitlement_id", "left_semi")
+    return replace(g, grants=cut_lineage(grants))
+
+
 FINDING_COLUMNS = ("rule_code", "subject_type", "subject_id", "severity", "risk_score", *TERM_COLUMNS, "explanation")
 
 
@@ -216,6 +232,7 @@ def all_findings(
     dormant_days: int = 180, min_cohort_size: int = 8, prevalence_ceiling: float = 0.10,
 ) -> DataFrame:
     """Union of the seven rules at one row per (rule, subject)."""
+    g = with_notable_grants(g, sod_pairs)
     outliers = collapse(
         peer_outliers(g, min_cohort_size, prevalence_ceiling), [F.col("prevalence"), F.col("entitlement_id")])
     sod = collapse(sod_conflicts(g, sod_pairs), [F.col("pair")])

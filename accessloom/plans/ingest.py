@@ -55,12 +55,13 @@ ACCOUNT_COLUMNS = (
 
 
 def _latest_accounts(rows: DataFrame) -> DataFrame:
-    return merge.upsert(None, rows.select(*ACCOUNT_COLUMNS), ["application", "native_id"], [F.col("source_line")])
+    latest = [F.col("source_line"), F.xxhash64(*ACCOUNT_COLUMNS)]
+    return merge.upsert(None, rows.select(*ACCOUNT_COLUMNS), ["application", "native_id"], latest)
 
 
 def _first_entitlements(rows: DataFrame) -> DataFrame:
     columns = ["application", "native_id", "name", "type", "privileged", "source_line"]
-    kept = merge.insert_absent(None, rows.select(*columns), ["application", "native_id"], [F.col("source_line")])
+    kept = merge.insert_absent(None, rows.select(*columns), ["application", "native_id"], [F.col("source_line"), F.col("name")])
     return kept.drop("source_line")
 
 

@@ -13,12 +13,17 @@ MALFORMED = "MALFORMED_CSV_ROW"
 COLLISION = "EMPLOYEE_ID_COLLISION"
 
 
+def _row_key(df: DataFrame) -> list[str]:
+    """Line numbers count per file, so feeds of several files are keyed by both."""
+    return [c for c in ("source_line", "source_file") if c in df.columns]
+
+
 def _parsed(raw: DataFrame) -> DataFrame:
     termination = dates.flexible_date(F.col("termination_date"))
     left = termination.isNotNull() | (F.col("status") == "Terminated")
     manager = text.strip(F.coalesce("manager_employee_id", F.lit("")))
     return raw.filter(~F.col("malformed")).select(
-        "source_line", text.normalize_employee_id(F.col("employee_id")).alias("norm_id"),
+        *_row_key(raw), text.normalize_employee_id(F.col("employee_id")).alias("norm_id"),
         F.col("full_name").alias("name"), text.normalize_name(F.col("full_name")).alias("norm_name"),
         F.lower(text.strip(F.col("work_email"))).alias("email"),
         text.email_local(F.col("work_email")).alias("email_localpart"),
@@ -34,7 +39,7 @@ def _parsed(raw: DataFrame) -> DataFrame:
 def _collided(parsed: DataFrame, corporate_domain: str) -> DataFrame:
     """Members of every shared employee id: group facts, position, and whether all are provably different."""
     shared = parsed.groupBy("norm_id").agg(F.count("*").alias("n")).filter("n > 1").select("norm_id")
-    members = parsed.select("norm_id", "source_line", "email", "norm_name", "_domain").join(shared, "norm_id", "left_semi")
+    members = parsed.select("norm_id", *_row_key(parsed), "email", "norm_name", "_domain").join(shared, "norm_id", "left_semi")
     members = cut_lineage(members)
     groups = members.groupBy("norm_id").agg(
         F.count("*").alias("group_size"), F.count_distinct("email").alias("emails"),
@@ -42,7 +47,7 @@ def _collided(parsed: DataFrame, corporate_domain: str) -> DataFrame:
     distinct_people = (F.col("emails") == F.col("group_size")) & (F.col("names") == F.col("group_size"))
     members = members.drop("_domain").join(
         groups.withColumn("resolvable", distinct_people & F.col("corporate")), "norm_id")
-    return position_in_group(members, ["norm_id"], "source_line", "group_index")
+    return position_in_group(members, ["norm_id"], "source_line", "group_index", _row_key(parsed)[1:])
 
 
 def roster_collisions(raw: DataFrame, corporate_domain: str) -> DataFrame:
@@ -56,10 +61,10 @@ def standardise_roster(raw: DataFrame, corporate_domain: str) -> DataFrame:
     ``raw`` has the roster columns as text plus source_line and the ragged-row flag ``malformed``.
     ``canonical_employee_id`` is null when no person is built for the row.
     """
-    parsed = _parsed(raw)
+    parsed, row_key = _parsed(raw), _row_key(raw)
     members = cut_lineage(_collided(parsed, corporate_domain).select(
-        "source_line", "group_size", "resolvable", "group_index"))
-    rows = parsed.join(members, "source_line", "left")
+        *row_key, "group_size", "resolvable", "group_index"))
+    rows = parsed.join(members, row_key, "left")
     suffix = F.when(F.col("group_index") > 0, F.concat(F.lit("-DUP"), F.col("group_index").cast("string"))).otherwise("")
     blocked = F.col("group_size").isNotNull() & ~F.col("resolvable")
     rows = rows.withColumn("canonical_employee_id", F.when(~blocked, F.concat("norm_id", suffix)))
@@ -67,8 +72,8 @@ def standardise_roster(raw: DataFrame, corporate_domain: str) -> DataFrame:
     # A shared id resolves to its last built member, as later rows overwrite earlier ones.
     managers = (
         rows.filter(F.col("canonical_employee_id").isNotNull()).groupBy(F.col("norm_id").alias("_manager_key"))
-        .agg(F.max_by(F.struct("canonical_employee_id", "lifecycle_status"), "source_line").alias("_manager")))
-    rows = lookup(rows, "manager_norm_id", managers, "_manager_key", ["source_line"])
+        .agg(F.max_by(F.struct("canonical_employee_id", "lifecycle_status"), F.struct(*row_key)).alias("_manager")))
+    rows = lookup(rows, "manager_norm_id", managers, "_manager_key", row_key)
     linked = F.col("_manager.canonical_employee_id")
     built = F.col("canonical_employee_id").isNotNull()
     reason = (
@@ -81,7 +86,7 @@ def standardise_roster(raw: DataFrame, corporate_domain: str) -> DataFrame:
         .otherwise("OK"))
     collided = F.col("group_size").isNotNull()
     outcome = rows.select(
-        "source_line", "canonical_employee_id", "norm_id", "name", "norm_name", "email", "email_localpart", "title",
+        *row_key, "canonical_employee_id", "norm_id", "name", "norm_name", "email", "email_localpart", "title",
         "department", "location", "hire_date", "hire_date_error", "termination_date", "lifecycle_status",
         "status_date_conflict", F.when(built, linked).alias("manager_employee_id"),
         F.when(collided, "quarantined").otherwise("normalized").alias("stage"), reason.alias("reason_code"),
@@ -90,7 +95,7 @@ def standardise_roster(raw: DataFrame, corporate_domain: str) -> DataFrame:
         F.when(F.col("group_index") > 0, F.col("norm_id")).alias("disputed_employee_id"),
         "group_size")
     malformed = raw.filter("malformed").select(
-        "source_line", F.lit("quarantined").alias("stage"), F.lit(MALFORMED).alias("reason_code"),
+        *row_key, F.lit("quarantined").alias("stage"), F.lit(MALFORMED).alias("reason_code"),
         F.lit(MALFORMED).alias("quarantine_reason"), F.lit("open").alias("quarantine_status"))
     return outcome.unionByName(malformed, allowMissingColumns=True)
 
@@ -128,7 +133,7 @@ def quarantine(records: DataFrame) -> DataFrame:
     held = records.filter(F.col("quarantine_reason").isNotNull())
     resolved = F.col("quarantine_status") == "resolved"
     return held.select(
-        "source_line", F.col("quarantine_reason").alias("reason_code"),
+        *_row_key(records), F.col("quarantine_reason").alias("reason_code"),
         _explain(F.col("group_size").isNotNull()).alias("explanation"),
         F.col("norm_id").alias("candidate_ids"), F.col("quarantine_status").alias("status"),
         F.when(resolved, "Unique corporate email and unique name.").alias("resolution"),
