@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -431,6 +432,34 @@ def multi_account_people(f: Fixtures) -> DataFrame:
     return evaluate.multi_account_people(cloud.unionByName(directory))
 
 
+def reconcile_all(f: Fixtures) -> DataFrame:
+    """Reason codes of all account feeds loaded in order."""
+    feeds = {
+        "cloud_directory": f.cloud_raw(), "directory": f.directory_raw(), "crm": f.crm_raw(),
+        "iam_users": f.iam_users_raw(), "iam_roles": f.iam_roles_raw(), "cells": f.cells_raw()}
+    loaded = ingest.ingest_all(feeds, _people(f), fx.CORPORATE_DOMAIN, fx.CONTEXT_DEPARTMENT)
+    counted = [
+        quality.reconcile(result.records).select(F.lit(source).alias("source"), "stage", "reason_code", "row_count")
+        for source, result in loaded.items()]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def quarantine_open(f: Fixtures) -> DataFrame:
+    """The first 200 open quarantine rows."""
+    return triage.open_quarantine(roster.quarantine(_roster_records(f))).select("reason_code", "source_line", "candidate_ids")
+
+
+def quarantine_counts(f: Fixtures) -> DataFrame:
+    return evaluate.quarantine_counts(roster.quarantine(_roster_records(f)))
+
+
+def workflow_recent(f: Fixtures) -> DataFrame:
+    """The latest 100 workflow runs."""
+    ordered = f.lifecycle_events().withColumn("_first", F.struct("created_at", "event_id"))
+    return lifecycle.recent_runs(lifecycle.workflow_runs(ordered, "_first"), "created_at").select(
+        "idempotency_key", "workflow_type", "event_id")
+
+
 QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "finding_terminated_active": _account_rule("TERMINATED_WITH_ACTIVE_ACCESS"),
     "finding_orphaned": _account_rule("ORPHANED_ACCOUNT"),
@@ -447,7 +476,8 @@ QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
         birthright, joiner_plan, mover_delta, leaver_plan, leaver_replay, leaver_remaining_grants, leaver_audit,
         workflow_dedup, campaign_items, campaign_launch_gate, campaign_rejected, campaign_progress, evidence_pack,
         execute_revocations, campaign_why_not, run_diff, run_reconcile, source_health, overall_health, exec_value,
-        correlation_eval, iam_eval, multi_account_people)},
+        correlation_eval, iam_eval, multi_account_people, reconcile_all, quarantine_open, quarantine_counts,
+        workflow_recent)},
 }
 
 

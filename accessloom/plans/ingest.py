@@ -2,6 +2,7 @@
 
 Each function returns an ``Ingest``: one outcome row per source row plus the business rows it adds.
 Accounts keep the last row per native id, entitlements the first, links and edges are unique.
+The matched rows of a feed are written once as a table, and every output reads that table.
 """
 
 from __future__ import annotations
@@ -96,6 +97,7 @@ def ingest_cloud_directory(feed: DataFrame, people: Directory, application: str
         "*", F.lit(application).alias("application"), F.col("account_key").alias("native_id"),
         F.lit("human").alias("account_type"), F.col("matched_identity_id").alias("owner_identity_id"),
         F.when(matched, "owned").otherwise("unresolved").alias("ownership_status"))
+    rows = cut_lineage(rows)
     reason = (
         F.when(matched, "AUTO_MATCHED").when(F.col("decision") == "quarantine", "CORRELATION_AMBIGUOUS")
         .otherwise("NO_IDENTITY_MATCH"))
@@ -168,6 +170,7 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
         "*", F.lit(application).alias("application"), F.col("sam").alias("native_id"),
         F.when(service, "service").otherwise("human").alias("account_type"), owner.alias("owner_identity_id"),
         ownership.alias("ownership_status"))
+    rows = cut_lineage(rows)
     service_owned = service & F.col("mentioned_id").isNotNull()
     reason = (
         F.when(F.col("decision") == "auto_match", "OK").when(F.col("sam_match"), "OK_SAM_MATCH")
@@ -217,6 +220,7 @@ def ingest_crm(feed: DataFrame, people: Directory, primary_domain: str, applicat
         "*", F.lit(application).alias("application"), F.col("username").alias("native_id"),
         F.lit("human").alias("account_type"), F.col("matched_identity_id").alias("owner_identity_id"),
         F.when(matched, "owned").otherwise("unresolved").alias("ownership_status"))
+    rows = cut_lineage(rows)
     reason = (
         F.when(matched, "OK").when((F.col("domain") != "") & (F.col("domain") != primary_domain), "CORRELATION_LEGACY_DOMAIN")
         .when(F.col("decision") == "quarantine", "CORRELATION_AMBIGUOUS").otherwise("NO_IDENTITY_MATCH"))
@@ -337,7 +341,10 @@ def ingest_spreadsheet(
 def ingest_all(
     spark_feeds: dict[str, DataFrame], people: Directory, primary_domain: str, context_department: str
 ) -> dict[str, Ingest]:
-    """All account feeds against one roster, in fixed order; a missing feed stops the load."""
+    """All account feeds against one roster, in fixed order; a missing feed stops the load.
+
+    Later feeds see the contractors the directory feed adds, as a published table.
+    """
     needed = ("cloud_directory", "directory", "crm", "iam_users", "iam_roles", "cells")
     missing = [name for name in needed if name not in spark_feeds]
     if missing:
@@ -348,8 +355,8 @@ def ingest_all(
     contractors = result["directory"]
     known = replace(
         people,
-        identities=people.identities.unionByName(contractors.identities, allowMissingColumns=True),
-        aliases=people.aliases.unionByName(contractors.aliases))
+        identities=people.identities.unionByName(cut_lineage(contractors.identities), allowMissingColumns=True),
+        aliases=people.aliases.unionByName(cut_lineage(contractors.aliases)))
     result["crm"] = ingest_crm(spark_feeds["crm"], known, primary_domain)
     result["cloud_iam"] = ingest_cloud_iam(spark_feeds["iam_users"], spark_feeds["iam_roles"], known)
     result["spreadsheet"] = ingest_spreadsheet(spark_feeds["cells"], known, context_department)

@@ -299,6 +299,20 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         CASE WHEN h.holders=1 THEN 'normalized' ELSE 'quarantined' END AS stage,
         CASE WHEN h.holders=1 THEN 'OK' WHEN h.holders>1 THEN 'CORRELATION_AMBIGUOUS' ELSE 'UNOWNED_NON_HUMAN_IDENTITY' END AS reason_code
       FROM iam_raw LEFT JOIN local_holder h ON h.local=username""", ("iam_raw", "local_holder")),
+    "dir_stage": ("""SELECT reason_code, CASE WHEN reason_code IN ('CORRELATION_AMBIGUOUS','UNOWNED_SERVICE_ACCOUNT','ORPHANED_DIRECTORY_ACCOUNT')
+          THEN 'quarantined' ELSE 'normalized' END AS stage FROM dir""", ("dir",)),
+    "crm_record": ("""SELECT r.source_line, native_id, decision, best_score, CASE WHEN decision='auto_match' THEN best_id END AS owner_identity_id,
+        CASE WHEN decision='auto_match' THEN 'owned' ELSE 'unresolved' END AS ownership_status, enabled,
+        CASE WHEN decision='auto_match' THEN 'normalized' ELSE 'quarantined' END AS stage,
+        CASE WHEN decision='auto_match' THEN 'OK' WHEN NOT corporate THEN 'CORRELATION_LEGACY_DOMAIN'
+          WHEN decision='quarantine' THEN 'CORRELATION_AMBIGUOUS' ELSE 'NO_IDENTITY_MATCH' END AS reason_code
+      FROM crm_raw r JOIN scored_crm s ON s.source_line=r.source_line""", ("crm_raw", "scored_crm")),
+    "sheet_record": ("""SELECT s.sheet, s.source_line, s.raw_name, s.role, r.identity_id, r.match_rule,
+        CASE WHEN NOT is_primary THEN 'STALE_WORKSHEET_EXCLUDED' WHEN r.identity_id IS NULL THEN 'NAME_MATCH_AMBIGUOUS'
+          WHEN r.match_rule<>'email_localpart_exact' AND p.department<>'NATION_1' THEN 'NAME_MATCH_MISSING_ROLE_CONTEXT' ELSE 'OK' END AS reason_code,
+        CASE WHEN reason_code='OK' THEN 'normalized' ELSE 'quarantined' END AS stage
+      FROM sheet_row s LEFT JOIN resolved r ON s.is_primary AND r.raw_name=s.raw_name LEFT JOIN person p ON p.identity_id=r.identity_id""",
+                     ("sheet_row", "resolved", "person")),
     "dir": ("""SELECT d.*, s.decision, CASE WHEN decision='auto_match' THEN 'human' WHEN kind='service' THEN 'service' ELSE 'human' END AS account_type,
         CASE WHEN decision='auto_match' THEN best_id WHEN holders=1 THEN holder_id WHEN kind='contractor' THEN 'contractor:'||lower(sam)
           WHEN kind='service' THEN mentioned END AS owner_identity_id,
@@ -356,8 +370,14 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       FROM (SELECT DISTINCT raw_name FROM sheet_row WHERE is_primary)""", ("sheet_row",)),
     "sorted_person": ("""SELECT array_to_string(list_sort(string_split(norm_name,' ')),' ') AS sorted_norm, count(*) AS holders,
         min(identity_id) AS identity_id FROM person GROUP BY 1""", ("person",)),
-    "fuzzy_pair": (f"""SELECT a.raw_name, p.sorted_norm, p.holders, p.identity_id, {_ratio('a.sorted_norm', 'p.sorted_norm')} AS ratio
+    "near_pair": (f"""SELECT a.raw_name, a.sorted_norm AS asked_norm, p.sorted_norm, p.holders, p.identity_id
       FROM asked a JOIN sorted_person p ON {_near('a.sorted_norm', 'p.sorted_norm')} WHERE a.form='full'""", ("asked", "sorted_person")),
+    "fuzzy_pair": (f"""SELECT raw_name, sorted_norm, holders, identity_id, {_ratio('asked_norm', 'sorted_norm')} AS ratio FROM near_pair""",
+                   ("near_pair",)),
+    "near_name": (f"""SELECT a.n AS probe_name, b.n AS index_name
+      FROM (SELECT DISTINCT array_to_string(list_sort(string_split({_norm('shown')},' ')),' ') AS n FROM cloud_raw) a
+      JOIN (SELECT DISTINCT array_to_string(list_sort(string_split({_norm('full_name')},' ')),' ') AS n FROM roster_raw) b
+      ON {_near('a.n', 'b.n')}""", ("cloud_raw", "roster_raw")),
     "fuzzy_top": ("""SELECT raw_name, identity_id FROM (SELECT *, row_number() OVER (PARTITION BY raw_name ORDER BY ratio DESC, sorted_norm) rn,
         lead(ratio) OVER (PARTITION BY raw_name ORDER BY ratio DESC, sorted_norm) AS next_ratio FROM fuzzy_pair WHERE ratio>=90)
       WHERE rn=1 AND holders=1 AND (next_ratio IS NULL OR ratio-next_ratio>=5)""", ("fuzzy_pair",)),
@@ -382,30 +402,35 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
 }
 
 
-def _scored(feed: str) -> dict[str, tuple[str, tuple[str, ...]]]:
+def _scored(feed: str, tag: str = "") -> dict[str, tuple[str, tuple[str, ...]]]:
     """Candidates and decision of an account feed with local, corporate, shown and employee_id."""
     agree = f"""CASE WHEN norm_shown<>'' AND norm_shown=p.norm_name THEN 2 WHEN {_near('norm_shown', 'p.norm_name')}
         AND norm_shown<>'' THEN CASE WHEN {_ratio('norm_shown', 'p.norm_name')}>=90 THEN 1 ELSE 0 END ELSE 0 END"""
     return {
-        "probe": (f"SELECT *, {_norm('shown')} AS norm_shown FROM {feed}", (feed,)),
-        "candidate": (f"""SELECT source_line, identity_id, max(base)+CASE max(tier) WHEN 2 THEN 20 WHEN 1 THEN 15 ELSE 0 END AS score,
+        f"probe{tag}": (f"SELECT *, {_norm('shown')} AS norm_shown FROM {feed}", (feed,)),
+        f"candidate{tag}": (f"""SELECT source_line, identity_id, max(base)+CASE max(tier) WHEN 2 THEN 20 WHEN 1 THEN 15 ELSE 0 END AS score,
             arg_max(rule, base)||CASE max(tier) WHEN 2 THEN '+EXACT_NAME' WHEN 1 THEN '+FUZZY_NAME' ELSE '' END AS rule FROM (
             SELECT r.source_line, p.identity_id, 65 AS base, 'EMPLOYEE_ID_MATCH' AS rule, {agree} AS tier
-              FROM probe r JOIN person p ON p.identity_id=r.employee_id
+              FROM probe{tag} r JOIN person p ON p.identity_id=r.employee_id
             UNION ALL SELECT r.source_line, p.identity_id, CASE WHEN corporate THEN 60 ELSE 40 END,
               CASE WHEN corporate THEN 'CORPORATE_LOCALPART_MATCH' ELSE 'NONCORPORATE_LOCALPART_MATCH' END, {agree}
-              FROM probe r JOIN person p ON p.local=r.local) GROUP BY source_line, identity_id""", ("probe", "person")),
-        "ranked": ("""SELECT *, row_number() OVER (PARTITION BY source_line ORDER BY score DESC, identity_id) AS rn FROM candidate""", ("candidate",)),
-        "scored": (f"""SELECT r.source_line, a.score AS best_score, a.identity_id AS best_id, b.score AS runner_up_score,
+              FROM probe{tag} r JOIN person p ON p.local=r.local) GROUP BY source_line, identity_id""", (f"probe{tag}", "person")),
+        f"ranked{tag}": (f"""SELECT *, row_number() OVER (PARTITION BY source_line ORDER BY score DESC, identity_id) AS rn
+          FROM candidate{tag}""", (f"candidate{tag}",)),
+        f"scored{tag}": (f"""SELECT r.source_line, a.score AS best_score, a.identity_id AS best_id, b.score AS runner_up_score,
             CASE WHEN coalesce(a.score,0)<50 THEN 'unmatched' WHEN b.score>=50 AND a.score-b.score<10 THEN 'quarantine'
               WHEN a.score>=80 THEN 'auto_match' ELSE 'quarantine' END AS decision
-          FROM {feed} r LEFT JOIN ranked a ON a.source_line=r.source_line AND a.rn=1
-          LEFT JOIN ranked b ON b.source_line=r.source_line AND b.rn=2""", (feed, "ranked")),
+          FROM {feed} r LEFT JOIN ranked{tag} a ON a.source_line=r.source_line AND a.rn=1
+          LEFT JOIN ranked{tag} b ON b.source_line=r.source_line AND b.rn=2""", (feed, f"ranked{tag}")),
     }
 
 
+# Pair lists are kept as such, so the costly ratio is not evaluated inside the join.
+_KEPT = {"near_pair": "MATERIALIZED ", "near_name": "MATERIALIZED "}
+
+
 def _statement(final: str, *needed: str, feed: str | None = None) -> str:
-    ctes = {**CTES, **(_scored(feed) if feed else {})}
+    ctes = {**CTES, **_scored("cloud_raw", "_cloud"), **_scored("crm_raw", "_crm"), **(_scored(feed) if feed else {})}
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -417,7 +442,7 @@ def _statement(final: str, *needed: str, feed: str | None = None) -> str:
 
     for name in needed:
         add(name)
-    parts = ",\n".join(f"{name} AS ({ctes[name][0]})" for name in order)
+    parts = ",\n".join(f"{name} AS {_KEPT.get(name, '')}({ctes[name][0]})" for name in order)
     return f"WITH RECURSIVE {parts}\n{final}" if parts else final
 
 
@@ -485,12 +510,7 @@ ORACLES: dict[str, str] = {
     "directory_grants": _statement("""SELECT DISTINCT sam AS account_native_id, g AS entitlement_native_id
       FROM (SELECT sam, unnest(string_split(member_of,';')) AS g FROM dir_raw) WHERE g<>''""", "dir_raw"),
     "text_owner_mention": _statement("SELECT text, mentioned AS identity_id FROM mention", "mention"),
-    "crm_accounts": _statement("""SELECT r.source_line, native_id, decision, best_score, CASE WHEN decision='auto_match' THEN best_id END AS owner_identity_id,
-        CASE WHEN decision='auto_match' THEN 'owned' ELSE 'unresolved' END AS ownership_status, enabled,
-        CASE WHEN decision='auto_match' THEN 'normalized' ELSE 'quarantined' END AS stage,
-        CASE WHEN decision='auto_match' THEN 'OK' WHEN NOT corporate THEN 'CORRELATION_LEGACY_DOMAIN'
-          WHEN decision='quarantine' THEN 'CORRELATION_AMBIGUOUS' ELSE 'NO_IDENTITY_MATCH' END AS reason_code
-      FROM crm_raw r JOIN scored s ON s.source_line=r.source_line""", "crm_raw", "scored", feed="crm_raw"),
+    "crm_accounts": _statement("SELECT * FROM crm_record", "crm_record"),
     "crm_grants": _statement("""SELECT native_id AS account_native_id, 'profile:'||profile AS entitlement_native_id, 'profile' AS type,
         (profile IN ('System Administrator','Sales Admin'))::INT AS privileged FROM crm_raw
       UNION SELECT native_id, 'permset:'||p, 'permission_set', (p IN ('Revenue_Admin','Data_Export'))::INT
@@ -503,17 +523,10 @@ ORACLES: dict[str, str] = {
     "sheet_header_detect": _statement("SELECT sheet, header_row FROM header", "header"),
     "sheet_primary": _statement("""SELECT sheet, header_row, max_date::VARCHAR AS max_date,
         (sheet=(SELECT arg_max(sheet, max_date) FROM sheet_date))::INT AS is_primary FROM sheet_date""", "sheet_date"),
-    "sheet_name_match": _statement("""SELECT s.sheet, s.source_line::INT AS source_line, s.raw_name, s.role, r.identity_id, r.match_rule,
-        CASE WHEN reason_code='OK' THEN 'normalized' ELSE 'quarantined' END AS stage, reason_code FROM (
-        SELECT s.*, CASE WHEN NOT is_primary THEN 'STALE_WORKSHEET_EXCLUDED' WHEN r.identity_id IS NULL THEN 'NAME_MATCH_AMBIGUOUS'
-          WHEN r.match_rule<>'email_localpart_exact' AND p.department<>'NATION_1' THEN 'NAME_MATCH_MISSING_ROLE_CONTEXT' ELSE 'OK' END AS reason_code
-        FROM sheet_row s LEFT JOIN resolved r ON s.is_primary AND r.raw_name=s.raw_name LEFT JOIN person p ON p.identity_id=r.identity_id) s
-      LEFT JOIN resolved r ON s.is_primary AND r.raw_name=s.raw_name""", "sheet_row", "resolved", "person"),
+    "sheet_name_match": _statement("""SELECT sheet, source_line::INT AS source_line, raw_name, role, identity_id, match_rule, stage, reason_code
+      FROM sheet_record""", "sheet_record"),
     "fuzzy_name_match": _statement(f"""SELECT probe_name, index_name, round(ratio,6) AS ratio FROM (
-        SELECT a.n AS probe_name, b.n AS index_name, {_ratio('a.n', 'b.n')} AS ratio
-        FROM (SELECT DISTINCT array_to_string(list_sort(string_split({_norm('shown')},' ')),' ') AS n FROM cloud_raw) a
-        JOIN (SELECT DISTINCT array_to_string(list_sort(string_split({_norm('full_name')},' ')),' ') AS n FROM roster_raw) b
-        ON {_near('a.n', 'b.n')}) WHERE ratio>=90""", "cloud_raw", "roster_raw"),
+        SELECT probe_name, index_name, {_ratio('probe_name', 'index_name')} AS ratio FROM near_name) WHERE ratio>=90""", "near_name"),
     "source_upsert": """WITH o AS (SELECT *, o_orderkey||'|'||o_orderpriority||'|same' AS old_p,
           o_orderkey||'|'||o_orderpriority||'|'||CASE WHEN o_orderkey%15=4 THEN 'changed' ELSE 'same' END AS new_p,
           CASE WHEN o_orderkey%4=0 THEN 'sheet' END AS source_sheet FROM orders),
@@ -634,4 +647,23 @@ ORACLES: dict[str, str] = {
     "iam_eval": _statement("""SELECT 'no_human_match' AS label, tp, fp, fn, round(tp/nullif(tp+fp,0),6) AS precision, round(tp/nullif(tp+fn,0),6) AS recall
       FROM (SELECT count_if(e AND p)::BIGINT AS tp, count_if(NOT e AND p)::BIGINT AS fp, count_if(e AND NOT p)::BIGINT AS fn FROM (
         SELECT username LIKE 'automation-%' AS e, owner_identity_id IS NULL AS p FROM iam))""", "iam"),
+    "reconcile_all": _statement(f"""SELECT source, stage, reason_code, count(*) AS row_count FROM (
+        SELECT 'cloud_directory' AS source, CASE WHEN decision='auto_match' THEN 'normalized' ELSE 'quarantined' END AS stage,
+          {CLOUD_REASON} AS reason_code FROM scored_cloud
+        UNION ALL SELECT 'directory', stage, reason_code FROM dir_stage UNION ALL SELECT 'crm', stage, reason_code FROM crm_record
+        UNION ALL SELECT 'cloud_iam', stage, reason_code FROM iam UNION ALL SELECT 'spreadsheet', stage, reason_code FROM sheet_record)
+      GROUP BY ALL""", "scored_cloud", "dir_stage", "crm_record", "iam", "sheet_record", feed="dir_raw"),
+    "multi_account_people": _statement("""SELECT owner_identity_id, count(*) AS accounts FROM (
+        SELECT best_id AS owner_identity_id FROM scored_cloud WHERE decision='auto_match'
+        UNION ALL SELECT owner_identity_id FROM (SELECT *, row_number() OVER (PARTITION BY sam ORDER BY source_line DESC) rn FROM dir)
+          WHERE rn=1 AND owner_identity_id IS NOT NULL) GROUP BY owner_identity_id HAVING count(*)>=2""", "scored_cloud", "dir", feed="dir_raw"),
+    "quarantine_open": _statement("""SELECT reason_code, source_line, candidate_ids FROM (SELECT source_line, norm_id AS candidate_ids,
+          CASE WHEN reason_code='MALFORMED_CSV_ROW' THEN reason_code ELSE 'EMPLOYEE_ID_COLLISION' END AS reason_code
+        FROM record WHERE quarantine_status='open') ORDER BY reason_code, source_line LIMIT 200""", "record"),
+    "quarantine_counts": _statement("""SELECT CASE WHEN reason_code='MALFORMED_CSV_ROW' THEN reason_code ELSE 'EMPLOYEE_ID_COLLISION' END AS reason_code,
+        quarantine_status AS status, count(*) AS row_count FROM record WHERE stage='quarantined' GROUP BY ALL""", "record"),
+    "workflow_recent": """SELECT idempotency_key, workflow_type, event_id FROM (SELECT *, workflow_type||':'||identity_id||':'||day
+          AS idempotency_key, row_number() OVER (PARTITION BY workflow_type, identity_id, day ORDER BY ts, event_id) rn FROM (
+        SELECT CASE event_type WHEN 'signup' THEN 'joiner' WHEN 'error' THEN 'leaver' ELSE 'mover' END AS workflow_type, user_id AS identity_id,
+          strftime(ts,'%Y-%m-%d') AS day, ts, event_id FROM events)) WHERE rn=1 ORDER BY ts DESC, idempotency_key LIMIT 100""",
 }
