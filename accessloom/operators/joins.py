@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 NULL_SPREADS = 256
 
@@ -12,25 +12,11 @@ NULL_SPREADS = 256
 def lookup(left: DataFrame, key: str, right: DataFrame, right_key: str, spread_by: Sequence[str]) -> DataFrame:
     """Left join on a nullable key against a side that is unique on it.
 
-    Null keys never match, yet a plain left join sends all of them to one partition. A second
-    join column spreads them; matched rows and the right side carry 0 in it.
+    Null keys never match, yet a plain left join sends all of them to one partition. Here every
+    null gets one of NULL_SPREADS keys of its own kind, which no right row carries.
     """
-    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SPREADS)) + 1).otherwise(0)
-    keyed = left.withColumn("_spread", spread.cast("int"))
-    target = right.withColumn("_target", F.lit(0))
-    condition = (keyed[key] == target[right_key]) & (keyed["_spread"] == target["_target"])
-    drop_right = [] if right_key == key else [target[right_key]]
-    joined = keyed.join(target, condition, "left")
-    if right_key == key:
-        joined = joined.drop(target[right_key])
-    for column in drop_right:
-        joined = joined.drop(column)
-    return joined.drop("_spread", "_target")
-
-
-def same(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Null-safe equality on all ``columns``."""
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+    spread = F.pmod(F.xxhash64(*spread_by), F.lit(NULL_SPREADS)).cast("string")
+    present = F.concat(F.lit("k"), F.col(key).cast("string"))
+    keyed = left.withColumn("_lookup", F.when(F.col(key).isNull(), F.concat(F.lit("n"), spread)).otherwise(present))
+    target = right.withColumn("_lookup", F.concat(F.lit("k"), F.col(right_key).cast("string"))).drop(right_key)
+    return keyed.join(target, "_lookup", "left").drop("_lookup")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from accessloom.operators.graph import route_reviewers
 from accessloom.operators.joins import lookup
 from accessloom.operators.quality import source_health
+from accessloom.session import cut_lineage
 
 UNASSIGNED = "UNASSIGNED -- IAM fallback queue"
 
@@ -34,11 +35,14 @@ def require_launchable(gate: DataFrame, application: str) -> None:
 
 
 def review_items(accounts: DataFrame, grants: DataFrame, identities: DataFrame, application: str) -> DataFrame:
-    """One item per grant of an owned account of the application, routed to its reviewer."""
+    """One item per grant of an owned account of the application, routed to its reviewer.
+
+    A campaign reviews the population at launch, so its items are written once as a table.
+    """
     scoped = accounts.filter((F.col("application") == application) & F.col("owner_id").isNotNull()).select(
         "account_id", F.col("owner_id").alias("identity_id"))
     items = grants.select("account_id", "entitlement_id").distinct().join(scoped, "account_id")
-    return items.join(route_reviewers(identities), "identity_id")
+    return cut_lineage(items.join(route_reviewers(identities), "identity_id"))
 
 
 @dataclass(frozen=True)

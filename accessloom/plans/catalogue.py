@@ -240,7 +240,8 @@ def reviewer_routing(f: Fixtures) -> DataFrame:
 
 def _account_rule(rule: str) -> Callable[[Fixtures], DataFrame]:
     def query(f: Fixtures) -> DataFrame:
-        return findings.account_findings(findings.account_facts(_graph(f)), _as_of(), rules=(rule,))
+        return findings.account_findings(
+            findings.account_facts(_graph(f), rule in findings.OWNER_RULES), _as_of(), rules=(rule,))
 
     return query
 
@@ -285,7 +286,7 @@ def disposition_active(f: Fixtures) -> DataFrame:
 
 
 def birthright(f: Fixtures) -> DataFrame:
-    held = lifecycle.held_entitlements(f.accounts(), f.grants())
+    held = cut_lineage(lifecycle.held_entitlements(f.accounts(), f.grants()))
     return lifecycle.birthright(f.identities(), held).select("identity_id", "entitlement_id", _ratio("prevalence"))
 
 

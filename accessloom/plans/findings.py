@@ -38,14 +38,16 @@ def privileged_grants(g: Graph) -> DataFrame:
     return g.grants.select("account_id", "entitlement_id").join(privileged, "entitlement_id", "left_semi")
 
 
-def account_facts(g: Graph) -> DataFrame:
+def account_facts(g: Graph, with_owner: bool = True) -> DataFrame:
     """One row per account with its privilege flag, application criticality and owner attributes."""
     privileged = privileged_grants(g).select("account_id").distinct().withColumn("_priv", F.lit(True))
+    facts = g.accounts.join(g.applications.select("application", "criticality"), "application", "left")
+    facts = facts.join(privileged, "account_id", "left").withColumn("privileged", F.col("_priv").isNotNull()).drop("_priv")
+    if not with_owner:
+        return facts
     owners = g.identities.select(
         F.col("identity_id").alias("_owner"), F.col("name").alias("owner_name"),
         F.col("lifecycle_status").alias("owner_status"), F.col("termination_date").alias("owner_termination_date"))
-    facts = g.accounts.join(privileged, "account_id", "left").withColumn("privileged", F.col("_priv").isNotNull())
-    facts = facts.join(g.applications.select("application", "criticality"), "application", "left").drop("_priv")
     return lookup(facts, "owner_id", owners, "_owner", ["account_id"])
 
 
@@ -108,6 +110,7 @@ def _unowned_non_human() -> tuple[Column, Column]:
               .otherwise("no owner on record"), ")."))
 
 
+OWNER_RULES = ("TERMINATED_WITH_ACTIVE_ACCESS", "UNOWNED_NON_HUMAN_IDENTITY")
 ACCOUNT_RULES = ("TERMINATED_WITH_ACTIVE_ACCESS", "ORPHANED_ACCOUNT", "DORMANT_ACCOUNT", "UNOWNED_NON_HUMAN_IDENTITY")
 
 

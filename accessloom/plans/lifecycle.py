@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from accessloom.functions.scoring import percent
 from accessloom.operators.rank import first_per_key
 from accessloom.plans.findings import COHORT, same_columns
+from accessloom.session import cut_lineage
 
 BIRTHRIGHT_PREVALENCE = 0.6
 MIN_PEERS = 3
@@ -69,7 +70,7 @@ def mover_delta(identities: DataFrame, accounts: DataFrame, grants: DataFrame, *
 
     A person without an account gets no grant and is reported as such.
     """
-    held = held_entitlements(accounts, grants)
+    held = cut_lineage(held_entitlements(accounts, grants))
     target = birthright(identities, held, **options)
     homes = accounts.filter(F.col("owner_id").isNotNull()).groupBy(F.col("owner_id").alias("identity_id")).agg(
         F.min("account_id").alias("home_account"))
@@ -97,7 +98,7 @@ def joiner_plan(
 
     A dry run yields the requests only. A failed account leaves its requests pending.
     """
-    target = birthright(identities, held_entitlements(accounts, grants), **options)
+    target = birthright(identities, cut_lineage(held_entitlements(accounts, grants)), **options)
     people = identities.select("identity_id", "title", "department")
     requests = target.join(entitlements.select("entitlement_id", "application"), "entitlement_id").join(people, "identity_id")
     rationale = F.concat(
@@ -191,6 +192,8 @@ def run_leavers(
     steps = todo.withColumn("status", status).withColumn(
         "fresh", ~F.col("done") & (F.col("status") == "succeeded")).withColumn(
         "still_enabled", ~dry & F.col("enabled") & (F.col("status") != "succeeded"))
+    # Every output below reads these steps, so they are written once.
+    steps = cut_lineage(steps)
 
     per_account = grants.select("account_id", "entitlement_id").groupBy("account_id").agg(F.count("*").alias("links"))
     detailed = steps.join(per_account, "account_id", "left").withColumn("links", F.coalesce("links", F.lit(0)))

@@ -71,6 +71,16 @@ def _days_before_as_of(days: Column) -> Column:
     return F.date_sub(F.lit(AS_OF[:10]).cast("date"), days.cast("int"))
 
 
+def _values(spark: SparkSession, rows: list[tuple], columns: str) -> DataFrame:
+    """A few literal rows whose exact size the optimizer knows."""
+
+    def literal(v) -> str:
+        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+    body = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
+
+
 class Fixtures:
     """Lazily built projections of one scale-factor folder."""
 
@@ -103,7 +113,7 @@ class Fixtures:
 
     def applications(self) -> DataFrame:
         rows = [(a, CRITICALITY.get(a, "standard"), SOURCES[i]) for i, a in enumerate(APPLICATIONS)]
-        return self.spark.createDataFrame(rows, "application string, criticality string, source_system string")
+        return _values(self.spark, rows, "application, criticality, source_system")
 
     def accounts(self) -> DataFrame:
         o, m = F.col("o_orderkey"), F.col("o_orderkey") % 17
@@ -168,7 +178,7 @@ class Fixtures:
         return to_type.unionByName(chain).unionByName(ring)
 
     def sod_pairs(self) -> DataFrame:
-        return self.spark.createDataFrame(SOD_PAIRS, "rule string, left_pattern string, right_pattern string")
+        return _values(self.spark, SOD_PAIRS, "rule, left_pattern, right_pattern")
 
     def dispositions(self) -> DataFrame:
         """Accepted or suppressed findings; some have a newer row that has already expired."""
@@ -362,13 +372,12 @@ class Fixtures:
             return df.select(F.lit(sheet).alias("sheet"), row.cast("int").alias("row"), F.inline(entries))
 
         customers = self.table("customer")
-        headers = self.spark.createDataFrame(
-            [("Access list", 1, 1, "Plant access"), ("Access list", 2, 1, "confidential"),
+        headers = _values(self.spark, [("Access list", 1, 1, "Plant access"), ("Access list", 2, 1, "confidential"),
              ("Access list", 4, 1, "Employee Name"), ("Access list", 4, 2, " ROLE "),
              ("Access list", 4, 3, "Granted By"), ("Access list", 4, 4, "Date"),
              ("Old extract", 1, 1, "employee name"), ("Old extract", 1, 2, "role"), ("Old extract", 1, 3, "date"),
              ("Notes", 1, 1, "employee name"), ("Notes", 1, 2, "date")],
-            "sheet string, row int, col int, value string")
+            "sheet, row, col, value")
         current = cells(customers, "Access list", k + 5, [name, role, F.lit("Plant desk"), day_text])
         stale = cells(customers, "Old extract", k + 2, [name, role, old_day])
         notes = cells(self.table("region"), "Notes", F.col("r_regionkey") + 2, [F.col("r_name"), F.lit("2002-06-01")])
@@ -398,7 +407,7 @@ class Fixtures:
             F.upper("event_type").alias("reason_code"))
 
     def sources(self) -> DataFrame:
-        return self.spark.createDataFrame([(s,) for s in SOURCES], "source_system string")
+        return _values(self.spark, [(s,) for s in SOURCES], "source_system")
 
     def snapshots(self) -> tuple[DataFrame, DataFrame]:
         """Provenance rows of two consecutive loads that overlap in time."""
