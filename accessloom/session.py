@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
+CHECKPOINT = "spark.checkpoint.dir"
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results depend on; cluster sizing is left to the deployment."""
@@ -15,17 +16,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@lru_cache(maxsize=1)
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="accessloom-checkpoint-")
-
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the deployment names for intermediate tables.
 
-def _shared_folder(spark: SparkSession) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    Where it is unset, as on a single machine or in tests, this process makes one and names it in the session, so all
+    later cuts use the same one. A cluster must set it to a folder that every executor can reach.
+    """
+    folder = spark.conf.get(CHECKPOINT, None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = _local_folder()
+            raise RuntimeError(f"set {CHECKPOINT} to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="accessloom-")
+        spark.conf.set(CHECKPOINT, folder)
     return folder
 
 
@@ -36,6 +38,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     sees real sizes when it chooses join strategies.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark).rstrip('/')}/accessloom-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/accessloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
