@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from accessloom.llm import common, exact_dedup, secrets
+from accessloom.llm import common, decontaminate, exact_dedup, langid, mixing, ngram_join, pii, secrets, token_output, toxicity, warc
 from accessloom.session import prepare
 
 
@@ -12,6 +12,51 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return common.table(prepare(spark), sf_dir, "documents")
 
 
+def _fold(folds: int, held: int) -> Column:
+    """Whether a document is held out; one without id is not, and is not learned from either."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held, F.lit(False))
+
+
+def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.materialise(_docs(spark, sf_dir)).drop("path")
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(_docs(spark, sf_dir)).drop("row_key")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _docs(spark, sf_dir), _fold(5, 0)
+    net = toxicity.train(docs, common.table(spark, sf_dir, "labels"), ~held)
+    scored = docs.select("doc_id", held.alias("held_out"), toxicity.score(F.col("text"), net).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = _docs(spark, sf_dir), _fold(3, 1)
+    samples = langid.train(docs.where(~held))
+    return docs.select("doc_id", held.alias("held_out"), langid.predict(F.col("text"), samples).alias("p")).select(
+        "doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(_docs(spark, sf_dir), common.table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    detector = pii.train(docs)
+    return docs.select("doc_id", pii.detect(F.col("text"), detector).alias("p")).select("doc_id", "p.*")
+
+
+def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(_docs(spark, sf_dir)).withColumnsRenamed({"_copy": "copy", "_rate": "rate", "_order": "order_key"})
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(common.table(prepare(spark), sf_dir, "pages")).drop("payload", "url")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_docs(spark, sf_dir), digest_all=True)
 
@@ -20,9 +65,49 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secret_scan(_docs(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op9_exact_dedup, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_token_output, op2_ngram_join, op3_toxicity, op4_langid, op5_decontaminate, op6_pii, op7_mix_sources, op8_warc,
+    op9_exact_dedup, op10_secret_scan)}
+
+_UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
 
 ORACLES = {
+    "op5_decontaminate": r"""
+        WITH w AS (
+            SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
+            UNION ALL
+            SELECT 'i', item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') FROM benchmark),
+        s AS (
+            SELECT DISTINCT side, id, unnest(CASE WHEN len(w) >= 5
+                THEN list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))
+                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] END) AS shingle
+            FROM w),
+        items AS (SELECT id, shingle, count(*) OVER (PARTITION BY id) AS n_item FROM s WHERE side = 'i')
+        SELECT d.id AS doc_id, i.id AS item_id, any_value(n_item)::INTEGER AS n_item, count(*)::INTEGER AS n_shared,
+               count(*)::DOUBLE / any_value(n_item) AS containment
+        FROM s d JOIN items i ON d.side = 'd' AND d.shingle = i.shingle
+        GROUP BY d.id, i.id HAVING count(*) >= 0.8 * any_value(n_item)""",
+    "op7_mix_sources": f"""
+        WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
+        whole AS (SELECT sum(weight) AS weights, sum(n)::DOUBLE AS total FROM sizes),
+        rates AS (SELECT source, round(least(8.0::DOUBLE, weight / weights * total * 1.0::DOUBLE / n), 9) AS rate FROM sizes, whole),
+        steps AS (
+            SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS below FROM rates
+            UNION ALL
+            SELECT source, rate, k + 1, term * rate / (k + 1), below + term * rate / (k + 1) FROM steps
+            WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
+        draws AS (SELECT *, {_UNIT.format("'17|' || doc_id::VARCHAR")} AS draw FROM documents),
+        counts AS (
+            SELECT doc_id, any_value(rate) AS rate, count(*) FILTER (below <= draw) AS n FROM draws JOIN steps USING (source) GROUP BY doc_id)
+        SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INTEGER AS copy, rate,
+               {_UNIT.format("'18|' || d.doc_id::VARCHAR || '|' || c.copy::VARCHAR")} AS order_key
+        FROM draws d JOIN (SELECT doc_id, rate, unnest(generate_series(1, n)) AS copy FROM counts) c USING (doc_id)""",
+    "op8_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM p LEFT JOIN g USING (payload_digest)""",
     "op9_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)

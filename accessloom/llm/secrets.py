@@ -51,8 +51,9 @@ def spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(common.row_key(id_col, text_col).alias("key"), text.alias("text"))
     kinds = F.array(*[_matches(F.col("text"), i, p, g, n) for i, (_, p, g, n) in enumerate(BASE + WEAK)])
-    hits = source.select("key", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("k")).select(
-        "key", "k.kind", F.posexplode("k.hits").alias("at", "hit")).where("hit.size is not null")
+    # The outer form: before the plain one, the optimizer tests the array's size and so matches all patterns twice.
+    hits = source.select("key", F.explode_outer(kinds).alias("k")).where("k is not null").select(
+        "key", "k.kind", F.posexplode_outer("k.hits").alias("at", "hit")).where("hit.size is not null")
     # Repeated rows have one key: their equal matches are one.
     hits = hits.dropDuplicates(["key", "kind", "at"])
     running = "sum(hit.gap + hit.size) over (partition by key, kind order by at rows between unbounded preceding and current row)"

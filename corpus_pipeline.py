@@ -2,12 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from accessloom.llm import common
+from accessloom.llm import common, decontaminate, mixing, ngram_join, token_output, toxicity
+from accessloom.llm.queries import _fold
 from accessloom.session import cut_lineage, prepare
 
-STAGES = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not reject. It learns from the labels of those of the learning fold."""
+    net = toxicity.train(docs, common.table(spark, sf_dir, "labels"), ~_fold(5, 0))
+    own = "_toxicity"
+    return docs.withColumn(own, toxicity.score(F.col("text"), net)).where(F.col(own) < 0.5).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document with the least id."""
+    found = ngram_join.jaccard_components(docs)
+    copies = cut_lineage(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("row_key"))
+    return common.without_keys(docs, common.row_key("doc_id", "text"), copies, "row_key")
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture draws them, in random order."""
+    return mixing.mix_sources(docs).select(*docs.columns)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per token sequence written in training order."""
+    return token_output.materialise(docs).drop("path")
+
+
+STAGES = [
+    ("toxicity", drop_toxic), ("ngram_join", keep_one_of_each), ("decontaminate", drop_benchmark), ("mix_sources", mix),
+    ("token_output", write_tokens)]
 
 #: The first stage scores texts with a trained network, which SQL cannot express.
 ORACLE_SQL = None
