@@ -38,28 +38,38 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``taken`` bears it."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def _bit(key: Column) -> Column:
     return F.pmod(key, F.lit(FILTER_BITS))
 
 
 def membership(keys: DataFrame, key: Column) -> DataFrame:
     """A bitmap of hashed keys with a fixed size; it has every key, and some others that share a bit with one."""
-    return keys.select(_bit(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bitmap"))
+    return keys.select(_bit(key).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bitmap"))
 
 
 def with_membership(df: DataFrame, key: Column, members: DataFrame, name: str) -> DataFrame:
     """Adds ``name``: false only where the key is surely not among the members. Moves no row of ``df``."""
+    bucket, bitmap = free_name(df.columns, "_bucket"), free_name(df.columns, "_bitmap")
+    small = F.broadcast(members.select(F.col("bucket").alias(bucket), F.col("bitmap").alias(bitmap)))
     position = F.bitmap_bit_position(_bit(key))
-    byte = F.conv(F.hex(F.substring(F.col("_bitmap"), (position / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), (position / 8 + 1).cast("int"), F.lit(1))), 16, 10).cast("bigint")
     hit = F.coalesce(F.getbit(byte, (position % 8).cast("int")) == 1, F.lit(False))
-    joined = df.join(F.broadcast(members), F.bitmap_bucket_number(_bit(key)) == F.col("_bucket"), "left")
-    return joined.select(*[df[c] for c in df.columns], hit.alias(name))
+    joined = df.join(small, F.bitmap_bucket_number(_bit(key)) == F.col(bucket), "left")
+    return joined.select(*df.columns, hit.alias(name))
 
 
 def without_keys(docs: DataFrame, key: Column, dropped: DataFrame, dropped_key: str) -> DataFrame:
     """The rows whose key is not in ``dropped``. Only rows that the bitmap lets through are shuffled."""
-    flag, own = "_may_drop", "_own_key"
+    flag, own = free_name(docs.columns, "_may_drop"), free_name(docs.columns, "_own_key")
     seen = with_membership(docs, key, membership(dropped, F.col(dropped_key)), flag)
     rest = seen.where(F.col(flag)).withColumn(own, key).join(
         dropped.select(F.col(dropped_key).alias(own)).distinct(), own, "left_anti")

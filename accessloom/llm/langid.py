@@ -81,7 +81,8 @@ class Model:
     """Automata of all languages in one table that also says where a phrase ends.
 
     Entry (state, letter) is the next state while the phrase goes on; where the phrase must end it is minus the state
-    that the letter leads to from the start, so one lookup does a step of the parse.
+    that the letter leads to from the start, so one lookup does a step of the parse. Each language has a state from which
+    every letter starts a phrase: a parse begins there, and a letter the reference lacks leads there.
     """
 
     def __init__(self, samples: dict[str, str]):
@@ -91,15 +92,15 @@ class Model:
         seen, count = np.unique(every, return_counts=True)
         self.alphabet = np.sort(seen[np.argsort(-count, kind="stable")][:_LETTERS])
         letters = _FIRST + len(self.alphabet)
-        tables, self.starts, base = [], [], 0
+        tables, self.starts, base = [np.zeros((1, letters), np.int64)], [], 1
         for name in self.languages:
             table = suffix_automaton(self.codes(folded[name]), letters)
             to = np.where(table > 0, table + base, 0)
-            root = np.where(to[1] > 0, to[1], 1 + base)
+            root = np.where(to[1] > 0, to[1], base)
             tables.append(np.where(to > 0, to, -root[None, :]))
-            self.starts.append(1 + base)
+            self.starts.append(base)
             base += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).ravel() if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).astype(np.int32).ravel()
         self.width = letters
         self.bits = np.log2([max(2, len(folded[k])) for k in self.languages]) if self.languages else np.zeros(0)
 
@@ -118,7 +119,7 @@ class Model:
             codes[:lengths[column], column] = pieces[i]
         active = len(pieces) - np.searchsorted(lengths[::-1], np.arange(longest), "right")
         state = np.repeat(np.array(self.starts, np.int32)[:, None], len(pieces), 1)
-        count = np.ones(state.shape, np.int32)
+        count = np.zeros(state.shape, np.int32)
         width = np.int32(self.width)
         for t in range(longest):
             n = active[t]

@@ -48,7 +48,8 @@ def rates(docs: DataFrame, targets: DataFrame, source_col: str, epochs: float, m
 def mix_sources(
         docs: DataFrame, targets: DataFrame | None = None, id_col: str = "doc_id", source_col: str = "source",
         epochs: float = 1.0, most: float = 8.0, seed: int = 17) -> DataFrame:
-    """The documents, each as often as its draw says, in one global random order; adds _copy (from 1), _rate, _order.
+    """The documents, each as often as its draw says, in one global random order; adds _copy (from 1), _rate, _order
+    (with another underscore before a name that the documents bear).
 
     targets: (source, weight); without it, weights follow ``tempered``. A source's mean repetition rate is its share of
     the weights times all documents times ``epochs`` over its own documents, at most ``most`` (the largest number of
@@ -61,10 +62,11 @@ def mix_sources(
     spark, n = docs.sparkSession, common.partitions(docs.sparkSession)
     table = cut_lineage(rates(docs, targets if targets is not None else tempered(docs, source_col), source_col, epochs, most))
     own = [docs[c] for c in docs.columns]
+    copy, rate, order = (common.free_name(docs.columns, n) for n in ("_copy", "_rate", "_order"))
     joined = docs.join(table, F.coalesce(docs[source_col], F.lit(_NONE)) == table["_source"])
     draw = _unit(F.lit(seed), docs[id_col])
     count = F.when(table["rate"] > 0, F.size(F.filter(table["cdf"], lambda c: c <= draw)))
-    copies = joined.select(*own, table["rate"].alias("_rate"), F.explode(F.sequence(F.lit(1), F.when(count > 0, count))).alias("_copy"))
-    ordered = copies.withColumn("_order", _unit(F.lit(seed + 1), F.col(id_col), F.col("_copy")))
-    place = F.least(F.lit(n - 1), F.floor(F.col("_order") * n)).cast("int")
-    return ordered.repartitionById(n, place).sortWithinPartitions("_order", id_col, "_copy")
+    copies = joined.select(*own, table["rate"].alias(rate), F.explode(F.sequence(F.lit(1), F.when(count > 0, count))).alias(copy))
+    ordered = copies.withColumn(order, _unit(F.lit(seed + 1), F.col(id_col), F.col(copy)))
+    place = F.least(F.lit(n - 1), F.floor(F.col(order) * n)).cast("int")
+    return ordered.repartitionById(n, place).sortWithinPartitions(order, id_col, copy)

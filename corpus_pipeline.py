@@ -12,7 +12,7 @@ from accessloom.session import cut_lineage, prepare
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from the labels of those of the learning fold."""
     net = toxicity.train(docs, common.table(spark, sf_dir, "labels"), ~_fold(5, 0))
-    own = "_toxicity"
+    own = common.free_name(docs.columns, "_toxicity")
     return docs.withColumn(own, toxicity.score(F.col("text"), net)).where(F.col(own) < 0.5).select(*docs.columns)
 
 
