@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -82,7 +83,9 @@ def packed(batches: Iterator[pa.RecordBatch], length: int, vocabulary: str) -> I
             text = text.as_py()
             if not text:
                 continue
-            tokens = np.array(encoding.encode_ordinary(text) + [end], dtype)
+            ids_ = array(dtype.char, encoding.encode_ordinary(text))
+            ids_.append(end)
+            tokens = np.frombuffer(ids_, dtype)
             at = 0
             while at < len(tokens):
                 if not owners or owners[-1] != i:
@@ -100,8 +103,13 @@ def packed(batches: Iterator[pa.RecordBatch], length: int, vocabulary: str) -> I
 def _counted(docs: DataFrame, length: int, vocabulary: str) -> dict[int, int]:
     """Sequences of each partition; one number per partition reaches the driver."""
     def count(batches):
-        n = sum(1 for _ in packed(batches, length, vocabulary))
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": pa.array([n], pa.int64())})
+        encoding, _ = _encoding(vocabulary)
+        n = 0
+        for batch in batches:
+            for text in batch.column(1):
+                text = text.as_py()
+                n += len(encoding.encode_ordinary(text)) + 1 if text else 0
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": pa.array([-(-n // length)], pa.int64())})
 
     rows = docs.mapInArrow(count, "part long, n long").where("n > 0").collect()
     return {r.part: r.n for r in rows}
