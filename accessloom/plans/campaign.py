@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from accessloom.operators.graph import route_reviewers
 from accessloom.operators.joins import lookup
 from accessloom.operators.quality import source_health
+from accessloom.operators.rank import first_per_key
 from accessloom.session import cut_lineage
 
+# Fixed value: the label of the export.
 UNASSIGNED = "UNASSIGNED -- IAM fallback queue"
 
 
@@ -41,7 +44,7 @@ def review_items(accounts: DataFrame, grants: DataFrame, identities: DataFrame,
     """
     scoped = accounts.filter((F.col("application") == application) & F.col("owner_id").isNotNull()).select(
         "account_id", F.col("owner_id").alias("identity_id"))
-    items = grants.select("account_id", "entitlement_id").distinct().join(scoped, "account_id")
+    items = grants.select("account_id", "entitlement_id").join(scoped, "account_id").distinct()
     return cut_lineage(items.join(route_reviewers(identities), "identity_id"))
 
 
@@ -56,16 +59,21 @@ class Decided:
 ITEM = ("account_id", "entitlement_id")
 
 
-def decide(items: DataFrame, decisions: DataFrame, decided_at: Column) -> Decided:
-    """Apply reviewer decisions; a revoke without a reason is rejected and the item stays open."""
+def decide(items: DataFrame, decisions: DataFrame, decided_at: Column, order: Sequence[str] = ()) -> Decided:
+    """Apply reviewer decisions; a revoke without a reason is rejected and the item stays open.
+
+    An item carries its last decision by ``order`` (then by decision, reason and actor); the audit keeps all of them.
+    """
     no_reason = (F.col("decision") == "revoke") & (F.coalesce("reason", F.lit("")) == "")
-    valid, rejected = decisions.filter(~no_reason), decisions.filter(no_reason)
-    decided = items.join(valid.select(*ITEM, "decision", "reason", "actor"), list(ITEM), "left").withColumn(
+    rejected = decisions.filter(no_reason)
+    valid = decisions.filter(F.col("decision").isNotNull() & ~no_reason).join(items.select(*ITEM), list(ITEM), "left_semi")
+    last = first_per_key(valid, ITEM, [F.desc(c) for c in (*order, "decision", "reason", "actor")])
+    decided = items.join(last.select(*ITEM, "decision", "reason", "actor"), list(ITEM), "left").withColumn(
         "decided_at", F.when(F.col("decision").isNotNull(), decided_at))
-    audit = decided.filter(F.col("decision").isNotNull()).select(
+    audit = valid.select(
         F.col("actor"), F.concat(F.lit("review_decision:"), "decision").alias("action"),
         F.lit("review_item").alias("object_type"),
-        F.concat_ws("/", F.col("account_id").cast("string"), "entitlement_id").alias("object_id"), "reason")
+        F.concat_ws("/", F.col("account_id").cast("string"), "entitlement_id").alias("object_id"), "reason", *order)
     revocations = decided.filter(F.col("decision") == "revoke").select(*ITEM, F.lit("pending").alias("execution_status"))
     return Decided(decided, rejected, audit, revocations)
 
@@ -73,7 +81,7 @@ def decide(items: DataFrame, decisions: DataFrame, decided_at: Column) -> Decide
 def execute_revocations(revocations: DataFrame, grants: DataFrame, executed_at: Column) -> tuple[DataFrame, DataFrame]:
     """(tasks, remaining grants): pending tasks are executed with proof, also when the grant is gone."""
     pending = F.col("execution_status") == "pending"
-    links = grants.select(*ITEM).distinct().withColumn("_held", F.lit(True))
+    links = grants.select(*ITEM).join(revocations.select(*ITEM), list(ITEM), "left_semi").distinct().withColumn("_held", F.lit(True))
     tasks = revocations.join(links, list(ITEM), "left").select(
         *ITEM, F.when(pending, "executed").otherwise(F.col("execution_status")).alias("execution_status"),
         (pending & F.col("_held").isNotNull()).alias("grant_removed"), F.when(pending, executed_at).alias("executed_at"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from accessloom.functions import text
 from accessloom.operators import correlate as corr
 from accessloom.operators import fuzzy, graph, mentions, merge, quality, sheets
-from accessloom.plans import campaign, evaluate, findings, ingest, lifecycle, roster, triage
+from accessloom.plans import campaign, evaluate, findings, ingest, lifecycle, roster, snapshot, triage
 from accessloom.session import cut_lineage, prepare
 from accessloom.sources import fixtures as fx
 from accessloom.sources.fixtures import Fixtures
@@ -131,6 +131,35 @@ def text_owner_mention(f: Fixtures) -> DataFrame:
     return mentions.first_mentioned(f.directory_raw().select(F.col("description").alias("text")), people)
 
 
+def ingest_entitlements(f: Fixtures) -> DataFrame:
+    return _directory(f).entitlements.select("application", "native_id", "name", "type", F.col("privileged").cast("int").alias("privileged"))
+
+
+def ingest_twice(f: Fixtures) -> DataFrame:
+    """Rows known after one load of the directory and after a second load of the same feed."""
+    def stored(state: snapshot.State) -> snapshot.State:
+        return snapshot.State(**{k: cut_lineage(v) for k, v in vars(state).items() if v is not None})
+
+    feed, people = f.directory_raw(), _people(f)
+    first = stored(snapshot.next_state(None, ingest.ingest_directory(feed, people), "directory"))
+    second = snapshot.next_state(first, ingest.ingest_directory(feed, people), "directory")
+
+    def counts(state: snapshot.State, name: str) -> DataFrame:
+        return reduce(DataFrame.unionByName, [
+            df.agg(F.count("*").alias(name)).withColumn("part", F.lit(part)) for part, df in vars(state).items()])
+
+    return counts(first, "first_load").join(counts(second, "second_load"), "part")
+
+
+def ingest_next(f: Fixtures) -> DataFrame:
+    """CRM accounts after a load of two thirds of the rows and one of another two thirds with enabled turned round."""
+    feed, people, o = f.crm_raw(), _people(f), F.col("source_line") - 2
+    changed = feed.filter(o % 3 != 1).withColumn("is_active", F.when(F.lower("is_active") == "true", "false").otherwise("true"))
+    first = snapshot.next_state(None, ingest.ingest_crm(feed.filter(o % 3 != 0), people, fx.CORPORATE_DOMAIN), "crm")
+    second = snapshot.next_state(first, ingest.ingest_crm(changed, people, fx.CORPORATE_DOMAIN), "crm")
+    return second.accounts.select("native_id", F.col("enabled").cast("int").alias("enabled"), "source_line")
+
+
 def crm_accounts(f: Fixtures) -> DataFrame:
     return ingest.ingest_crm(f.crm_raw(), _people(f), fx.CORPORATE_DOMAIN).records.select(
         "source_line", "native_id", "decision", "best_score", "owner_identity_id", "ownership_status",
@@ -187,13 +216,14 @@ def source_upsert(f: Fixtures) -> DataFrame:
 
 def quarantine_merge(f: Fixtures) -> DataFrame:
     old, new = f.quarantine_history()
-    return merge.merge_quarantine(old, new, ["source_line", "reason_code"])
+    return merge.merge_quarantine(old, new, ["source_sheet", "source_line", "reason_code"])
 
 
 def record_outcomes(f: Fixtures) -> DataFrame:
     old, _ = f.quarantine_history()
-    records = f.table("orders").select((F.col("o_orderkey") + 2).alias("source_line"))
-    return merge.record_outcomes(records, old, ["source_line"])
+    o = F.col("o_orderkey")
+    records = f.table("orders").select(F.when(o % 4 == 0, "sheet").alias("source_sheet"), (o + 2).alias("source_line"))
+    return merge.record_outcomes(records, old, ["source_sheet", "source_line"])
 
 
 def account_snapshot(f: Fixtures) -> DataFrame:
@@ -278,6 +308,28 @@ def findings_by_rule(f: Fixtures) -> DataFrame:
     return findings.findings_by_rule(_findings(f))
 
 
+def _findings_history(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """An older finding table and the current one: the older lacks some, has others in other state and some that are gone."""
+    current = cut_lineage(_findings(f)).select("finding_key", "rule_code", "risk_score", "status")
+    age = F.pmod(F.ascii(F.substring("finding_key", -1, 1)), F.lit(4))
+    older = current.filter(age != 0).withColumns({
+        "risk_score": F.lit(1), "status": F.when(age == 1, "resolved").otherwise("open")})
+    gone = f.table("customer").select(
+        F.concat(F.lit("GONE:identity:"), F.col("c_custkey").cast("string")).alias("finding_key"), F.lit("GONE").alias("rule_code"),
+        F.lit(2).alias("risk_score"), F.when(F.col("c_custkey") % 2 == 0, "open").otherwise("accepted").alias("status"))
+    return older.unionByName(gone), current
+
+
+def findings_upsert(f: Fixtures) -> DataFrame:
+    old, new = _findings_history(f)
+    return findings.upsert_findings(old, new)
+
+
+def findings_upsert_resolved(f: Fixtures) -> DataFrame:
+    old, new = _findings_history(f)
+    return findings.upsert_findings(old, new, resolve_vanished=True)
+
+
 def disposition_active(f: Fixtures) -> DataFrame:
     return findings.active_dispositions(f.dispositions(), F.lit(fx.AS_OF).cast("timestamp_ntz"))
 
@@ -302,6 +354,50 @@ def mover_delta(f: Fixtures) -> DataFrame:
         "identity_id", "entitlement_id", "action", _text("account_id"))
 
 
+def _joined(f: Fixtures) -> lifecycle.ChangeResult:
+    return lifecycle.run_joiners(
+        f.change_triggers("joiner"), f.identities(), f.accounts(), f.grants(), f.entitlements(), f.provisioning_failures())
+
+
+def joiner_runs(f: Fixtures) -> DataFrame:
+    return _joined(f).runs
+
+
+def joiner_audit(f: Fixtures) -> DataFrame:
+    return _joined(f).audit.select("action", "object_id", "reason", "correlation_id")
+
+
+def joiner_replay(f: Fixtures) -> DataFrame:
+    """Requests left for a second attempt: those of runs that could not be applied, and of dry runs."""
+    first = _joined(f)
+    again = lifecycle.run_joiners(
+        f.change_triggers("joiner"), f.identities(), f.accounts(), f.grants(), f.entitlements(), f.provisioning_failures(),
+        cut_lineage(first.steps))
+    return again.requests.select("idempotency_key", "entitlement_id", "decision", "policy")
+
+
+def _moved(f: Fixtures) -> lifecycle.ChangeResult:
+    return lifecycle.run_movers(f.change_triggers("mover"), f.identities(), f.accounts(), f.grants())
+
+
+def mover_runs(f: Fixtures) -> DataFrame:
+    return _moved(f).runs
+
+
+def mover_audit(f: Fixtures) -> DataFrame:
+    return _moved(f).audit.select("action", "object_id", "correlation_id")
+
+
+def mover_grants(f: Fixtures) -> DataFrame:
+    return _moved(f).grants
+
+
+def leaver_both_modes(f: Fixtures) -> DataFrame:
+    """Every trigger delivered as a dry run too: the real runs count."""
+    both = f.triggers().unionByName(f.triggers().withColumn("mode", F.lit("dry_run")))
+    return lifecycle.run_leavers(both, f.identities(), f.accounts(), f.grants(), f.disable_outcomes()).runs
+
+
 def _first_leavers(f: Fixtures) -> lifecycle.LeaverResult:
     return lifecycle.run_leavers(f.triggers(), f.identities(), f.accounts(), f.grants(), f.disable_outcomes())
 
@@ -362,6 +458,20 @@ def campaign_progress(f: Fixtures) -> DataFrame:
     return campaign.progress(_decided(f).items)
 
 
+def _decided_again(f: Fixtures) -> campaign.Decided:
+    items = _items(f)
+    return campaign.decide(items, f.repeated_decisions(items), _as_of(), ("decided_on",))
+
+
+def campaign_redecided(f: Fixtures) -> DataFrame:
+    """Items with their last decision."""
+    return _decided_again(f).items.select("account_id", "entitlement_id", "decision", "reason", "actor")
+
+
+def decision_audit(f: Fixtures) -> DataFrame:
+    return _decided_again(f).audit.select("actor", "action", "object_id", "reason", _text("decided_on"))
+
+
 def evidence_pack(f: Fixtures) -> DataFrame:
     decided = _decided(f)
     tasks, _ = campaign.execute_revocations(decided.revocations, f.grants(), _as_of())
@@ -468,7 +578,9 @@ QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
     "finding_unowned_nhi": _account_rule("UNOWNED_NON_HUMAN_IDENTITY"),
     **{q.__name__: q for q in (
         finding_peer_outlier, finding_sod, finding_missing_manager, findings_with_disposition, findings_top,
-        findings_by_rule, disposition_active, standardise_roster, reconcile_roster, roster_collisions, manager_link,
+        findings_by_rule, findings_upsert, findings_upsert_resolved, disposition_active, ingest_entitlements, ingest_twice,
+        ingest_next, joiner_runs, joiner_audit, joiner_replay, mover_runs, mover_audit, mover_grants, leaver_both_modes,
+        campaign_redecided, decision_audit, standardise_roster, reconcile_roster, roster_collisions, manager_link,
         roster_aliases, roster_quarantine, status_date_conflict, correlate_accounts, reconcile_cloud,
         correlation_decisions, directory_classify, directory_accounts, directory_grants, text_owner_mention,
         crm_accounts, crm_grants, iam_unique_owner, iam_role_edges, iam_role_privilege, sheet_header_detect,

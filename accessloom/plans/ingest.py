@@ -19,7 +19,7 @@ from accessloom.operators.correlate import (
 from accessloom.operators.joins import lookup
 from accessloom.session import cut_lineage
 
-# Privilege policy, group nesting and service markers.
+# Fixed values, defaults of the policy arguments: privilege policy, group nesting and service markers.
 PRIVILEGED_PROFILES = ("System Administrator", "Sales Admin")
 PRIVILEGED_PERMISSION_SETS = ("Revenue_Admin", "Data_Export")
 PRIVILEGED_GROUPS = ("Admins",)
@@ -55,9 +55,23 @@ ACCOUNT_COLUMNS = (
     "ownership_status", "source_line")
 
 
+def _origin(feed: DataFrame) -> list[str]:
+    """Where a row of a feed comes from: its file too, if the feed tells."""
+    return [c for c in ("source_file", "source_line") if c in feed.columns]
+
+
+def _row_name(feed: DataFrame) -> Column:
+    """Unique per row, as line numbers repeat over files."""
+    origin = _origin(feed)
+    return F.concat_ws("#", *origin) if len(origin) > 1 else F.col("source_line")
+
+
 def _latest_accounts(rows: DataFrame) -> DataFrame:
-    latest = [F.col("source_line"), F.xxhash64(*ACCOUNT_COLUMNS)]
-    return merge.upsert(None, rows.select(*ACCOUNT_COLUMNS), ["application", "native_id"], latest)
+    """The last row per account, by file name and line."""
+    origin = _origin(rows)
+    columns = [*[c for c in origin if c not in ACCOUNT_COLUMNS], *ACCOUNT_COLUMNS]
+    latest = [*[F.col(c) for c in origin], F.xxhash64(*ACCOUNT_COLUMNS)]
+    return merge.upsert(None, rows.select(*columns), ["application", "native_id"], latest)
 
 
 def _first_entitlements(rows: DataFrame) -> DataFrame:
@@ -85,7 +99,7 @@ def _unclear(what: str, who: Column) -> Column:
 def ingest_cloud_directory(feed: DataFrame, people: Directory, application: str = "Cloud Directory") -> Ingest:
     """Match on employee id, sign-in name and display name; keep the account either way."""
     parsed = feed.select(
-        "source_line", F.col("id").alias("account_key"), F.col("userPrincipalName").alias("username"),
+        *_origin(feed), F.col("id").alias("account_key"), F.col("userPrincipalName").alias("username"),
         text.email_local(F.col("userPrincipalName")).alias("local_part"),
         text.email_domain(F.col("userPrincipalName")).alias("domain"), F.col("displayName").alias("display_name"),
         F.when(F.col("employeeId") != "", text.normalize_employee_id(F.col("employeeId"))).alias("employee_id"),
@@ -127,7 +141,7 @@ def contractor_key(sam: Column) -> Column:
 def ingest_directory(feed: DataFrame, people: Directory, application: str = "Directory") -> Ingest:
     """Match, fall back to the account name, then classify contractor / service / orphan."""
     parsed = feed.select(
-        "source_line", F.col("source_line").alias("account_key"), F.col("samAccountName").alias("sam"),
+        *_origin(feed), _row_name(feed).alias("account_key"), F.col("samAccountName").alias("sam"),
         F.col("userPrincipalName").alias("username"),
         text.email_local(F.col("userPrincipalName")).alias("local_part"),
         text.email_domain(F.col("userPrincipalName")).alias("domain"), F.col("displayName").alias("display_name"),
@@ -209,7 +223,7 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
 def ingest_crm(feed: DataFrame, people: Directory, primary_domain: str, application: str = "CRM") -> Ingest:
     """Match on email and name; access is kept whether or not the person is known."""
     parsed = feed.select(
-        "source_line", F.col("source_line").alias("account_key"), "username",
+        *_origin(feed), _row_name(feed).alias("account_key"), "username",
         text.email_local(F.col("email")).alias("local_part"), text.email_domain(F.col("email")).alias("domain"),
         F.col("name").alias("display_name"), F.lit(None).cast("string").alias("employee_id"),
         text.text_true(F.col("is_active")).alias("enabled"),
@@ -256,7 +270,7 @@ def ingest_cloud_iam(users: DataFrame, roles: DataFrame, people: Directory, appl
     owned = F.coalesce(F.col("holders") == 1, F.lit(False))
     crowded = F.coalesce(F.col("holders") > 1, F.lit(False))
     rows = rows.select(
-        "source_line", "username", "arn", "groups", "oldest_key_days", F.coalesce("holders", F.lit(0)).alias("holders"),
+        *_origin(users), "username", "arn", "groups", "oldest_key_days", F.coalesce("holders", F.lit(0)).alias("holders"),
         F.lit(application).alias("application"), F.col("arn").alias("native_id"), F.lit(True).alias("enabled"),
         F.lit(None).cast("timestamp").alias("last_activity_at"),
         F.when(owned, "human").otherwise("unknown").alias("account_type"),
@@ -293,8 +307,13 @@ def ingest_spreadsheet(
     cells: DataFrame, people: Directory, context_department: str, application: str = "Spreadsheet",
     headers: Sequence[str] = sheets.EXPECTED_HEADERS,
 ) -> Ingest:
-    """Rows of the newest sheet, matched by name only; rows of other sheets are quarantined as stale."""
+    """Rows of the newest sheet, matched by name only; rows of other sheets are quarantined as stale.
+
+    A workbook without any header is an error; single sheets without one are not access lists and are left out.
+    """
     layout = cut_lineage(sheets.sheet_layout(cells, headers))
+    if layout.isEmpty():
+        raise ValueError("no sheet of the workbook has the expected header")
     ranked = sheets.elect_primary(layout)
     rows = sheets.sheet_rows(cells, layout).join(ranked.select("sheet", "is_primary"), "sheet")
     rows = rows.select(

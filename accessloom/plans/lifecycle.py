@@ -25,9 +25,12 @@ def idempotency_key() -> Column:
 
 
 def workflow_runs(triggers: DataFrame, order: str | None = None) -> DataFrame:
-    """One run per type, person and trigger; repeated deliveries fold into the first."""
+    """One run per type, person and trigger; repeated deliveries fold into the first.
+
+    A delivery to execute beats any dry run of the same trigger.
+    """
     keyed = triggers.withColumn("idempotency_key", idempotency_key())
-    first = [F.col(order)] if order else [F.col("mode")]
+    first = [F.desc(F.col("mode") == "execute"), *([F.col(order)] if order else [])]
     return first_per_key(keyed, ["idempotency_key"], first)
 
 
@@ -113,7 +116,10 @@ def joiner_plan(
     failures = provisioning_failures.select("identity_id", "application").distinct().withColumn("failed", F.lit(True))
     located = requests.join(homes, ["identity_id", "application"], "left").join(
         failures, ["identity_id", "application"], "left")
-    links = grants.select("account_id", "entitlement_id").distinct().withColumn("linked", F.lit(True))
+    # Only links that a request could ask for again.
+    asked = located.filter(F.col("account_id").isNotNull()).select("account_id", "entitlement_id")
+    links = grants.select("account_id", "entitlement_id").join(asked, ["account_id", "entitlement_id"], "left_semi")
+    links = links.distinct().withColumn("linked", F.lit(True))
     located = located.join(links, ["account_id", "entitlement_id"], "left")
     account_step = (
         F.when(F.col("account_id").isNotNull(), "existing").when(F.col("failed"), "failed").otherwise("provision"))
@@ -126,6 +132,94 @@ def joiner_plan(
         "account_id")
 
 
+@dataclass(frozen=True)
+class ChangeResult:
+    """Runs, their steps, what each run asks for, the next grants, and one audit row per grant and revoke."""
+
+    runs: DataFrame
+    steps: DataFrame
+    requests: DataFrame
+    grants: DataFrame
+    audit: DataFrame
+
+
+def _change_runs(triggers: DataFrame, workflow: str, identities: DataFrame, prior_steps: DataFrame | None) -> DataFrame:
+    """Runs of known people with ``done`` where an earlier attempt already applied them."""
+    runs = workflow_runs(triggers.filter(F.col("workflow_type") == workflow)).join(identities.select("identity_id"), "identity_id")
+    if prior_steps is None:
+        return runs.withColumn("done", F.lit(False))
+    applied = prior_steps.filter("step_name = 'apply' and status = 'succeeded'").select("idempotency_key").distinct()
+    return runs.join(applied.withColumn("_applied", F.lit(True)), "idempotency_key", "left").withColumn(
+        "done", F.coalesce("_applied", F.lit(False))).drop("_applied")
+
+
+def _change_steps(runs: DataFrame, counted: DataFrame, compute: str) -> tuple[DataFrame, DataFrame]:
+    """(runs, steps) from the requests and open requests of each run."""
+    joined = runs.join(counted, "idempotency_key", "left").withColumns(
+        {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("requested", "open")})
+    apply = (
+        F.when(F.col("done"), "succeeded").when(F.col("mode") == "dry_run", "skipped")
+        .when(F.col("open") > 0, "pending").otherwise("succeeded"))
+    rows = joined.withColumn("apply", apply)
+    status = F.when(F.col("apply") == "pending", "partially_failed").otherwise("completed")
+    steps = rows.select("idempotency_key", "identity_id", F.inline(F.array(
+        F.struct(F.lit(compute).alias("step_name"), F.lit("succeeded").alias("status")),
+        F.struct(F.lit("apply").alias("step_name"), F.col("apply").alias("status")))))
+    return rows.select("idempotency_key", "identity_id", "mode", "requested", "open", status.alias("status")), steps
+
+
+def _audit(rows: DataFrame, workflow: str, action: Column, reason: Column) -> DataFrame:
+    return rows.select(
+        F.lit(f"system:{workflow}_workflow").alias("actor"), action.alias("action"), F.lit("grant").alias("object_type"),
+        F.concat_ws("/", F.coalesce(F.col("account_id").cast("string"), F.lit("new account")), "entitlement_id").alias("object_id"),
+        reason.alias("reason"), F.col("idempotency_key").alias("correlation_id"))
+
+
+def run_joiners(
+    triggers: DataFrame, identities: DataFrame, accounts: DataFrame, grants: DataFrame, entitlements: DataFrame,
+    provisioning_failures: DataFrame, prior_steps: DataFrame | None = None, **options,
+) -> ChangeResult:
+    """Joiner runs: requests from birthright, applied at once except where an account could not be made.
+
+    A run applied in ``prior_steps`` is not done again; a dry run computes its requests and changes nothing. Each request
+    carries the policy that approved it.
+    """
+    runs = cut_lineage(_change_runs(triggers, "joiner", identities, prior_steps))
+    plan = joiner_plan(identities, accounts, grants, entitlements, provisioning_failures, **options)
+    todo = runs.filter(~F.col("done")).select("idempotency_key", "identity_id", "mode")
+    requests = cut_lineage(plan.join(todo, "identity_id").withColumn("policy", F.lit("birthright")))
+    counted = requests.groupBy("idempotency_key").agg(
+        F.count("*").alias("requested"), F.count_if((F.col("decision") == "pending") & (F.col("mode") == "execute")).alias("open"))
+    all_runs, steps = _change_steps(runs, counted, "compute_birthright")
+    granted = requests.filter("mode = 'execute' and grant_step = 'grant'")
+    added = granted.filter(F.col("account_id").isNotNull()).select("account_id", "entitlement_id")
+    link = ["account_id", "entitlement_id"]
+    next_grants = grants.select(*link).unionByName(added.join(grants.select(*link), link, "left_anti").distinct())
+    return ChangeResult(all_runs, steps, requests, next_grants, _audit(granted, "joiner", F.lit("grant_entitlement"), F.col("rationale")))
+
+
+def run_movers(
+    triggers: DataFrame, identities: DataFrame, accounts: DataFrame, grants: DataFrame,
+    prior_steps: DataFrame | None = None, **options,
+) -> ChangeResult:
+    """Mover runs: the difference between what a person holds and what the new cohort holds, applied at once.
+
+    A grant for a person without an account stays open. Replay and dry run are as for joiners.
+    """
+    runs = cut_lineage(_change_runs(triggers, "mover", identities, prior_steps))
+    todo = runs.filter(~F.col("done")).select("idempotency_key", "identity_id", "mode")
+    delta = mover_delta(identities, accounts, grants, **options)
+    requests = cut_lineage(delta.join(todo, "identity_id").filter("action <> 'keep'"))
+    counted = requests.groupBy("idempotency_key").agg(
+        F.count("*").alias("requested"), F.count_if((F.col("mode") == "execute") & (F.col("action") == "grant_without_account")).alias("open"))
+    all_runs, steps = _change_steps(runs, counted, "compute_diff")
+    applied = requests.filter("mode = 'execute' and action <> 'grant_without_account'")
+    reason = F.when(F.col("action") == "grant", "usual in the new cohort").otherwise("not usual in the new cohort")
+    return ChangeResult(
+        all_runs, steps, requests, apply_mover(applied, grants),
+        _audit(applied, "mover", F.concat("action", F.lit("_entitlement")), reason))
+
+
 def new_accounts(plan: DataFrame, identities: DataFrame) -> DataFrame:
     """Accounts a joiner plan provisions, one per person and application."""
     needed = plan.filter("account_step = 'provision'").select("identity_id", "application").distinct()
@@ -195,7 +289,8 @@ def run_leavers(
     # Every output below reads these steps, so they are written once.
     steps = cut_lineage(steps)
 
-    per_account = grants.select("account_id", "entitlement_id").groupBy("account_id").agg(F.count("*").alias("links"))
+    per_account = grants.select("account_id", "entitlement_id").join(
+        steps.select("account_id"), "account_id", "left_semi").groupBy("account_id").agg(F.count("*").alias("links"))
     detailed = steps.join(per_account, "account_id", "left").withColumn("links", F.coalesce("links", F.lit(0)))
     summary = detailed.groupBy("idempotency_key").agg(
         F.count("*").alias("account_count"), F.count_if(F.col("status") == "succeeded").alias("disabled"),

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from accessloom.functions.hashing import canonical_json, input_hash, row_hash
 
+# Header and field names of the input formats.
 ROSTER_COLUMNS = (
     "employee_id", "full_name", "work_email", "title", "department", "manager_employee_id", "location", "hire_date",
     "termination_date", "employment_type", "status")
@@ -48,21 +50,38 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return located.join(starts, block).select("source_file", line.alias("source_line"), "value")
 
 
+def _fields(header: str) -> list[str]:
+    return next(csv.reader([header.removeprefix("\ufeff")]), [])
+
+
 def read_delimited(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV with a header: text columns, source_file, source_line and a ragged-row flag ``malformed``.
 
-    A row with too few or too many fields, or none, is flagged and kept. Columns are found by their
-    header name. A field must not contain a line break.
+    A row with too few or too many fields, or none, is flagged and kept. Columns are found by the header names of
+    their own file, so files of one path may order them differently; a file without one of them is an error. The
+    distinct header lines, not the files, reach the driver. A field must not contain a line break.
     """
-    header = spark.read.option("header", True).csv(path).columns
-    missing = [c for c in columns if c not in header]
-    if missing:
-        raise ValueError(f"{path} lacks columns {missing}")
-    schema = ", ".join(f"`{c}` string" for c in [*header, "_corrupt"])
+    lines = _numbered_lines(spark, path)
+    heads = lines.filter(F.col("source_line") < FIRST_LINE).select("source_file", F.col("value").alias("_header"))
+    layouts = {r[0]: _fields(r[0]) for r in heads.select("_header").distinct().collect()}
+    for fields in layouts.values():
+        missing = [c for c in columns if c not in fields]
+        if missing:
+            raise ValueError(f"{path} lacks columns {missing}")
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-    lines = _numbered_lines(spark, path).filter(F.col("source_line") >= FIRST_LINE)
-    parsed = lines.withColumn("_row", F.from_csv("value", schema, options))
-    malformed = F.col("_row").isNull() | F.col("_row._corrupt").isNotNull() | (F.trim("value") == "")
+
+    def parsed_as(fields: list[str]) -> Column:
+        row = F.from_csv("value", ", ".join(f"`{c}` string" for c in [*fields, "_corrupt"]), options)
+        return F.struct(row.isNull().alias("_none"), *[row[c].alias(c) for c in (*columns, "_corrupt")])
+
+    rows = lines.filter(F.col("source_line") >= FIRST_LINE)
+    if len(layouts) > 1:
+        rows = rows.join(heads, "source_file")
+        row = F.coalesce(*[F.when(F.col("_header") == h, parsed_as(fields)) for h, fields in layouts.items()])
+    else:
+        row = parsed_as(next(iter(layouts.values()), list(columns)))
+    parsed = rows.withColumn("_row", row)
+    malformed = F.col("_row._none") | F.col("_row._corrupt").isNotNull() | (F.trim("value") == "")
     return parsed.select(
         "source_file", "source_line", *[F.coalesce(F.col("_row")[c], F.lit("")).alias(c) for c in columns],
         malformed.alias("malformed"), F.when(malformed, F.col("value")).alias("raw_line"))
@@ -102,6 +121,24 @@ def read_cloud_iam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return users, roles
 
 
+def read_cloud_directory_lines(spark: SparkSession, path: str) -> DataFrame:
+    """JSON Lines export of users, one per line: splittable, for large directories."""
+    lines = _numbered_lines(spark, path).filter(F.trim("value") != "")
+    return lines.select("source_file", "source_line", F.from_json("value", CLOUD_USER).alias("user")).select(
+        "source_file", "source_line", "user.*")
+
+
+def read_cloud_iam_lines(spark: SparkSession, users_path: str, roles_path: str) -> tuple[DataFrame, DataFrame]:
+    """(users, roles) of an IAM export landed as two JSON Lines files."""
+    def part(path: str, name: str) -> DataFrame:
+        element = F.from_json("value", IAM_DOCUMENT)[name]
+        wrapped = _numbered_lines(spark, path).filter(F.trim("value") != "").withColumn(
+            "value", F.concat(F.lit(f'{{"{name}":['), "value", F.lit("]}")))
+        return wrapped.select("source_file", "source_line", F.inline(element))
+
+    return part(users_path, "users"), part(roles_path, "roles").drop("source_line")
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """Spreadsheet cells exported as a (sheet, row, col, value) table."""
     return spark.read.schema(CELL_SCHEMA).parquet(path)

@@ -5,7 +5,6 @@ Every projection is a per-row formula (or one join) over whole tables, so feeds
 
 from __future__ import annotations
 
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -236,6 +235,24 @@ class Fixtures:
             F.when(F.col("_s").isin(1, 2), "revoke").when(F.col("_s") == 3, "approve").otherwise("delegate").alias("decision"),
             F.when(F.col("_s") == 1, "not needed").alias("reason"), F.lit("reviewer").alias("actor"))
 
+    def repeated_decisions(self, items: DataFrame) -> DataFrame:
+        """Decisions with their time, some items decided again a day later: approvals of even accounts are revoked."""
+        day = F.lit(AS_OF[:10]).cast("date")
+        first = self.decisions(items).withColumn("decided_on", day)
+        again = first.filter((F.col("decision") == "approve") & (F.col("account_id") % 2 == 0)).withColumns({
+            "decision": F.lit("revoke"), "reason": F.lit("second look"), "actor": F.lit("second reviewer"),
+            "decided_on": F.date_add(day, 1)})
+        return first.unionByName(again)
+
+    def change_triggers(self, workflow: str) -> DataFrame:
+        """Joiner or mover events: every third person for real, another third as a dry run, some both."""
+        k = F.col("c_custkey")
+        modes = F.filter(
+            F.array(F.when(k % 3 == 0, "execute"), F.when((k % 3 == 1) | (k % 12 == 0), "dry_run")), lambda m: m.isNotNull())
+        return self.table("customer").select(
+            k.alias("identity_id"), F.lit(workflow).alias("workflow_type"),
+            F.concat(F.lit("hr-"), k.cast("string")).alias("trigger_event_id"), F.explode(modes).alias("mode"))
+
     # ---- raw feeds -------------------------------------------------------------------------
 
     def roster_raw(self) -> DataFrame:
@@ -315,7 +332,7 @@ class Fixtures:
         o, owner = F.col("o_orderkey"), F.col("o_custkey")
         _, _, last = _name_parts(owner)
         domain = F.when(o % 16 == 0, LEGACY_DOMAIN).otherwise(CORPORATE_DOMAIN)
-        return self.table("orders").filter(F.col("o_orderpriority") == "2-HIGH").select(
+        return self.table("orders").select(
             (o + 2).alias("source_line"), F.concat(F.lit("crm"), o.cast("string")).alias("username"),
             F.when(o % 23 == 0, F.concat(F.lit("Ms. "), last)).otherwise(full_name(owner)).alias("name"),
             F.concat(F.when(o % 29 == 0, F.concat(F.lit("q"), o.cast("string"))).otherwise(handle(owner)),
@@ -327,7 +344,7 @@ class Fixtures:
 
     def iam_users_raw(self) -> DataFrame:
         k = F.col("o_custkey")
-        owners = self.table("orders").filter(F.col("o_orderpriority") == "5-LOW").select("o_custkey").distinct()
+        owners = self.table("orders").select("o_custkey").distinct()
         name = F.when(k % 9 == 0, F.concat(F.lit("automation-"), k.cast("string"))).otherwise(handle(k))
         keys = F.transform(
             F.filter(F.sequence(F.lit(0), (k % 3).cast("int")), lambda i: i > 0),
@@ -432,8 +449,8 @@ class Fixtures:
 
         def rows(run: str, resolved: Column, how: str, who: str) -> DataFrame:
             return self.table("orders").select(
-                (o + 2).alias("source_line"), F.lit("NO_IDENTITY_MATCH").alias("reason_code"),
-                F.concat(F.lit(run + " saw "), o.cast("string")).alias("explanation"),
+                F.when(o % 4 == 0, "sheet").alias("source_sheet"), (o + 2).alias("source_line"),
+                F.lit("NO_IDENTITY_MATCH").alias("reason_code"), F.concat(F.lit(run + " saw "), o.cast("string")).alias("explanation"),
                 F.col("o_custkey").cast("string").alias("candidate_ids"),
                 F.when(resolved, "resolved").otherwise("open").alias("status"),
                 F.when(resolved, how).otherwise(none).alias("resolution"),
@@ -446,6 +463,3 @@ class Fixtures:
         old = rows("run-1", o % 6 == 0, "confirmed by hand", "person").filter(early).drop("o_orderdate")
         new = rows("run-2", o % 5 == 0, "auto-resolved", "system").filter(late).drop("o_orderdate")
         return old, new
-
-
-Builder = Callable[[Fixtures], DataFrame]

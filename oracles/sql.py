@@ -150,15 +150,16 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "f_sod": ("""SELECT 'SOD_CONFLICT' AS rule_code, 'identity' AS subject_type, identity_id::VARCHAR AS subject_id, 5 AS base_points,
         1 AS privileged_points, CASE WHEN lifecycle_status='active' THEN 2 ELSE 0 END AS context_points, 2 AS extra_points,
         name||' holds both sides of a separation-of-duties conflict: cold widget with small ring.' AS explanation
-      FROM identity WHERE identity_id IN (SELECT owner_id FROM links JOIN account USING (account_id) JOIN entitlement USING (entitlement_id)
-          WHERE name ILIKE '%cold widget%')
-        AND identity_id IN (SELECT owner_id FROM links JOIN account USING (account_id) JOIN entitlement USING (entitlement_id)
-          WHERE name ILIKE '%small ring%')""", ("identity", "links", "account", "entitlement")),
+      FROM identity JOIN (SELECT identity_id FROM sod_side GROUP BY identity_id HAVING bool_or(cold) AND bool_or(small)) USING (identity_id)""",
+              ("identity", "sod_side")),
+    "sod_side": ("""SELECT owner_id AS identity_id, name ILIKE '%cold widget%' AS cold, name ILIKE '%small ring%' AS small
+      FROM (SELECT entitlement_id, name FROM entitlement WHERE name ILIKE '%cold widget%' OR name ILIKE '%small ring%')
+      JOIN links USING (entitlement_id) JOIN account USING (account_id) WHERE owner_id IS NOT NULL""", ("entitlement", "links", "account")),
     "f_mgr": ("""SELECT 'MISSING_MANAGER' AS rule_code, 'identity' AS subject_type, identity_id::VARCHAR AS subject_id, 3 AS base_points,
-        CASE WHEN identity_id IN (SELECT owner_id FROM account JOIN priv USING (account_id) WHERE owner_id IS NOT NULL)
-          THEN 2 ELSE 0 END AS privileged_points, 0 AS context_points, 0 AS extra_points,
+        CASE WHEN strong.owner_id IS NOT NULL THEN 2 ELSE 0 END AS privileged_points, 0 AS context_points, 0 AS extra_points,
         name||' has no manager on record; reviews fall back to the IAM queue.' AS explanation
-      FROM identity WHERE lifecycle_status='active' AND manager_id IS NULL AND department<>'NATION_0'""",
+      FROM identity LEFT JOIN (SELECT DISTINCT owner_id FROM account JOIN priv USING (account_id)) strong ON strong.owner_id=identity_id
+      WHERE lifecycle_status='active' AND manager_id IS NULL AND department<>'NATION_0'""",
               ("identity", "account", "priv")),
     "raw_finding": ("""SELECT * FROM f_term UNION ALL SELECT * FROM f_orph UNION ALL SELECT * FROM f_dorm UNION ALL SELECT * FROM f_nhi
         UNION ALL SELECT * FROM f_out UNION ALL SELECT * FROM f_sod UNION ALL SELECT * FROM f_mgr""",
@@ -179,14 +180,16 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         WHERE owner_id IS NOT NULL GROUP BY ALL""", ("links", "account")),
     "right_": ("""SELECT me.identity_id, c.entitlement_id, (c.n - CASE WHEN me.lifecycle_status='active' AND own.identity_id IS NOT NULL
           THEN 1 ELSE 0 END) / (s.n - CASE WHEN me.lifecycle_status='active' THEN 1 ELSE 0 END) AS prevalence
-      FROM identity me JOIN (SELECT department, title, count(*) n FROM identity WHERE lifecycle_status='active' GROUP BY ALL) s
-        ON s.department=me.department AND s.title=me.title
-      JOIN (SELECT department, title, entitlement_id, count(*) n FROM held JOIN identity USING (identity_id)
-            WHERE lifecycle_status='active' GROUP BY ALL) c ON c.department=me.department AND c.title=me.title
+      FROM identity me JOIN cohort s ON s.department=me.department AND s.title=me.title
+      JOIN cohort_held c ON c.department=me.department AND c.title=me.title
       LEFT JOIN held own ON own.identity_id=me.identity_id AND own.entitlement_id=c.entitlement_id
       WHERE s.n - CASE WHEN me.lifecycle_status='active' THEN 1 ELSE 0 END >= 3
         AND (c.n - CASE WHEN me.lifecycle_status='active' AND own.identity_id IS NOT NULL THEN 1 ELSE 0 END)
-          / (s.n - CASE WHEN me.lifecycle_status='active' THEN 1 ELSE 0 END) >= 0.6""", ("identity", "held")),
+          / (s.n - CASE WHEN me.lifecycle_status='active' THEN 1 ELSE 0 END) >= 0.6""", ("identity", "held", "cohort", "cohort_held")),
+    "cohort": ("SELECT department, title, count(*) n FROM identity WHERE lifecycle_status='active' GROUP BY ALL", ("identity",)),
+    "cohort_held": ("""SELECT c.department, c.title, entitlement_id, h.n FROM cohort c JOIN (SELECT department, title, entitlement_id, count(*) n
+        FROM held JOIN identity USING (identity_id) WHERE lifecycle_status='active' GROUP BY ALL) h
+        ON h.department=c.department AND h.title=c.title AND h.n >= 0.6*(c.n-1)""", ("cohort", "held", "identity")),
     "leaver_step": ("""SELECT i.identity_id, a.account_id, a.enabled, a.account_type, a.username, a.account_id%11<>0 AS ok,
         'leaver:'||i.identity_id||':hr-'||i.identity_id AS idempotency_key,
         'disable_'||CASE WHEN a.username LIKE '%onmicrosoft.com%' THEN 'cloud' ELSE 'directory' END||':'||a.account_id AS step_name
@@ -289,11 +292,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         (o%9<>0)::INT AS enabled,
         (['System Administrator','Sales Admin','Sales User','Read Only'])[(o//5)%4+1] AS profile,
         (['','Revenue_Admin|Data_Export','Opportunity_Approver|'])[o%3+1] AS permission_sets
-      FROM (SELECT o_orderkey AS o, o_custkey AS w FROM orders WHERE o_orderpriority='2-HIGH')""", ()),
+      FROM (SELECT o_orderkey AS o, o_custkey AS w FROM orders)""", ()),
     "iam_raw": (f"""SELECT k, CASE WHEN k%9=0 THEN 'automation-'||k ELSE {_handle('k')} END AS username,
         'arn:aws:iam::000000000000:user/'||k AS native_id, CASE k%3 WHEN 0 THEN 0 WHEN 1 THEN (k*37+11)%900
           ELSE greatest((k*37+11)%900,(k*37+22)%900) END::INT AS oldest_key_days
-      FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderpriority='5-LOW')""", ()),
+      FROM (SELECT DISTINCT o_custkey AS k FROM orders)""", ()),
     "iam": ("""SELECT native_id, username, CASE WHEN h.holders=1 THEN h.holder_id END AS owner_identity_id,
         CASE WHEN h.holders=1 THEN 'human' ELSE 'unknown' END AS account_type, oldest_key_days, coalesce(h.holders,0) AS holders,
         CASE WHEN h.holders=1 THEN 'normalized' ELSE 'quarantined' END AS stage,
@@ -425,8 +428,11 @@ def _scored(feed: str, tag: str = "") -> dict[str, tuple[str, tuple[str, ...]]]:
     }
 
 
-# Pair lists are kept as such, so the costly ratio is not evaluated inside the join.
-_KEPT = {"near_pair": "MATERIALIZED ", "near_name": "MATERIALIZED "}
+# Pair lists are kept as such, so the costly ratio is not evaluated inside the join; what several parts of a statement
+# read is made once.
+_KEPT = dict.fromkeys(
+    ("near_pair", "near_name", "identity", "account", "entitlement", "links", "priv", "fact", "held", "holding", "cohort",
+     "cohort_held", "sod_side", "outlier", "valid_disposition", "raw_finding"), "MATERIALIZED ")
 
 
 def _statement(final: str, *needed: str, feed: str | None = None) -> str:
@@ -536,14 +542,14 @@ ORACLES: dict[str, str] = {
           WHERE o_orderdate>=TIMESTAMP '1995-07-01')
       SELECT * FROM was UNION ALL SELECT * FROM now_ n WHERE NOT EXISTS (SELECT 1 FROM was w WHERE w.source_line=n.source_line
         AND w.raw_hash=n.raw_hash AND w.source_sheet IS NOT DISTINCT FROM n.source_sheet)""",
-    "quarantine_merge": """SELECT o_orderkey+2 AS source_line, 'NO_IDENTITY_MATCH' AS reason_code,
+    "quarantine_merge": """SELECT CASE WHEN o_orderkey%4=0 THEN 'sheet' END AS source_sheet, o_orderkey+2 AS source_line, 'NO_IDENTITY_MATCH' AS reason_code,
         CASE WHEN fresh THEN 'run-2 saw ' ELSE 'run-1 saw ' END||o_orderkey AS explanation, o_custkey::VARCHAR AS candidate_ids,
         CASE WHEN known AND o_orderkey%6=0 OR fresh AND o_orderkey%5=0 THEN 'resolved' ELSE 'open' END AS status,
         CASE WHEN known AND o_orderkey%6=0 THEN 'confirmed by hand' WHEN fresh AND o_orderkey%5=0 THEN 'auto-resolved' END AS resolution,
         CASE WHEN known AND o_orderkey%6=0 THEN 'person' WHEN fresh AND o_orderkey%5=0 THEN 'system' END AS resolved_by,
         CASE WHEN known AND o_orderkey%6=0 OR fresh AND o_orderkey%5=0 THEN '2001-12-31' END AS resolved_at
       FROM (SELECT *, o_orderdate<TIMESTAMP '2001-01-01' AS known, o_orderdate>=TIMESTAMP '1995-07-01' AS fresh FROM orders) WHERE known OR fresh""",
-    "record_outcomes": """SELECT o_orderkey+2 AS source_line, CASE WHEN o_orderdate<TIMESTAMP '2001-01-01' THEN 'quarantined' ELSE 'normalized' END
+    "record_outcomes": """SELECT CASE WHEN o_orderkey%4=0 THEN 'sheet' END AS source_sheet, o_orderkey+2 AS source_line, CASE WHEN o_orderdate<TIMESTAMP '2001-01-01' THEN 'quarantined' ELSE 'normalized' END
         AS outcome FROM orders""",
     "account_snapshot": _statement("""SELECT native_id, origin, source_line FROM (SELECT *, row_number() OVER (PARTITION BY native_id
         ORDER BY side DESC, source_line DESC) rn FROM (SELECT local AS native_id, profile AS origin, source_line, 0 AS side FROM crm_raw
@@ -667,3 +673,60 @@ ORACLES: dict[str, str] = {
         SELECT CASE event_type WHEN 'signup' THEN 'joiner' WHEN 'error' THEN 'leaver' ELSE 'mover' END AS workflow_type, user_id AS identity_id,
           strftime(ts,'%Y-%m-%d') AS day, ts, event_id FROM events)) WHERE rn=1 ORDER BY ts DESC, idempotency_key LIMIT 100""",
 }
+
+_CHANGE = "(SELECT c_custkey AS k, CASE WHEN c_custkey%3=0 THEN 'execute' ELSE 'dry_run' END AS mode FROM customer WHERE c_custkey%3<2)"
+
+
+def _runs(workflow: str, requests: str, counts: str, open_: str) -> str:
+    return f"""SELECT *, CASE WHEN open>0 THEN 'partially_failed' ELSE 'completed' END AS status FROM (
+        SELECT '{workflow}:'||k||':hr-'||k AS idempotency_key, k AS identity_id, mode, count_if(coalesce({counts}, false))::BIGINT AS requested,
+          count_if(coalesce(mode='execute' AND {open_}, false))::BIGINT AS open FROM {_CHANGE} LEFT JOIN ({requests}) ON identity_id=k GROUP BY k, mode)"""
+
+
+_FOUND = _statement("SELECT finding_key, rule_code, risk_score, status FROM finding", "finding")
+
+
+def _findings_after(gone: str) -> str:
+    return f"""WITH cur AS ({_FOUND}) SELECT * FROM cur
+      UNION ALL SELECT finding_key, rule_code, 1, 'resolved' FROM cur WHERE ascii(right(finding_key, 1))%4=1
+      UNION ALL SELECT 'GONE:identity:'||c_custkey, 'GONE', 2, {gone} FROM customer"""
+
+
+_GROUPS = f"SELECT DISTINCT entitlement_native_id AS g FROM ({ORACLES['directory_grants']}) UNION SELECT unnest(['Plant-Ops-Leads','Manufacturing-All','All-Employees'])"
+
+ORACLES |= {
+    "findings_upsert": _findings_after("CASE WHEN c_custkey%2=0 THEN 'open' ELSE 'accepted' END"),
+    "findings_upsert_resolved": _findings_after("'resolved'"),
+    "ingest_entitlements": f"SELECT 'Directory' AS application, g AS native_id, g AS name, 'group' AS type, 0 AS privileged FROM ({_GROUPS})",
+    "ingest_twice": f"""SELECT part, n AS first_load, n AS second_load FROM (
+        SELECT 'accounts' AS part, count(*) AS n FROM ({ORACLES['directory_accounts']})
+        UNION ALL SELECT 'entitlements', count(*) FROM ({_GROUPS}) UNION ALL SELECT 'grants', count(*) FROM ({ORACLES['directory_grants']})
+        UNION ALL SELECT 'edges', 2
+        UNION ALL SELECT unnest(['identities', 'aliases']), count(DISTINCT lower(native_id)) FROM ({ORACLES['directory_classify']})
+          WHERE reason_code='CONTRACTOR_CLASSIFIED'
+        UNION ALL SELECT 'quarantine', count(*) FROM ({ORACLES['directory_classify']}) WHERE stage='quarantined')""",
+    "ingest_next": """SELECT 'crm'||o_orderkey AS native_id, ((o_orderkey%9<>0) = (o_orderkey%3=1))::INT AS enabled, o_orderkey+2 AS source_line
+      FROM orders""",
+    "joiner_runs": _runs("joiner", ORACLES["joiner_plan"], "decision IS NOT NULL", "decision='pending'"),
+    "joiner_audit": f"""SELECT 'grant_entitlement' AS action, coalesce(account_id, 'new account')||'/'||entitlement_id AS object_id, rationale AS reason,
+        'joiner:'||identity_id||':hr-'||identity_id AS correlation_id FROM ({ORACLES['joiner_plan']}) WHERE identity_id%3=0 AND grant_step='grant'""",
+    "joiner_replay": f"""SELECT 'joiner:'||identity_id||':hr-'||identity_id AS idempotency_key, entitlement_id, decision, 'birthright' AS policy
+      FROM (SELECT *, count_if(decision='pending') OVER (PARTITION BY identity_id) AS waiting FROM ({ORACLES['joiner_plan']}))
+      WHERE identity_id%3=1 OR identity_id%3=0 AND waiting>0""",
+    "mover_runs": _runs("mover", ORACLES["mover_delta"], "action<>'keep'", "action='grant_without_account'"),
+    "mover_audit": f"""SELECT action||'_entitlement' AS action, account_id||'/'||entitlement_id AS object_id,
+        'mover:'||identity_id||':hr-'||identity_id AS correlation_id FROM ({ORACLES['mover_delta']}) WHERE identity_id%3=0 AND action IN ('grant','revoke')""",
+    "mover_grants": f"""WITH change AS (SELECT account_id::BIGINT AS account_id, entitlement_id, action FROM ({ORACLES['mover_delta']}) WHERE identity_id%3=0),
+        held AS ({_statement('SELECT * FROM links', 'links')})
+      SELECT account_id, entitlement_id FROM held ANTI JOIN (SELECT * FROM change WHERE action='revoke') c USING (account_id, entitlement_id)
+      UNION SELECT account_id, entitlement_id FROM change WHERE action='grant'""",
+    "leaver_both_modes": ORACLES["leaver_plan"],
+    "campaign_redecided": _statement("""SELECT account_id, entitlement_id, CASE WHEN again THEN 'revoke' ELSE decision END AS decision,
+        CASE WHEN again THEN 'second look' WHEN decision='revoke' THEN 'not needed' END AS reason,
+        CASE WHEN again THEN 'second reviewer' WHEN decision IS NOT NULL THEN 'reviewer' END AS actor
+      FROM (SELECT *, coalesce(decision='approve', false) AND account_id%2=0 AS again FROM decided)""", "decided"),
+    "decision_audit": _statement("""SELECT 'reviewer' AS actor, 'review_decision:'||decision AS action, account_id||'/'||entitlement_id AS object_id,
+        CASE WHEN decision='revoke' THEN 'not needed' END AS reason, '2001-12-31' AS decided_on FROM decided WHERE decision IS NOT NULL
+      UNION ALL SELECT 'second reviewer', 'review_decision:revoke', account_id||'/'||entitlement_id, 'second look', '2002-01-01' FROM decided
+        WHERE decision='approve' AND account_id%2=0""", "decided"),
+}
