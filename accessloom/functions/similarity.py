@@ -33,13 +33,14 @@ def indel_ratio(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(100.0)).otherwise(ratio_from_distance(total - 2 * lcs_length(a, b), total))
 
 
-def at_least(a: Column, b: Column, threshold: int) -> Column:
-    """``indel_ratio >= threshold`` with cheap rejections first.
+def maybe_at_least(a: Column, b: Column, threshold: int) -> Column:
+    """False only where ``indel_ratio`` is surely below: the Levenshtein distance never exceeds the Indel distance."""
+    allowed = F.floor((F.length(a) + F.length(b)) * (100 - threshold) / 100)
+    return (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)
+
 
-    The Levenshtein distance never exceeds the Indel distance, so rejecting on it is safe.
-    """
+def at_least(a: Column, b: Column, threshold: int) -> Column:
+    """``indel_ratio >= threshold`` with cheap rejections first."""
     total = F.length(a) + F.length(b)
-    allowed = F.floor(total * (100 - threshold) / 100)
-    near = (F.abs(F.length(a) - F.length(b)) <= allowed) & (F.levenshtein(a, b) <= allowed)
-    verdict = F.when(a == b, True).when(near, 2 * lcs_length(a, b) * 100 >= total * threshold).otherwise(False)
+    verdict = F.when(a == b, True).when(maybe_at_least(a, b, threshold), 2 * lcs_length(a, b) * 100 >= total * threshold).otherwise(False)
     return F.when((a == "") | (b == ""), False).otherwise(verdict)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -13,8 +14,11 @@ from accessloom.session import cut_lineage
 MAX_DEPTH = 10
 
 
-def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(root_id, node_id, depth, path, path_names): each entitlement and all it implies, once per root.
+def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+    """(root_id, node_id, depth, path, path_names, truncated): each entitlement and all it implies, once per root.
+
+    With ``max_depth`` None the walk goes on until nothing new is found. ``truncated`` marks the rows at the bound from
+    which the walk would have gone on.
 
     Breadth-first over distinct roots, not over grants. A node keeps its shortest path, the
     smallest by ids among equals, so cycles end and results do not depend on row order.
@@ -29,7 +33,7 @@ def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
     frontier = start.join(steps.select(F.col("child_id").alias("root_id")).distinct(), "root_id", "left_semi")
     levels: list[DataFrame] = []
     visited = frontier.select("root_id", "node_id")
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         onward = frontier.join(steps, frontier["node_id"] == steps["child_id"]).select(
             "root_id", F.col("parent_id").alias("node_id"), (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array("parent_id")).alias("path"),
@@ -40,14 +44,27 @@ def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int = MAX_DE
             break
         levels.append(frontier)
         visited = visited.unionByName(frontier.select("root_id", "node_id"))
-    return reduce(DataFrame.unionByName, levels, start)
+    else:
+        if levels:
+            beyond = frontier.join(steps, frontier["node_id"] == steps["child_id"]).select(
+                "root_id", F.col("parent_id").alias("next"), F.col("node_id").alias("last"))
+            seen = visited.select("root_id", F.col("node_id").alias("next"))
+            open_ = beyond.join(seen, ["root_id", "next"], "left_anti").select("root_id", F.col("last").alias("node_id")).distinct()
+            levels[-1] = frontier.join(open_.withColumn("truncated", F.lit(True)), ["root_id", "node_id"], "left").withColumn(
+                "truncated", F.coalesce("truncated", F.lit(False)))
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), levels, start.withColumn("truncated", F.lit(False)))
+    return found.withColumn("truncated", F.coalesce("truncated", F.lit(False)))
 
 
 def effective_access(
-    accounts: DataFrame, grants: DataFrame, entitlements: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH
+    accounts: DataFrame, grants: DataFrame, entitlements: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH,
+    wanted: Column | None = None,
 ) -> DataFrame:
-    """Direct and inherited access of every owned account with the path that gives it."""
-    attributes = entitlements.select(
+    """Direct and inherited access of every owned account with the path that gives it.
+
+    ``wanted``, a condition on entitlement columns, keeps what leads to such entitlements only, before grants are read.
+    """
+    attributes = (entitlements if wanted is None else entitlements.filter(wanted)).select(
         F.col("entitlement_id").alias("node_id"), F.col("name").alias("entitlement_name"),
         F.col("type").alias("entitlement_type"), "privileged")
     reach = reachable(entitlements, edges, max_depth).join(attributes, "node_id").withColumnRenamed("root_id", "entitlement_id")

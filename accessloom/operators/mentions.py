@@ -4,31 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from accessloom.session import cut_lineage
+
 ANCHOR = 4
 
 
 def first_mentioned(texts: DataFrame, identities: DataFrame) -> DataFrame:
     """(text, identity_id): smallest identity whose lower-cased name is a substring of the text.
 
-    Names meet texts on their first ANCHOR characters at every text position; only positions that
-    hit an anchor are widened to the name lengths seen under it and compared whole. Both join
-    sides on names are unique per key, so a common first name cannot multiply rows.
+    Names meet texts on their first ANCHOR characters at every text position; only positions that hit an anchor are
+    widened to the name lengths seen under it and compared whole. A position carries a slice no longer than the
+    longest name, not the text. Both join sides on names are unique per key, so a common first name cannot
+    multiply rows. Names shorter than ANCHOR, if there are any, meet slices of their own length.
     """
     names = (
         identities.filter(F.col("name") != "").select(F.lower("name").alias("needle"), "identity_id")
         .groupBy("needle").agg(F.min("identity_id").alias("identity_id")))
-    # One row per anchor; lengths are bounded by the longest name.
-    anchors = names.groupBy(F.substring("needle", 1, ANCHOR).alias("anchor")).agg(
-        F.collect_set(F.length("needle")).alias("lengths"))
-    widths = F.sequence(F.lit(1), F.lit(ANCHOR))
-    positions = texts.select("text").filter(F.col("text") != "").distinct().withColumn("lowered", F.lower("text")).select(
-        "text", "lowered", F.explode(F.sequence(F.lit(1), F.length("lowered"))).alias("at")).select(
-        "text", "lowered", "at", F.explode(widths).alias("width")).filter(
-        F.col("at") + F.col("width") - 1 <= F.length("lowered")).select(
-        "text", "lowered", "at", F.substr("lowered", "at", "width").alias("anchor"))
-    widened = positions.join(anchors, "anchor").select(
-        "text", "lowered", "at", "anchor", F.explode("lengths").alias("length")).filter(
-        (F.length("anchor") == F.least(F.col("length"), F.lit(ANCHOR)))
-        & (F.col("at") + F.col("length") - 1 <= F.length("lowered")))
-    found = widened.select("text", F.substr("lowered", "at", "length").alias("needle")).join(names, "needle")
-    return found.groupBy("text").agg(F.min("identity_id").alias("identity_id"))
+    names = cut_lineage(names.withColumn("length", F.length("needle")))
+    bounds = names.agg(F.max("length"), F.sort_array(F.collect_set(F.when(F.col("length") < ANCHOR, F.col("length"))))).first()
+    longest, short = bounds[0] or 0, bounds[1]
+    keyed = cut_lineage(texts.select("text").filter(F.col("text") != "").distinct().withColumn(
+        "text_id", F.monotonically_increasing_id()))
+    lowered = keyed.select("text_id", F.lower("text").alias("lowered"))
+    slices = lowered.select("text_id", "lowered", F.explode(F.sequence(F.lit(1), F.length("lowered"))).alias("at")).select(
+        "text_id", F.substr("lowered", "at", F.lit(longest)).alias("slice"))
+
+    anchors = names.filter(F.col("length") >= ANCHOR).groupBy(F.substring("needle", 1, ANCHOR).alias("anchor")).agg(
+        F.collect_set("length").alias("lengths"))
+    wide = slices.filter(F.length("slice") >= ANCHOR).withColumn("anchor", F.substring("slice", 1, ANCHOR)).join(anchors, "anchor")
+    parts = wide.select("text_id", "slice", F.explode("lengths").alias("length")).filter(
+        F.length("slice") >= F.col("length")).select("text_id", F.substr("slice", F.lit(1), F.col("length")).alias("needle"))
+    if short:
+        widths = F.explode(F.array(*[F.lit(n) for n in short]))
+        parts = parts.unionByName(slices.select("text_id", "slice", widths.alias("length")).filter(
+            F.length("slice") >= F.col("length")).select("text_id", F.substr("slice", F.lit(1), F.col("length")).alias("needle")))
+    found = parts.join(names.select("needle", "identity_id"), "needle").groupBy("text_id").agg(F.min("identity_id").alias("identity_id"))
+    return keyed.join(found, "text_id").select("text", "identity_id")

@@ -206,6 +206,18 @@ def fuzzy_name_match(f: Fixtures) -> DataFrame:
     return fuzzy.similar_names(cut_lineage(asked), cut_lineage(known)).select("probe_name", "index_name", _ratio("ratio"))
 
 
+def fuzzy_long_names(f: Fixtures) -> DataFrame:
+    """Names followed by another person's, over 25 characters, on both sides at 90 or more."""
+    second = fx.full_name(F.expr("(source_line - 2) div 8"))
+
+    def named(feed: DataFrame, name: str) -> DataFrame:
+        return feed.select(text.normalize_name(F.concat_ws(" ", F.col(name), second)).alias("name"))
+
+    return fuzzy.similar_names(
+        cut_lineage(named(f.cloud_raw(), "displayName")), cut_lineage(named(f.roster_raw(), "full_name"))).select(
+        "probe_name", "index_name", _ratio("ratio"))
+
+
 # ---- merges -------------------------------------------------------------------------------
 
 
@@ -254,11 +266,11 @@ def effective_access(f: Fixtures) -> DataFrame:
 
 
 def why_entitlement(f: Fixtures) -> DataFrame:
-    return triage.why(_access(f), "promo")
+    return triage.why(f.accounts(), f.grants(), f.entitlements(), f.edges(), "promo")
 
 
 def identity_360(f: Fixtures) -> DataFrame:
-    return triage.identity_360(f.identities(), _access(f), "alber")
+    return triage.identity_360(f.identities(), f.accounts(), f.grants(), f.entitlements(), f.edges(), "alber")
 
 
 def reviewer_routing(f: Fixtures) -> DataFrame:
@@ -584,7 +596,7 @@ QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
         roster_aliases, roster_quarantine, status_date_conflict, correlate_accounts, reconcile_cloud,
         correlation_decisions, directory_classify, directory_accounts, directory_grants, text_owner_mention,
         crm_accounts, crm_grants, iam_unique_owner, iam_role_edges, iam_role_privilege, sheet_header_detect,
-        sheet_primary, sheet_name_match, fuzzy_name_match, source_upsert, quarantine_merge, record_outcomes,
+        sheet_primary, sheet_name_match, fuzzy_name_match, fuzzy_long_names, source_upsert, quarantine_merge, record_outcomes,
         account_snapshot, entitlement_closure, effective_access, why_entitlement, identity_360, reviewer_routing,
         birthright, joiner_plan, mover_delta, leaver_plan, leaver_replay, leaver_remaining_grants, leaver_audit,
         workflow_dedup, campaign_items, campaign_launch_gate, campaign_rejected, campaign_progress, evidence_pack,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from accessloom.functions.text import contains_ci
-from accessloom.operators.graph import path_text
+from accessloom.operators.graph import effective_access, path_text
 
 
 def why_not(identities: DataFrame, items: DataFrame, accounts: DataFrame, grants: DataFrame, application: str) -> DataFrame:
@@ -23,18 +23,22 @@ def why_not(identities: DataFrame, items: DataFrame, accounts: DataFrame, grants
         "identity_id", "name", F.coalesce("review_items", F.lit(0)).alias("review_items"), reason.alias("reason_code"))
 
 
-def why(access: DataFrame, entitlement_text: str) -> DataFrame:
-    """Access rows whose entitlement name contains the text, and how each came about."""
+def why(accounts: DataFrame, grants: DataFrame, entitlements: DataFrame, edges: DataFrame, entitlement_text: str) -> DataFrame:
+    """Access to entitlements whose name contains the text, and how it came about. Only grants that lead there are read on."""
+    access = effective_access(accounts, grants, entitlements, edges, wanted=contains_ci(F.col("name"), entitlement_text))
     how = F.when(F.col("grant_type") == "direct", "direct grant").otherwise(path_text(F.col("path_names")))
-    return access.filter(contains_ci(F.col("entitlement_name"), entitlement_text)).select(
+    return access.select(
         "identity_id", "account_id", "application", "granted_id", "entitlement_id", "entitlement_name", how.alias("how"))
 
 
-def identity_360(identities: DataFrame, access: DataFrame, name_text: str) -> DataFrame:
-    """All access of the people whose name contains the text."""
+def identity_360(
+        identities: DataFrame, accounts: DataFrame, grants: DataFrame, entitlements: DataFrame, edges: DataFrame,
+        name_text: str) -> DataFrame:
+    """All access of the people whose name contains the text. Accounts of others are left out before grants are joined."""
     people = identities.filter(contains_ci(F.col("name"), name_text)).select(
         "identity_id", "name", "title", "department", "lifecycle_status")
-    return access.join(people, "identity_id").select(
+    theirs = accounts.join(people.select(F.col("identity_id").alias("owner_id")), "owner_id", "left_semi")
+    return effective_access(theirs, grants, entitlements, edges).join(people, "identity_id").select(
         "identity_id", "name", "title", "department", "lifecycle_status", "account_id", "application",
         "entitlement_name", "entitlement_type", path_text(F.col("path_names")).alias("how"))
 

@@ -10,7 +10,11 @@ from accessloom.plans.lifecycle import idempotency_key
 
 
 def fold_triggers(triggers: DataFrame, event_time: str, late_by: str = "7 days") -> DataFrame:
-    """Keep the first delivery of each lifecycle trigger; state is dropped once ``late_by`` has passed."""
+    """Keep the first delivery of each lifecycle trigger; state is dropped once ``late_by`` has passed.
+
+    A delivery that arrives later than ``late_by`` behind the newest one is dropped by the watermark, seen before or
+    not. Land deliveries first and run ``workflow_runs`` over them where late ones must count.
+    """
     keyed = triggers.withColumn("idempotency_key", idempotency_key()).withWatermark(event_time, late_by)
     return keyed.dropDuplicatesWithinWatermark(["idempotency_key"])
 

@@ -377,6 +377,11 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
       FROM asked a JOIN sorted_person p ON {_near('a.sorted_norm', 'p.sorted_norm')} WHERE a.form='full'""", ("asked", "sorted_person")),
     "fuzzy_pair": (f"""SELECT raw_name, sorted_norm, holders, identity_id, {_ratio('asked_norm', 'sorted_norm')} AS ratio FROM near_pair""",
                    ("near_pair",)),
+    "long_name": (f"""SELECT {_norm("full_name||' '||second")} AS known, {_norm("shown||' '||second")} AS asked
+      FROM (SELECT full_name, shown, {_full('((source_line-2)//8)')} AS second FROM roster_raw JOIN cloud_raw USING (source_line))""",
+                  ("roster_raw", "cloud_raw")),
+    "near_long": (f"""SELECT a.n AS probe_name, b.n AS index_name FROM (SELECT DISTINCT asked AS n FROM long_name) a
+      JOIN (SELECT DISTINCT known AS n FROM long_name) b ON {_near('a.n', 'b.n')}""", ("long_name",)),
     "near_name": (f"""SELECT a.n AS probe_name, b.n AS index_name
       FROM (SELECT DISTINCT array_to_string(list_sort(string_split({_norm('shown')},' ')),' ') AS n FROM cloud_raw) a
       JOIN (SELECT DISTINCT array_to_string(list_sort(string_split({_norm('full_name')},' ')),' ') AS n FROM roster_raw) b
@@ -431,7 +436,7 @@ def _scored(feed: str, tag: str = "") -> dict[str, tuple[str, tuple[str, ...]]]:
 # Pair lists are kept as such, so the costly ratio is not evaluated inside the join; what several parts of a statement
 # read is made once.
 _KEPT = dict.fromkeys(
-    ("near_pair", "near_name", "identity", "account", "entitlement", "links", "priv", "fact", "held", "holding", "cohort",
+    ("near_pair", "near_name", "near_long", "identity", "account", "entitlement", "links", "priv", "fact", "held", "holding", "cohort",
      "cohort_held", "sod_side", "outlier", "valid_disposition", "raw_finding"), "MATERIALIZED ")
 
 
@@ -533,6 +538,8 @@ ORACLES: dict[str, str] = {
       FROM sheet_record""", "sheet_record"),
     "fuzzy_name_match": _statement(f"""SELECT probe_name, index_name, round(ratio,6) AS ratio FROM (
         SELECT probe_name, index_name, {_ratio('probe_name', 'index_name')} AS ratio FROM near_name) WHERE ratio>=90""", "near_name"),
+    "fuzzy_long_names": _statement(f"""SELECT probe_name, index_name, round(ratio,6) AS ratio FROM (
+        SELECT probe_name, index_name, {_ratio('probe_name', 'index_name')} AS ratio FROM near_long) WHERE ratio>=90""", "near_long"),
     "source_upsert": """WITH o AS (SELECT *, o_orderkey||'|'||o_orderpriority||'|same' AS old_p,
           o_orderkey||'|'||o_orderpriority||'|'||CASE WHEN o_orderkey%15=4 THEN 'changed' ELSE 'same' END AS new_p,
           CASE WHEN o_orderkey%4=0 THEN 'sheet' END AS source_sheet FROM orders),
