@@ -17,7 +17,7 @@ FILTER_BITS = 1 << 24
 SEPARATORS = bytes([0x20, *range(0x09, 0x0E)])
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_BLOCK = 2 << 20
+_BLOCK = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -126,7 +126,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.bounds = np.searchsorted(self.start, offsets)
-        up, down = _powers(1 << max(21, int(len(data)).bit_length()))
+        up, down = _powers(1 << max(20, int(len(data)).bit_length()))
         sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(folded * up[:len(data)], out=sums[1:])
         self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start])

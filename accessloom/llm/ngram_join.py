@@ -22,19 +22,26 @@ from accessloom.llm.common import mix
 from accessloom.llm.components import components
 from accessloom.session import cut_lineage
 
-#: A key that more different sets have is common: its pairs are not listed but found through its first member.
-COMMON = 32
+#: A key that more different sets have is common: its pairs are not listed at once but found through some members.
+COMMON = 8
+#: Members of a common key that are compared with all its other members in one round.
+HUBS = 4
+#: Bits of a set's parity sketch: sets differ in at least as many shingles as their sketches in bits.
+SKETCH = 512
 #: A set with too many empty segments is dealt again with another hash, at most so often.
 DEALS = 6
 #: Entries that one of a single shared shingle counts for when segments are allocated, and shingles of a shared passage.
 CROWDED, PASSAGE = 24, 50
+#: Partners of one set that are compared in one stretch.
+PER_STRETCH = 256
 _LEAST = 4
-_FLUSH = 1 << 21
-_PER_BUCKET = 1_500_000
+_FLUSH = 1 << 19
+_PER_BUCKET = 800_000
 _DELETED, _UPPER = 1, 2
 
-SETS = "row_key long, doc_id long, n_shingles long, set_key long"
+SETS = "row_key long, doc_id long, n_shingles long, set_key long, sketch binary"
 BLOBS = "bucket int, keys binary, sets binary, tags binary, schemes binary, lost binary"
+CHECKED = "a long, b long, both long, n_a long, n_b long"
 MET = "kind int, target int, a binary, b binary, c binary, d binary"
 
 
@@ -144,6 +151,18 @@ def spare_units(scheme: np.ndarray, num: int, den: int) -> np.ndarray:
     return out
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of shingles hash to it."""
+    odd = np.bincount((mix(tokens + np.uint64(77)) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def may_link(n: np.ndarray, bits: np.ndarray, m: np.ndarray, other: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Whether sizes and sketches (rows of 64-bit words) leave it open that sets are similar; never false for those that are."""
+    apart = np.bitwise_count(bits ^ other).sum(axis=-1)
+    return (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (apart * (den + num) <= (n + m) * (den - num))
+
+
 def set_key(tokens: np.ndarray) -> int:
     """Names a set by all its shingles."""
     if not len(tokens):
@@ -189,13 +208,14 @@ def _measured(size: int):
     """Rows of SETS from batches of row_key, doc_id and text."""
     def measure(batches):
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, sketches = [], [], []
             for _, data, offsets in common.text_blocks(batch.column(2)):
                 for tokens in common.shingle_sets(data, offsets, size):
                     sizes.append(len(tokens))
                     keys.append(set_key(tokens))
+                    sketches.append(sketch(tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())],
                 names=[c.split()[0] for c in SETS.split(", ")])
     return measure
 
@@ -284,7 +304,7 @@ def _met(buckets: int):
         if common_.any():
             full = (key[common_].astype(np.int64) << 24) | bucket
             s = sets[common_]
-            target = (mix(s.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            target = _key_target(s, buckets)
             what = schemes[common_].astype(np.int64) << 32 | lost[common_].astype(np.int64) << 8 | (tags[common_] >> 2)
             rows += [(1, t, x, y, z, b"") for t, x, y, z in _dealt(target, s, full, what)]
         if rows:
@@ -292,10 +312,36 @@ def _met(buckets: int):
     return meet
 
 
+def _split(batches) -> dict[int, list[pa.RecordBatch]]:
+    """Batches by kind; a batch of several kinds is cut."""
+    out: dict[int, list[pa.RecordBatch]] = {}
+    for batch in batches:
+        kinds = np.asarray(batch.column(0))
+        for k in np.unique(kinds):
+            out.setdefault(int(k), []).append(batch.filter(pa.array(kinds == k)))
+    return out
+
+
+def _found(names: np.ndarray, values: np.ndarray, asked: np.ndarray, missing: np.ndarray) -> np.ndarray:
+    """The value of each asked name, or the entry of ``missing``."""
+    if not len(names):
+        return missing
+    order = np.argsort(names)
+    at = order[np.minimum(np.searchsorted(names, asked, sorter=order), len(names) - 1)]
+    return np.where(names[at] == asked, values[at], missing)
+
+
+def _key_target(key: np.ndarray, n: int) -> np.ndarray:
+    return (mix(key.view(np.uint64)) % np.uint64(n)).astype(np.int32)
+
+
 def _uncovered(num: int, den: int, buckets: int):
-    """Of entries with common keys, by set: those of sets that lose more units to them than they can spare."""
+    """By set: the common keys of sets that lose more units to them than they can spare, with the set's root (kind 2).
+    Takes entries (kind 1) and roots so far (kind 3)."""
     def choose(batches):
-        sets, key, what = _columns(batches, [np.int64] * 3, 2)
+        parts = _split(batches)
+        sets, key, what = _columns(parts.get(1, []), [np.int64] * 3, 2)
+        names, roots = _columns(parts.get(3, []), [np.int64] * 2, 2)
         scheme, lost, units = what >> 32, (what >> 8) & 0xFFFF, what & 0xFF
         order = np.lexsort((scheme, sets))
         sets, key, scheme, lost, units = (x[order] for x in (sets, key, scheme, lost, units))
@@ -304,60 +350,118 @@ def _uncovered(num: int, den: int, buckets: int):
         starts = np.flatnonzero(np.concatenate([[True], (sets[1:] != sets[:-1]) | (scheme[1:] != scheme[:-1])]))
         gone = np.add.reduceat(units, starts) + lost[starts]
         open_ = np.repeat(gone > spare_units(scheme[starts], num, den), np.diff(np.append(starts, len(sets))))
-        target = (mix(key[open_].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-        rows = [(2, t, x, y, b"", b"") for t, x, y in _dealt(target, key[open_], sets[open_])]
+        key, sets = key[open_], sets[open_]
+        root = _found(names, roots, sets, sets)
+        rows = [(2, t, x, y, z, b"") for t, x, y, z in _dealt(_key_target(key, buckets), key, sets, root)]
         if rows:
             yield _batch(MET, list(zip(*rows)))
     return choose
 
 
-def _test(bits: np.ndarray | None, sets: np.ndarray) -> np.ndarray:
-    at = mix(sets.view(np.uint64)) % np.uint64(common.FILTER_BITS)
-    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+def _groups(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Common keys whose members (set and root, by set) have more than one root."""
+    key, sets, root = _columns(batches, [np.int64] * 3, 2)
+    order = np.lexsort((sets, key))
+    key, sets, root = key[order], sets[order], root[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])
+    key, sets, root = key[new], sets[new], root[new]
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
+    for a, b in zip(starts, [*starts[1:], len(key)]):
+        if (root[a:b] != root[a]).any():
+            yield int(key[a]), sets[a:b], root[a:b]
 
 
-def _through_first(buckets: int, failed, near, list_all: bool):
-    """Of groups of sets with a common key: pairs of each member with the first one, or, for groups that are small or in
-    the last round, all pairs. After the first round only members that failed take part, and pairs of members that nearly
-    passed with the others. Kind 0 are pairs, kind 2 the groups as they are now."""
+def _through_hubs(hubs: int, buckets: int):
+    """Of each key: pairs of the first member of each of some roots with all members of other roots (kind 0)."""
     def pair(batches):
-        key, sets = _columns(batches, [np.int64] * 2, 2)
+        left, right = [], []
+        for _, sets, root in _groups(batches):
+            _, first = np.unique(root, return_index=True)
+            for at in np.sort(first)[:hubs]:
+                others = sets[root != root[at]]
+                left.append(np.full(len(others), sets[at]))
+                right.append(others)
+        if left:
+            p, q = _pairs_unique(np.concatenate(left), np.concatenate(right))
+            yield _batch(MET, list(zip(*[(0, t, x, y, b"", b"") for t, x, y in _dealt(_pair_target(p, q, buckets), p, q)])))
+    return pair
+
+
+def _mixed(buckets: int):
+    """Of keys whose members still have several roots: key and root by set (kind 4)."""
+    def keep(batches):
+        parts = [(np.full(len(sets), key), sets, root) for key, sets, root in _groups(batches)]
+        if parts:
+            key, sets, root = (np.concatenate(x) for x in zip(*parts))
+            rows = [(4, t, x, y, z, b"") for t, x, y, z in _dealt(_key_target(sets, buckets), sets, key, root)]
+            yield _batch(MET, list(zip(*rows)))
+    return keep
+
+
+def _sketched(buckets: int):
+    """Adds to rows by set (kind 4) size and sketch (from kind 3): key, set, root, sketch with size, by key (kind 5)."""
+    words = SKETCH // 64
+
+    def add(batches):
+        parts = _split(batches)
+        sets, key, root = _columns(parts.get(4, []), [np.int64] * 3, 2)
+        if not len(sets):
+            return
+        names, info = _columns(parts.get(3, []), [np.int64, np.int64], 2)[0], _columns(parts.get(3, []), [np.int64], 4)[0]
+        info = info.reshape(-1, words + 1)
+        at = _found(names, np.arange(len(names)), sets, np.full(len(sets), -1))
+        rows = [(5, t, x, y, z, w) for t, x, y, z, w in _dealt(_key_target(key, buckets), key, sets, root, info[at])]
+        yield _batch(MET, list(zip(*rows)))
+    return add
+
+
+def _crossed(num: int, den: int, buckets: int):
+    """Of each key: all pairs of members of different roots whose sizes and sketches leave a link open (kind 0)."""
+    words = SKETCH // 64
+
+    def cross(batches):
+        key, sets, root, info = _columns(batches, [np.int64] * 4, 2)
+        info = info.reshape(-1, words + 1)
         order = np.lexsort((sets, key))
-        key, sets = key[order], sets[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (sets[1:] != sets[:-1])
-        key, sets = key[new], sets[new]
-        rows, left, right = [], [], []
-        if failed is not None and len(key):
-            bad, close = _test(failed.value, sets), _test(near.value, sets)
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            for a, b in zip(starts, [*starts[1:], len(key)]):
-                if close[a:b].any() and not bad[a:b].all():
-                    x, y = sets[a:b][close[a:b]], sets[a:b][~bad[a:b]]
-                    for one in x:
-                        left.append(np.full(len(y), one))
-                        right.append(y)
-            key, sets = key[bad], sets[bad]
+        key, sets, root, info = key[order], sets[order], root[order], info[order]
+        n, bits = info[:, 0], info[:, 1:].view(np.uint64)
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
-        rest = np.zeros(len(key), bool)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(starts, [*starts[1:], len(key)]):
-            if b - a <= COMMON or list_all:
-                for i in range(a, b - 1):
-                    left.append(np.full(b - i - 1, sets[i]))
-                    right.append(sets[i + 1:b])
-            else:
-                left.append(np.full(b - a - 1, sets[a]))
-                right.append(sets[a + 1:b])
-                rest[a:b] = True
-        if left:
-            p, q = _pairs_unique(np.concatenate(left), np.concatenate(right))
-            rows += [(0, t, x, y, b"", b"") for t, x, y in _dealt(_pair_target(p, q, buckets), p, q)]
-        if rest.any():
-            target = (mix(key[rest].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            rows += [(2, t, x, y, b"", b"") for t, x, y in _dealt(target, key[rest], sets[rest])]
+            for i in range(a, b - 1):
+                rest = i + 1 + np.flatnonzero(root[i + 1:b] != root[i])
+                rest = rest[may_link(n[i], bits[i], n[rest], bits[rest], num, den)]
+                left.append(np.full(len(rest), sets[i]))
+                right.append(sets[rest])
+        p, q = _pairs_unique(np.concatenate(left), np.concatenate(right))
+        rows = [(0, t, x, y, b"", b"") for t, x, y in _dealt(_pair_target(p, q, buckets), p, q)]
         if rows:
             yield _batch(MET, list(zip(*rows)))
-    return pair
+    return cross
+
+
+def _sieved(num: int, den: int):
+    """Pairs (a, b, n_a, sketch_a, n_b, sketch_b) that sizes and sketches leave open."""
+    def sieve(batches):
+        for batch in batches:
+            n, m = (np.asarray(batch.column(k)) for k in (2, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(len(n), -1) for k in (3, 5))
+            yield batch.select([0, 1]).filter(pa.array(may_link(n, x, m, y, num, den)))
+    return sieve
+
+
+def _told(buckets: int):
+    """Root, size and sketch of each set as blobs by set (kind 3)."""
+    def tell(batches):
+        for batch in batches:
+            sets, root, n = (np.asarray(batch.column(k)).astype(np.int64) for k in range(3))
+            bits = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64).reshape(len(sets), -1)
+            info = np.concatenate([n[:, None], bits], axis=1)
+            rows = [(3, t, x, y, z, b"") for t, x, y, z in _dealt(_key_target(sets, buckets), sets, root, info)]
+            if rows:
+                yield _batch(MET, list(zip(*rows)))
+    return tell
 
 
 def _listed(batches):
@@ -367,29 +471,27 @@ def _listed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a[i:i + (1 << 16)]), pa.array(b[i:i + (1 << 16)])], names=["a", "b"])
 
 
-def _tokens(size: int):
-    def sets(batches):
-        for batch in batches:
-            out = []
-            for _, data, offsets in common.text_blocks(batch.column(1)):
-                out += [s.tobytes() for s in common.shingle_sets(data, offsets, size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["set_key", "tokens"])
-    return sets
-
+def _compared(size: int):
+    """Exact counts of pairs from rows of hub, salt, member, set_key and text, each hub's own row before its members.
 
-def _counted(batches):
-    """Exact sizes of intersections."""
-    for batch in batches:
-        both, ones, others = [], [], []
-        for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-            both.append(int((y[at] == x).sum()) if len(y) else 0)
-            ones.append(len(x))
-            others.append(len(y))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in (both, ones, others))],
-            names=["a", "b", "both", "n_a", "n_b"])
+    Holds the set of one hub and those of one block of texts."""
+    def compare(batches):
+        hub = own = None
+        for batch in batches:
+            hubs, members, keys = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for first, data, offsets in common.text_blocks(batch.column(4)):
+                rows = []
+                for at, tokens in enumerate(common.shingle_sets(data, offsets, size), first):
+                    if not members[at]:
+                        hub, own = hubs[at], tokens
+                        continue
+                    if hub != hubs[at]:
+                        raise RuntimeError(f"set {hubs[at]} is missing before its partners")
+                    place = np.minimum(np.searchsorted(own, tokens), len(own) - 1)
+                    rows.append((hub, keys[at], int((own[place] == tokens).sum()), len(own), len(tokens)))
+                if rows:
+                    yield _batch(CHECKED, list(zip(*rows)))
+    return compare
 
 
 # ---- the join -------------------------------------------------------------------------------
@@ -403,73 +505,100 @@ class _Join:
             F.col(text_col).cast("string").alias("text"))
         self.sets = cut_lineage(self.docs.mapInArrow(_measured(size), SETS))
         total = self.sets.agg(F.sum("n_shingles")).first()[0] or 0
+        self.classes = cut_lineage(self.sets.where(F.col("n_shingles") >= _LEAST).groupBy("set_key").agg(
+            F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
         self.buckets = max(1, common.partitions(docs.sparkSession), -(-total // _PER_BUCKET))
 
     def met(self) -> DataFrame:
         found = self.docs.select("text").mapInArrow(_indexed(self.size, self.num, self.den, self.buckets), BLOBS)
         return cut_lineage(found.repartitionById(self.buckets, F.col("bucket")).mapInArrow(_met(self.buckets), MET))
 
-    def dealt(self, rows: DataFrame, kind: int, task, schema: str) -> DataFrame:
-        return rows.where(F.col("kind") == kind).repartitionById(self.buckets, F.col("target")).mapInArrow(task, schema)
+    def dealt(self, rows: DataFrame, task, schema: str = MET) -> DataFrame:
+        return rows.repartitionById(self.buckets, F.col("target")).mapInArrow(task, schema)
+
+    def pairs(self, rows: DataFrame) -> DataFrame:
+        """Candidate pairs (a, b), once each, that sizes and sketches leave open."""
+        listed = cut_lineage(self.dealt(rows.where("kind = 0"), _listed, "a long, b long"))
+        one = self.classes.select("set_key", "n_shingles", "sketch")
+        both = listed.join(one.toDF("a", "n_a", "x"), "a").join(one.toDF("b", "n_b", "y"), "b").select("a", "b", "n_a", "x", "n_b", "y")
+        return cut_lineage(both.mapInArrow(_sieved(self.num, self.den), "a long, b long"))
+
+    def fetch(self, pairs: DataFrame, groups: DataFrame) -> None:
+        """Stores one text of every set that is in a candidate pair or in a group, by a single scan of the documents."""
+        def members(batches):
+            (sets,) = _columns(batches, [np.int64], 3)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(sets))], names=["set_key"])
+
+        named = pairs.select(F.explode(F.array("a", "b")).alias("set_key")).unionByName(groups.mapInArrow(members, "set_key long"))
+        chosen = cut_lineage(self.sets.join(named.distinct(), "set_key", "left_semi").groupBy("set_key").agg(
+            F.min("row_key").alias("row_key")))
+        keys = common.membership(chosen, F.col("row_key"))
+        texts = common.with_membership(self.docs, F.col("row_key"), keys, "open").where("open").select("row_key", "text")
+        self.texts = cut_lineage(texts.dropDuplicates(["row_key"]).join(chosen, "row_key").select("set_key", "text"))
+        self.classes = cut_lineage(self.classes.join(self.texts.select("set_key"), "set_key", "left_semi"))
 
     def checked(self, pairs: DataFrame) -> DataFrame:
-        """Pairs with exact counts. Sets are made again from the texts that pairs name, one text per set."""
-        wanted = pairs.select(F.col("a").alias("set_key")).unionByName(pairs.select(F.col("b").alias("set_key"))).distinct()
-        chosen = cut_lineage(self.sets.join(wanted, "set_key", "left_semi").groupBy("set_key").agg(F.min("row_key").alias("row_key")))
-        members = common.membership(chosen, F.col("row_key"))
-        texts = common.with_membership(self.docs, F.col("row_key"), members, "open").where("open").select("row_key", "text")
-        sets = cut_lineage(chosen.join(texts.dropDuplicates(["row_key"]), "row_key").select("set_key", "text").mapInArrow(
-            _tokens(self.size), "set_key long, tokens binary"))
-        first = sets.select(F.col("set_key").alias("a"), F.col("tokens").alias("x"))
-        second = sets.select(F.col("set_key").alias("b"), F.col("tokens").alias("y"))
-        rows = pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y")
-        return cut_lineage(rows.mapInArrow(_counted, "a long, b long, both long, n_a long, n_b long"))
-
-    def linked(self, checked: DataFrame) -> DataFrame:
-        return checked.where(F.col("both") * self.den >= (F.col("n_a") + F.col("n_b") - F.col("both")) * self.num)
-
-    def _bits(self, sets: DataFrame):
-        """A bitmap of fixed size (2 MB) of set keys, for tasks."""
-        def positions(batches):
-            for batch in batches:
-                at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)) % np.uint64(common.FILTER_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64) + 1)], names=["bit"])
-
-        rows = sets.mapInArrow(positions, "bit long").groupBy(F.bitmap_bucket_number("bit").alias("n")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits")).collect()
-        out = np.zeros(common.FILTER_BITS // 8, np.uint8)
-        for r in rows:
-            out[(r.n - 1) * 4096:r.n * 4096] = np.frombuffer(r.bits, np.uint8)
-        return sets.sparkSession.sparkContext.broadcast(out)
-
-    def links(self, rounds: int = 3) -> DataFrame:
-        """Links (a, b) between different sets: every similar pair is linked or joined by links.
-
-        Pairs that share a key that is not common are all checked. Sets that may have a partner through common keys
-        only are checked against the first member of each such key. Distance 1 - similarity is a metric, so
-        a set that fails by more than the allowed distance again cannot be linked to any member that passed; what is
-        left are pairs among those that failed, taken on in the same way, and pairs of those that nearly passed.
+        """Pairs (a, b) with exact counts.
+
+        Partners meet at their lesser set, whose text is sent once to each stretch of at most PER_STRETCH partners.
+        """
+        stretches = F.ceil(F.col("n") / PER_STRETCH).cast("int")
+        hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", stretches.alias("n"))
+        spread = F.pmod(F.xxhash64("b"), F.col("n")).cast("int")
+        wanted = pairs.join(hubs, "a").select(
+            F.col("b").alias("set_key"), F.col("a").alias("hub"), spread.alias("salt"), F.lit(1).alias("member")).unionByName(hubs.select(
+                F.col("a").alias("set_key"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"),
+                F.lit(0).alias("member")))
+        rows = wanted.join(self.texts, "set_key").select("hub", "salt", "member", "set_key", "text")
+        placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
+        return cut_lineage(placed.mapInArrow(_compared(self.size), CHECKED))
+
+    def settled(self, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
+        """(node, root) of all linked sets, from roots so far and candidate pairs.
+
+        First every set is checked against the least of its partners; pairs that links have joined by then need no check.
+        """
+        least = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        roots = self.joined(known, least)
+        a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+        rest = pairs.join(least, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
+        rest = cut_lineage(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
+        return roots if rest.isEmpty() else self.joined(roots, rest)
+
+    def joined(self, known: DataFrame | None, pairs: DataFrame) -> DataFrame:
+        union = F.col("n_a") + F.col("n_b") - F.col("both")
+        links = self.checked(pairs).where(F.col("both") * self.den >= union * self.num).select("a", "b")
+        return components(links if known is None else links.unionByName(known.toDF("a", "b")))
+
+    def roots(self, rounds: int = 2) -> DataFrame:
+        """(node, root) of every set that is linked with a lesser one.
+
+        Pairs that share a key that is not common are all candidates. Sets that may have a partner through common keys
+        only meet there in rounds: some members of each key against all members of other components. Keys whose
+        members are of one component are done. In the last round all remaining pairs of different components are
+        candidates, so that no link between components is lost.
         """
         met = self.met()
-        checked = [self.checked(cut_lineage(self.dealt(met, 0, _listed, "a long, b long")))]
-        groups = cut_lineage(self.dealt(met, 1, _uncovered(self.num, self.den, self.buckets), MET))
-        failed = near = None
+        common_ = met.where("kind = 1")
+        groups = cut_lineage(self.dealt(common_, _uncovered(self.num, self.den, self.buckets)))
+        pairs = self.pairs(met)
+        self.fetch(pairs, groups)
+        roots = self.settled(pairs, None)
+        if groups.isEmpty():
+            return roots
         for turn in range(rounds + 1):
-            if groups.isEmpty():
-                break
-            found = cut_lineage(self.dealt(groups, 2, _through_first(self.buckets, failed, near, turn == rounds), MET))
-            seen = self.checked(cut_lineage(self.dealt(found, 0, _listed, "a long, b long")))
-            checked.append(seen)
-            groups = found.where("kind = 2")
-            union = F.col("n_a") + F.col("n_b") - F.col("both")
-            misses = seen.where(F.col("both") * self.den < union * self.num)
-            close = misses.where(F.col("both") * self.den >= union * (2 * self.num - self.den))
-            # The first member of a group is the lesser of a pair, so the greater one is who failed.
-            failed, near = (self._bits(x.select("b").distinct()) for x in (misses, close))
-        out = self.linked(checked[0])
-        for more in checked[1:]:
-            out = out.unionByName(self.linked(more))
-        return out.select("a", "b")
+            told = cut_lineage(self.classes.join(roots.toDF("set_key", "root"), "set_key", "left").select(
+                "set_key", F.coalesce("root", "set_key"), "n_shingles", "sketch").mapInArrow(_told(self.buckets), MET))
+            groups = self.dealt(common_.unionByName(told), _uncovered(self.num, self.den, self.buckets))
+            if turn < rounds:
+                pairs = self.pairs(cut_lineage(self.dealt(groups, _through_hubs(HUBS if turn else 1, self.buckets))))
+            else:
+                mixed = self.dealt(groups, _mixed(self.buckets)).unionByName(told)
+                found = self.dealt(self.dealt(mixed, _sketched(self.buckets)), _crossed(self.num, self.den, self.buckets))
+                pairs = cut_lineage(self.dealt(found, _listed, "a long, b long"))
+            if not pairs.isEmpty():
+                roots = self.settled(pairs, roots)
+        return roots
 
 
 def jaccard_components(
@@ -485,7 +614,7 @@ def jaccard_components(
     is null. Other columns are ignored; an empty table gives no rows.
     """
     join = _Join(docs, id_col, text_col, size, num, den)
-    roots = components(join.links())
+    roots = join.roots()
     sets = join.sets.withColumn("_set", F.when(F.col("n_shingles") > 0, F.col("set_key")).otherwise(F.col("row_key")))
     placed = cut_lineage(sets.join(roots.withColumnRenamed("node", "_set"), "_set", "left").select(
         "doc_id", "n_shingles", F.coalesce(F.col("root"), F.col("_set")).alias("root"), "row_key"))
