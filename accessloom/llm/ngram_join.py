@@ -36,7 +36,7 @@ CROWDED, PASSAGE = 24, 50
 PER_STRETCH = 256
 _LEAST = 4
 _FLUSH = 1 << 19
-_PER_BUCKET = 800_000
+_PER_BUCKET = 1_200_000
 _DELETED, _UPPER = 1, 2
 
 SETS = "row_key long, doc_id long, n_shingles long, set_key long, sketch binary"
@@ -545,32 +545,44 @@ class _Join:
         stretches = F.ceil(F.col("n") / PER_STRETCH).cast("int")
         hubs = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", stretches.alias("n"))
         spread = F.pmod(F.xxhash64("b"), F.col("n")).cast("int")
-        wanted = pairs.join(hubs, "a").select(
+        wanted = cut_lineage(pairs.join(hubs, "a").select(
             F.col("b").alias("set_key"), F.col("a").alias("hub"), spread.alias("salt"), F.lit(1).alias("member")).unionByName(hubs.select(
                 F.col("a").alias("set_key"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("salt"),
-                F.lit(0).alias("member")))
-        rows = wanted.join(self.texts, "set_key").select("hub", "salt", "member", "set_key", "text")
+                F.lit(0).alias("member"))))
+        keys = common.membership(wanted, F.col("set_key"))
+        texts = common.with_membership(self.texts, F.col("set_key"), keys, "open").where("open")
+        rows = wanted.join(texts, "set_key").select("hub", "salt", "member", "set_key", "text")
         placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
         return cut_lineage(placed.mapInArrow(_compared(self.size), CHECKED))
 
     def settled(self, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """(node, root) of all linked sets, from roots so far and candidate pairs.
 
-        First every set is checked against the least of its partners; pairs that links have joined by then need no check.
+        First every set is checked against the least of its partners, then one pair of every two components that
+        candidates still connect; pairs that links have joined by then need no check.
         """
-        least = cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-        roots = self.joined(known, least)
-        a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
-        rest = pairs.join(least, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left")
-        rest = cut_lineage(rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"))
-        return roots if rest.isEmpty() else self.joined(roots, rest)
+        roots, now = known, cut_lineage(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+        for turn in range(3):
+            roots = self.joined(roots, now)
+            if turn == 2:
+                break
+            a, b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+            rest = pairs.join(now, ["a", "b"], "left_anti").join(a, "a", "left").join(b, "b", "left").select(
+                "a", "b", F.coalesce("root_a", "a").alias("x"), F.coalesce("root_b", "b").alias("y"))
+            rest = cut_lineage(rest.where("x <> y").select("a", "b", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
+            if rest.isEmpty():
+                break
+            pairs = rest.select("a", "b")
+            now = pairs if turn else cut_lineage(
+                rest.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+        return roots
 
     def joined(self, known: DataFrame | None, pairs: DataFrame) -> DataFrame:
         union = F.col("n_a") + F.col("n_b") - F.col("both")
         links = self.checked(pairs).where(F.col("both") * self.den >= union * self.num).select("a", "b")
         return components(links if known is None else links.unionByName(known.toDF("a", "b")))
 
-    def roots(self, rounds: int = 2) -> DataFrame:
+    def roots(self, rounds: int = 1) -> DataFrame:
         """(node, root) of every set that is linked with a lesser one.
 
         Pairs that share a key that is not common are all candidates. Sets that may have a partner through common keys
