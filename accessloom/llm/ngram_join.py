@@ -34,6 +34,9 @@ DEALS = 6
 CROWDED, PASSAGE = 24, 50
 #: Partners of one set that are compared in one stretch.
 PER_STRETCH = 256
+#: Sets of one component that are compared as one block, and their shingles.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+_COLUMNS = 1 << 12
 _LEAST = 4
 _FLUSH = 1 << 19
 _PER_BUCKET = 1_200_000
@@ -42,6 +45,8 @@ _DELETED, _UPPER = 1, 2
 SETS = "row_key long, doc_id long, n_shingles long, set_key long, sketch binary"
 BLOBS = "bucket int, keys binary, sets binary, tags binary, schemes binary, lost binary"
 CHECKED = "a long, b long, both long, n_a long, n_b long"
+LINKS = "a long, b long, both long, n_a long, n_b long"
+COUNTS = "set_key long, n long"
 MET = "kind int, target int, a binary, b binary, c binary, d binary"
 
 
@@ -494,6 +499,73 @@ def _compared(size: int):
     return compare
 
 
+def shared(own: list[np.ndarray], other: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``own`` has in common with each of ``other``."""
+    sides = [np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (own, other)]
+    both = np.intersect1d(np.unique(sides[0]), np.unique(sides[1]), assume_unique=True)
+    places = []
+    for sets, tokens in zip((own, other), sides):
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        column = np.minimum(np.searchsorted(both, tokens), max(0, len(both) - 1))
+        kept = both[column] == tokens if len(both) else np.zeros(len(tokens), bool)
+        order = np.argsort(column[kept], kind="stable")
+        places.append((row[kept][order], column[kept][order]))
+    out = np.zeros((len(own), len(other)))
+    for first in range(0, len(both), _COLUMNS):
+        width = min(_COLUMNS, len(both) - first)
+        parts = []
+        for sets, (row, column) in zip((own, other), places):
+            a, b = np.searchsorted(column, (first, first + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[row[a:b], column[a:b] - first] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out.astype(np.int64)
+
+
+def _linked(size: int, num: int, den: int, counted: bool):
+    """Of each pair of blocks (rows of pair, side, set_key, text, sorted by pair): its links, or links by set.
+
+    A block that is paired with itself has rows of one side. Holds the sets of two blocks."""
+    def compare(sides):
+        names = [np.array([k for k, _ in side], np.int64) for side in sides]
+        sets = [[x for _, x in side] for side in sides]
+        alone = not sets[1]
+        if alone:
+            names[1], sets[1] = names[0], sets[0]
+        n, m = (np.array([len(x) for x in side], np.int64) for side in sets)
+        both = shared(*sets)
+        right = both * den >= (n[:, None] + m[None, :] - both) * num
+        if alone:
+            right &= np.triu(np.ones(right.shape, bool), 1)
+        if counted:
+            if alone:
+                rows = [(names[0], right.sum(axis=1) + right.sum(axis=0))]
+            else:
+                rows = [(names[0], right.sum(axis=1)), (names[1], right.sum(axis=0))]
+            key, count = (np.concatenate(x) for x in zip(*rows))
+            return _batch(COUNTS, [key[count > 0], count[count > 0]])
+        i, j = np.nonzero(right)
+        a, b = names[0][i], names[1][j]
+        swap = a > b
+        return _batch(LINKS, [np.where(swap, b, a), np.where(swap, a, b), both[i, j], np.where(swap, m[j], n[i]), np.where(swap, n[i], m[j])])
+
+    def link(batches):
+        pair, sides = None, ([], [])
+        for batch in batches:
+            pairs, side, keys = (batch.column(k).to_pylist() for k in range(3))
+            for first, data, offsets in common.text_blocks(batch.column(3)):
+                for at, tokens in enumerate(common.shingle_sets(data, offsets, size), first):
+                    if pairs[at] != pair:
+                        if sides[0]:
+                            yield compare(sides)
+                        pair, sides = pairs[at], ([], [])
+                    sides[side[at]].append((keys[at], tokens))
+        if sides[0]:
+            yield compare(sides)
+    return link
+
+
 # ---- the join -------------------------------------------------------------------------------
 
 
@@ -613,9 +685,50 @@ class _Join:
         return roots
 
 
-def jaccard_components(
+    def linked(self, roots: DataFrame, counted: bool) -> DataFrame:
+        """All links between different sets, or their number by set.
+
+        A link joins sets of one component, so all pairs of a component's sets whose sizes allow it are counted exactly.
+        A component is one block, or blocks by size band and hash; blocks of one band and the next make pairs.
+        """
+        edges = F.array(*[F.lit(e) for e in bands(self.num, self.den)])
+        nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct().toDF("set_key", "root")
+        members = cut_lineage(nodes.join(self.classes.select("set_key", "n_shingles"), "set_key").withColumn(
+            "band", F.size(F.filter(edges, lambda e: e <= F.col("n_shingles")))))
+        parts = F.ceil(F.greatest(F.sum("n") / F.lit(BLOCK), F.sum("total") / F.lit(BLOCK_SHINGLES))).cast("int")
+        sizes = cut_lineage(members.groupBy("root", "band").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("total")))
+        small = sizes.groupBy("root").agg((parts <= 1).alias("small"))
+        salts = sizes.groupBy("root", "band").agg(parts.alias("salts"))
+        split = cut_lineage(salts.join(small, "root"))
+        own = F.when(F.col("small"), 0).otherwise(F.col("band"))
+        placed = members.join(split, ["root", "band"]).select(
+            "set_key", "root", own.alias("band"), F.when(F.col("small"), 0).otherwise(F.pmod(F.xxhash64("set_key"), F.col("salts"))).cast("int").alias("salt"))
+        blocks = split.select("root", own.alias("band"), F.explode(F.sequence(
+            F.lit(0), F.when(F.col("small"), 0).otherwise(F.col("salts") - 1))).alias("salt")).distinct()
+        x, y = blocks.toDF("root", "band", "salt"), blocks.toDF("root", "band_y", "salt_y")
+        pairs = cut_lineage(x.join(y, "root").where("band_y = band and salt_y >= salt or band_y = band + 1").withColumn(
+            "pair", F.monotonically_increasing_id()))
+        left = pairs.select("root", "band", "salt", "pair", F.lit(0).alias("side"))
+        right = pairs.where("band <> band_y or salt <> salt_y").select(
+            "root", F.col("band_y").alias("band"), F.col("salt_y").alias("salt"), "pair", F.lit(1).alias("side"))
+        wanted = placed.join(left.unionByName(right), ["root", "band", "salt"]).select("pair", "side", "set_key")
+        rows = wanted.join(self.texts, "set_key").select("pair", "side", "set_key", "text")
+        sorted_ = rows.repartition(self.buckets, "pair").sortWithinPartitions("pair", "side")
+        return sorted_.mapInArrow(_linked(self.size, self.num, self.den, counted), COUNTS if counted else LINKS)
+
+
+def jaccard_links(
         docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id.
+    """All links between different sets, once each: a, b (names of the sets, a < b), both, n_a, n_b (shingles)."""
+    join = _Join(docs, id_col, text_col, size, num, den)
+    return join.linked(join.roots(), False)
+
+
+def jaccard_components(
+        docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100,
+        links: bool = False) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id; with ``links`` also n_links, the number of other sets
+    that the row's own set links with (equal sets, so also exact copies, count once).
 
     Words are runs of other characters than blank and 0x09-0x0D, with A-Z in lower case; a text's set holds its distinct
     runs of ``size`` words, or its whole sequence if it has fewer. Two rows link when den x intersection >= num x union;
@@ -629,9 +742,14 @@ def jaccard_components(
     roots = join.roots()
     sets = join.sets.withColumn("_set", F.when(F.col("n_shingles") > 0, F.col("set_key")).otherwise(F.col("row_key")))
     placed = cut_lineage(sets.join(roots.withColumnRenamed("node", "_set"), "_set", "left").select(
-        "doc_id", "n_shingles", F.coalesce(F.col("root"), F.col("_set")).alias("root"), "row_key"))
+        "doc_id", "n_shingles", "_set", F.coalesce(F.col("root"), F.col("_set")).alias("root"), "row_key"))
     least = placed.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    more = []
+    if links:
+        counts = join.linked(roots, True).groupBy("set_key").agg(F.sum("n").alias("n_links"))
+        placed = cut_lineage(placed.join(counts.withColumnRenamed("set_key", "_set"), "_set", "left"))
+        more = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
     # A root without shingles is a row of its own, which no component can claim.
     return placed.join(least, "root", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "row_key")
+        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more, "row_key")

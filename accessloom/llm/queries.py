@@ -22,7 +22,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_docs(spark, sf_dir)).drop("row_key")
+    return ngram_join.jaccard_components(_docs(spark, sf_dir), links=True).drop("row_key")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
