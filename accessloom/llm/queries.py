@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from accessloom.llm import common, decontaminate, exact_dedup, langid, mixing, ngram_join, pii, secrets, token_output, toxicity, warc
+from accessloom.llm import common, decontaminate, exact_dedup, langid, mixing, ngram_join, packing, pii, secrets, token_output, toxicity, warc
 from accessloom.session import prepare
 
 
@@ -65,9 +65,14 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secret_scan(_docs(spark, sf_dir)))
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(_docs(spark, sf_dir))
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_ngram_join, op3_toxicity, op4_langid, op5_decontaminate, op6_pii, op7_mix_sources, op8_warc,
-    op9_exact_dedup, op10_secret_scan)}
+    op9_exact_dedup, op10_secret_scan, op13_packing)}
 
 _UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
 
