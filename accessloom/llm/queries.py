@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from accessloom.llm import common, decontaminate, exact_dedup, langid, mixing, ngram_join, packing, pii, secrets, token_output, toxicity, warc
+from accessloom.llm import common, decontaminate, exact_dedup, langid, manifest, mixing, ngram_join, packing, pii, secrets, token_output, toxicity, warc
 from accessloom.session import prepare
 
 
@@ -65,6 +65,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secret_scan(_docs(spark, sf_dir)))
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    n_chars = F.when(changed, F.try_add("n_chars", F.lit(1))).otherwise(F.col("n_chars"))
+    tampered = manifest.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+    rows = manifest.manifest(docs, other_leaf=tampered).withColumn("folded_root", manifest.folded("other_leaf", "siblings", "sides"))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "siblings"), 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(_docs(spark, sf_dir))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -72,7 +83,7 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_ngram_join, op3_toxicity, op4_langid, op5_decontaminate, op6_pii, op7_mix_sources, op8_warc,
-    op9_exact_dedup, op10_secret_scan, op13_packing)}
+    op9_exact_dedup, op10_secret_scan, op12_manifest, op13_packing)}
 
 _UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
 
