@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from accessloom.llm import common, decontaminate, exact_dedup, langid, manifest, mixing, ngram_join, packing, pii, secrets, token_output, toxicity, warc
+from accessloom.llm import common, decontaminate, exact_dedup, langid, manifest, mixing, ngram_join, packing, pii, secrets, spelling, token_output, toxicity, warc
 from accessloom.session import prepare
 
 
@@ -65,6 +65,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.secret_scan(_docs(spark, sf_dir)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_docs(spark, sf_dir), slip=97).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
@@ -83,9 +87,29 @@ def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_ngram_join, op3_toxicity, op4_langid, op5_decontaminate, op6_pii, op7_mix_sources, op8_warc,
-    op9_exact_dedup, op10_secret_scan, op12_manifest, op13_packing)}
+    op9_exact_dedup, op10_secret_scan, op11_spelling_variants, op12_manifest, op13_packing)}
 
 _UNIT = "('0x' || substr(md5({}), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
+_CRC_TABLE = """crc_table AS MATERIALIZED (
+            SELECT list(list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k) ORDER BY k) AS t
+            FROM range(256) r(k))"""
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned checksum of a text's UTF-8 bytes, by the table ``t``."""
+    octets = f"list_transform(range(1, strlen({text}) + 1), lambda i: ('0x' || substr(hex({text}), 2 * i - 1, 2))::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+_STEP = """sha256(CASE WHEN s.digest IS NULL THEN folded WHEN w.i % 2 = 1 THEN s.digest || folded ELSE folded || s.digest END)"""
+_CHECKSUM_7 = _crc32("doc_id::VARCHAR") + " % 7 = 0"
 
 ORACLES = {
     "op5_decontaminate": r"""
@@ -128,4 +152,65 @@ ORACLES = {
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
         g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""",
+    "op11_spelling_variants": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+            FROM documents),
+        counted AS MATERIALIZED (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+        summed AS MATERIALIZED (SELECT *, {_crc32("named")} AS h FROM counted, crc_table),
+        words AS MATERIALIZED (
+            SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM summed GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+        gaps AS (SELECT word, n, unnest(range(0, length(word) + 1)) AS i FROM words),
+        replaced AS MATERIALIZED (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 2) AS k FROM gaps WHERE i < length(word)),
+        inserted AS MATERIALIZED (SELECT word, n, substr(word, 1, i) || '*' || substr(word, i + 1) AS k FROM gaps),
+        near AS MATERIALIZED (
+            SELECT a.word, b.word AS other, b.n AS other_n, a.n FROM replaced a JOIN replaced b USING (k) WHERE a.word <> b.word
+            UNION SELECT a.word, b.word, b.n, a.n FROM replaced a JOIN inserted b USING (k)
+            UNION SELECT b.word, a.word, a.n, b.n FROM replaced a JOIN inserted b USING (k)),
+        best AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM near),
+        formed AS MATERIALIZED (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * w.n THEN other END AS form,
+                   CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+            FROM words w LEFT JOIN best b ON b.word = w.word AND place = 1),
+        walk AS (
+            SELECT word, word AS root FROM formed
+            UNION ALL
+            SELECT walk.word, form FROM walk JOIN formed ON formed.word = walk.root WHERE form IS NOT NULL)
+        SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+        FROM formed f JOIN walk USING (word) JOIN formed e ON e.word = walk.root AND e.form IS NULL""",
+    "op12_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+        hashed AS MATERIALIZED (
+            SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf("n_chars")} AS leaf,
+                   {_leaf(f"CASE WHEN {_CHECKSUM_7} THEN n_chars + 1 ELSE n_chars END")} AS tampered
+            FROM documents, crc_table),
+        leaves AS MATERIALIZED (
+            SELECT *, row_number() OVER (ORDER BY tree, doc_id NULLS FIRST, leaf) AS id,
+                   row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n
+            FROM hashed),
+        nodes AS (
+            SELECT tree, 0 AS level, i, leaf AS digest, n FROM leaves
+            UNION ALL
+            SELECT tree, level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM nodes WHERE n > 1 GROUP BY tree, level, i // 2),
+        groups AS MATERIALIZED (
+            SELECT tree, level AS height, digest AS subroot, row_number() OVER (ORDER BY tree) - 1 AS place, count(*) OVER () AS n FROM nodes WHERE n = 1),
+        tops AS (
+            SELECT 0 AS level, place AS i, subroot AS digest, n FROM groups
+            UNION ALL
+            SELECT level + 1, i // 2, sha256(string_agg(digest, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM tops WHERE n > 1 GROUP BY level, i // 2),
+        walk AS (
+            SELECT id, tree, 0 AS level, i, tampered AS folded, '' AS proof FROM leaves
+            UNION ALL
+            SELECT id, w.tree, w.level + 1, w.i // 2, {_STEP}, proof || coalesce(s.digest, '')
+            FROM walk w JOIN groups g ON g.tree = w.tree LEFT JOIN nodes s ON s.tree = w.tree AND s.level = w.level AND s.i = xor(w.i, 1)
+            WHERE w.level < g.height),
+        upper AS (
+            SELECT id, 0 AS level, place AS i, folded, proof FROM walk w JOIN groups g ON g.tree = w.tree AND w.level = g.height
+            UNION ALL
+            SELECT id, w.level + 1, w.i // 2, {_STEP}, proof || coalesce(s.digest, '')
+            FROM upper w LEFT JOIN tops s ON s.level = w.level AND s.i = xor(w.i, 1) WHERE w.level < (SELECT max(level) FROM tops))
+        SELECT doc_id, leaf, subroot, digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = digest AS verified
+        FROM upper u JOIN leaves USING (id) JOIN groups USING (tree) JOIN tops t ON t.n = 1 AND t.level = u.level""",
 }
