@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,17 +24,41 @@ from accessloom.session import cut_lineage
 #: The file of a word-level byte-pair vocabulary; None takes the one the public package of vocabularies names.
 VOCABULARY = None
 VOCABULARY_FILE = "word_bpe_49k.json"
-#: Words whose ids a Python worker remembers, texts it takes at once, ids it hands on at once.
-REMEMBERED, TEXTS, IDS = 400_000, 64, 1 << 21
+#: Parts of words whose ids a Python worker remembers at least (words: a quarter); bytes of text it takes at once; ids it hands on at once.
+REMEMBERED, BYTES, IDS = 400_000, 1 << 22, 1 << 21
 
-_WORD = re.compile(r"[^ \t\n\r]+")
+# Where the vocabulary's own pattern always cuts. Runs of letters, single digits and runs of other signs are
+# pieces of their own; the apostrophe and the signs of special tokens are left out, as they may join what stands beside them.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"""!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"""
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
+_PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+
+
+class _Memory:
+    """Remembers between ``least`` and twice as many latest answers."""
+
+    def __init__(self, least: int):
+        self.least, self.young, self.old = least, {}, {}
+
+    def missing(self, keys: Collection[str]) -> set[str]:
+        young, old = self.young, self.old
+        if len(young) + len(keys) > self.least:
+            self.young, self.old = young, old = {}, young
+        out = set()
+        for key in keys:
+            if key not in young:
+                if key in old:
+                    young[key] = old[key]
+                else:
+                    out.add(key)
+        return out
 
 
 class _Encoder:
     """Ids of texts, word by word.
 
-    The vocabulary drops white space and none of its pieces spans any, so a text's ids are those of its words in turn;
-    a word that returns costs a look-up.
+    The vocabulary drops white space and none of its pieces spans any, so a text's ids are those of its words in turn, and
+    a plain word's those of its parts; one that returns costs a look-up.
     """
 
     def __init__(self, path: str):
@@ -41,48 +67,82 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def encoded(self, texts: list[str]) -> list[bytes]:
-        words = [_WORD.findall(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for at in range(0, len(new), 4096):
-            part = new[at:at + 4096]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+        self.words, self.parts = _Memory(REMEMBERED // 4), _Memory(REMEMBERED)
+
+    def known(self, words: list[str]) -> list[bytes]:
+        """The ids of distinct words."""
+        new = {w: [p.lower() if p.isascii() else p for p in _PARTS.findall(w)] if _PLAIN.fullmatch(w) else [w]
+               for w in self.words.missing(words)}
+        ask = list(self.parts.missing({p for ps in new.values() for p in ps}))
+        young = self.parts.young
+        for at in range(0, len(ask), 4096):
+            part = ask[at:at + 4096]
+            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                young[text] = array(self.dtype.char, found.ids).tobytes()
+        get = young.__getitem__
+        self.words.young.update((w, b"".join(map(get, ps))) for w, ps in new.items())
+        return list(map(self.words.young.__getitem__, words))
+
+    def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each followed by the end id, as one array, and how many each has."""
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        bounds = np.asarray(words.offsets)
+        coded = words.flatten().dictionary_encode()
+        found = self.known(coded.dictionary.to_pylist())
+        end = len(found)
+        found.append(np.array([end_id], self.dtype).tobytes())
+        flat = np.frombuffer(b"".join(found), self.dtype)
+        size = np.array([len(x) for x in found]) // self.dtype.itemsize
+        first = np.cumsum(size) - size
+        word = np.insert(np.asarray(coded.indices), bounds[1:] - bounds[0], end)
+        length = size[word]
+        before = np.cumsum(length) - length
+        ids = flat[np.repeat(first[word] - before, length) + np.arange(length.sum())]
+        ends = np.append(before, length.sum())[bounds[1:] - bounds[0] + np.arange(1, len(bounds))]
+        return ids, np.diff(ends, prepend=0)
+
+
+def _path(vocabulary: str | None) -> str:
+    if vocabulary is not None:
+        return vocabulary
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY_FILE)
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str | None) -> _Encoder:
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path(VOCABULARY_FILE)
-    return _Encoder(path)
+def _encoder(vocabulary: str | None) -> _Encoder:
+    return _Encoder(_path(vocabulary))
 
 
 def _tokenised(vocabulary: str | None, end_id: int):
     """Rows (part, at, id, ids): the ids of each row's text and the end id, and how many ids its partition has before them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, at = _encoder(vocabulary), TaskContext.get().partitionId(), 0
-        width, end = encoder.dtype.itemsize, np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
-            for first in range(0, batch.num_rows, TEXTS):
-                rows = batch.slice(first, TEXTS)
-                found = [x + end for x in encoder.encoded([t or "" for t in rows.column(1).to_pylist()])]
-                sizes = np.array([len(x) // width for x in found], np.int64)
-                places = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
+            lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0)).astype(np.int64)
+            for first, last in stretches(lengths, BYTES):
+                rows = batch.slice(first, last - first)
+                ids, sizes = encoder.encoded(rows.column(1), end_id)
+                bounds = np.concatenate([[0], np.cumsum(sizes)])
+                blobs = pa.LargeBinaryArray.from_buffers(
+                    pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds * ids.itemsize), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(found), part, np.int32)), pa.array(places), rows.column(0), pa.array(sizes), pa.array(found, pa.binary())],
+                    [pa.array(np.full(len(sizes), part, np.int32)), pa.array(at + bounds[:-1]), rows.column(0), pa.array(sizes), blobs.cast(pa.binary())],
                     names=["part", "at", "id", "n", "ids"])
+                at += len(ids)
     return run
 
 
+def stretches(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Cuts rows into runs of at most ``limit``, or of one larger row."""
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + limit, "right")))
+        yield first, last
+        first = last
+
+
 def cut(places: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """The pieces that windows of ``length`` cut from documents at global places: (row, start, size, window, offset)."""
     first, last = places // length, (places + sizes - 1) // length
@@ -120,14 +180,8 @@ def pack(
 
     def pieces(batches):
         for batch in batches:
-            sizes = np.asarray(batch.column(3))
-            ends = np.cumsum(sizes)
-            first = 0
-            while first < batch.num_rows:
-                before = ends[first] - sizes[first]
-                last = max(first + 1, int(np.searchsorted(ends, before + IDS, "right")))
+            for first, last in stretches(np.asarray(batch.column(3)), IDS):
                 yield from piece_rows(batch.slice(first, last - first))
-                first = last
 
     def piece_rows(batch):
         part, at, ids, sizes, found = (batch.column(k) for k in range(5))
