@@ -28,8 +28,9 @@ VOCABULARY_FILE = "word_bpe_49k.json"
 REMEMBERED, BYTES, IDS = 400_000, 1 << 22, 1 << 21
 
 # Where the vocabulary's own pattern always cuts. Runs of letters, single digits and runs of other signs are
-# pieces of their own; the apostrophe and the signs of special tokens are left out, as they may join what stands beside them.
-_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"""!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"""
+# pieces of their own; the apostrophe and the signs of special tokens are left out, as they may join what
+# stands beside them, and so is the one letter whose lower case has a mark of its own.
+_LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"""!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"""
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
 
