@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import csv
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from accessloom.functions.hashing import canonical_json, input_hash, row_hash
+from accessloom.sources import structure
 
 # Header and field names of the input formats.
 ROSTER_COLUMNS = (
@@ -50,41 +50,43 @@ def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return located.join(starts, block).select("source_file", line.alias("source_line"), "value")
 
 
-def _fields(header: str) -> list[str]:
-    return next(csv.reader([header.removeprefix("\ufeff")]), [])
-
-
 def read_delimited(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """CSV with a header: text columns, source_file, source_line and a ragged-row flag ``malformed``.
 
     A row with too few or too many fields, or none, is flagged and kept. Columns are found by the header names of
     their own file, so files of one path may order them differently; a file without one of them is an error. The
-    distinct header lines, not the files, reach the driver. A field must not contain a line break.
+    distinct headers, not the files, reach the driver. A quoted field may hold line breaks; ``source_line`` is the physical
+    line a row begins at.
     """
-    lines = _numbered_lines(spark, path)
-    heads = lines.filter(F.col("source_line") < FIRST_LINE).select("source_file", F.col("value").alias("_header"))
-    layouts = {r[0]: _fields(r[0]) for r in heads.select("_header").distinct().collect()}
-    for fields in layouts.values():
-        missing = [c for c in columns if c not in fields]
+    records = structure.delimited_records(spark, path)
+    heads = records.filter(F.col("source_line") < FIRST_LINE).select("source_file", F.col("fields").alias("_header"))
+    layouts = [r[0] for r in heads.select("_header").distinct().collect()]
+    for header in layouts:
+        missing = [c for c in columns if c not in _named(header)]
         if missing:
             raise ValueError(f"{path} lacks columns {missing}")
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
-
-    def parsed_as(fields: list[str]) -> Column:
-        row = F.from_csv("value", ", ".join(f"`{c}` string" for c in [*fields, "_corrupt"]), options)
-        return F.struct(row.isNull().alias("_none"), *[row[c].alias(c) for c in (*columns, "_corrupt")])
-
-    rows = lines.filter(F.col("source_line") >= FIRST_LINE)
+    rows = records.filter(F.col("source_line") >= FIRST_LINE)
     if len(layouts) > 1:
         rows = rows.join(heads, "source_file")
-        row = F.coalesce(*[F.when(F.col("_header") == h, parsed_as(fields)) for h, fields in layouts.items()])
+        known = F.col("_header")
     else:
-        row = parsed_as(next(iter(layouts.values()), list(columns)))
-    parsed = rows.withColumn("_row", row)
-    malformed = F.col("_row._none") | F.col("_row._corrupt").isNotNull() | (F.trim("value") == "")
-    return parsed.select(
-        "source_file", "source_line", *[F.coalesce(F.col("_row")[c], F.lit("")).alias(c) for c in columns],
-        malformed.alias("malformed"), F.when(malformed, F.col("value")).alias("raw_line"))
+        known = F.array(*[F.lit(c) for c in next(iter(layouts), columns)]).cast("array<string>")
+
+    def value(name: str) -> Column:
+        places = [(header, _named(header).index(name)) for header in layouts]
+        if len(places) < 2:
+            return F.get("fields", F.lit(places[0][1] if places else 0))
+        of_header = [F.when(known == F.array(*[F.lit(c) for c in header]), F.get("fields", F.lit(at))) for header, at in places]
+        return F.coalesce(*of_header)
+
+    malformed = F.size("fields") != F.size(known)
+    return rows.select(
+        "source_file", "source_line", *[F.coalesce(value(c), F.lit("")).alias(c) for c in columns],
+        malformed.alias("malformed"), F.when(malformed, F.col("raw")).alias("raw_line"))
+
+
+def _named(header: Sequence[str]) -> list[str]:
+    return [c.removeprefix("\ufeff") if i == 0 else c for i, c in enumerate(header)]
 
 
 def read_roster(spark: SparkSession, path: str) -> DataFrame:
@@ -99,26 +101,22 @@ def read_crm(spark: SparkSession, path: str) -> DataFrame:
     return read_delimited(spark, path, CRM_COLUMNS)
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON file. A JSON document is not splittable: land large exports as many files."""
-    return spark.read.option("wholetext", True).text(path).select(
-        F.col("_metadata.file_path").alias("source_file"), F.col("value"))
-
-
 def read_cloud_directory(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of users; the first element is line 2."""
-    users = _documents(spark, path).select(
-        "source_file", F.posexplode(F.from_json("value", f"array<{CLOUD_USER}>")).alias("position", "user"))
+    """JSON array of users, of any size; the first element is line 2."""
+    users = structure.json_elements(spark, path).withColumn("user", F.from_json("value", CLOUD_USER))
     return users.select("source_file", (F.col("position") + FIRST_LINE).cast("bigint").alias("source_line"), "user.*")
 
 
 def read_cloud_iam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(users, roles) of an IAM export with both lists in one document."""
-    document = _documents(spark, path).select("source_file", F.from_json("value", IAM_DOCUMENT).alias("d"))
-    users = document.select("source_file", F.posexplode("d.users").alias("position", "user")).select(
-        "source_file", (F.col("position") + FIRST_LINE).cast("bigint").alias("source_line"), "user.*")
-    roles = document.select("source_file", F.inline("d.roles"))
-    return users, roles
+    """(users, roles) of an IAM export with both lists in one document, of any size."""
+    parts = structure.json_elements(spark, path, level=2)
+
+    def part(name: str) -> DataFrame:
+        element = F.from_json(F.concat(F.lit(f'{{"{name}":['), "value", F.lit("]}")), IAM_DOCUMENT)[name]
+        return parts.filter(F.col("name") == name).select(
+            "source_file", (F.col("position") + FIRST_LINE).cast("bigint").alias("source_line"), F.inline(element))
+
+    return part("users"), part("roles").drop("source_line")
 
 
 def read_cloud_directory_lines(spark: SparkSession, path: str) -> DataFrame:
