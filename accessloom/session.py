@@ -1,13 +1,19 @@
-"""Session settings the library relies on, and reliable lineage cuts."""
+"""Session settings the library relies on, reliable lineage cuts, and scopes that release them."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT = "spark.checkpoint.dir"
+#: With it, shuffle files go when the query that made them has ended, not when the driver next collects garbage.
+RELEASE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -31,13 +37,68 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+class Scope:
+    """The tables stored since a scope began, which its end deletes."""
+
+    def __init__(self, outer: Scope | None):
+        self.outer, self.stored = outer, []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Stores ``df`` as a table that outlives this scope and belongs to the one around it, if any."""
+        return _stored(df, self.outer)
+
+
+_innermost: ContextVar[Scope | None] = ContextVar("innermost scope", default=None)
+
+
+@contextmanager
+def stored_tables() -> Iterator[Scope]:
+    """Tables that ``cut_lineage`` writes inside are deleted at the end; what is to be read later goes through ``keep``.
+
+    Until then all of them stay, so a lost executor never costs a round. Only folders that the scope made are deleted.
+    """
+    scope = Scope(_innermost.get())
+    token = _innermost.set(scope)
+    try:
+        yield scope
+    finally:
+        _innermost.reset(token)
+        for spark, path in scope.stored:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def released(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Stores the result of ``step`` and deletes what it stored on the way."""
+    @wraps(step)
+    def run(*args, **options):
+        with stored_tables() as scope:
+            return scope.keep(step(*args, **options))
+
+    return run
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
     A lost executor then never replays earlier rounds, readers prune columns, and the optimizer
     sees real sizes when it chooses join strategies.
     """
+    return _stored(df, _innermost.get())
+
+
+def _stored(df: DataFrame, scope: Scope | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/accessloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    if scope is not None:
+        scope.stored.append((spark, path))
+    before = spark.conf.get(RELEASE_SHUFFLES, None)
+    spark.conf.set(RELEASE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(RELEASE_SHUFFLES)
+        else:
+            spark.conf.set(RELEASE_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
