@@ -78,13 +78,14 @@ def released(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, outlives_scope: bool = False) -> DataFrame:
     """Write ``df`` once as a table in the shared checkpoint folder and read it back.
 
     A lost executor then never replays earlier rounds, readers prune columns, and the optimizer
-    sees real sizes when it chooses join strategies.
+    sees real sizes when it chooses join strategies. The table belongs to the innermost scope, or to the one around it.
     """
-    return _stored(df, _innermost.get())
+    scope = _innermost.get()
+    return _stored(df, scope.outer if scope is not None and outlives_scope else scope)
 
 
 def _stored(df: DataFrame, scope: Scope | None) -> DataFrame:
