@@ -7,11 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from accessloom.llm import common
 from accessloom.session import cut_lineage
 
-#: Minima kept at most of one item; with so many, a document that holds the wanted share of an item escapes all of
-#: them with a chance below (1 - share) ** 24.
-MOST_MINIMA = 24
-
-
 def words(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -45,16 +40,14 @@ def exact_shingles(words_: str, size: int) -> Column:
     return F.array_distinct(_runs(F.size(words_), size, one))
 
 
-def minima_needed(partition: Column, share: float) -> Column:
-    """How many minima an item of size partition p (sizes 2^p up to 2^(p+1) - 1) keeps.
-
-    One more than the shingles it may lack makes the search exact; large items stop at MOST_MINIMA.
-    """
+def minima_needed(partition: Column, share: float, most: int | None) -> Column:
+    """How many minima an item of size partition p (sizes 2^p up to 2^(p+1) - 1) keeps: one more than the shingles it may
+    lack makes the search exact; ``most`` bounds them."""
     may_lack = F.floor(F.lit(1 - share) * (F.pow(F.lit(2), partition + 1) - 1) + F.lit(1e-9))
-    return F.least(F.lit(MOST_MINIMA), may_lack + 1).cast("int")
+    return (may_lack + 1 if most is None else F.least(F.lit(most), may_lack + 1)).cast("int")
 
 
-def signatures(items: DataFrame, id_col: str, text_col: str, size: int, share: float) -> DataFrame:
+def signatures(items: DataFrame, id_col: str, text_col: str, size: int, share: float, most: int | None = None) -> DataFrame:
     """Items with shingles: item_key, item_id, words, n_shingles, and the hashes of their least shingles.
 
     Items are partitioned by the power of two of their size; the partition sets how many of the hash minima of the set
@@ -67,18 +60,19 @@ def signatures(items: DataFrame, id_col: str, text_col: str, size: int, share: f
     partition = F.floor(F.log2(F.size("hashes")) + F.lit(1e-9)).cast("int")
     return hashed.withColumn("partition", partition).select(
         "item_key", "item_id", "words", "partition", F.size("hashes").alias("n_shingles"),
-        F.slice("hashes", F.lit(1), minima_needed(F.col("partition"), share)).alias("minima"))
+        F.slice("hashes", F.lit(1), minima_needed(F.col("partition"), share, most)).alias("minima"))
 
 
 def contained(
         docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text", item_id: str = "item_id",
-        item_text: str = "text", size: int = 5, share: float = 0.8) -> DataFrame:
+        item_text: str = "text", size: int = 5, share: float = 0.8, most_minima: int | None = None) -> DataFrame:
     """Pairs of document and item where the document holds at least ``share`` of the item's distinct word shingles:
     doc_key, doc_id, item_id, n_item, n_shared, containment.
 
     A document is a candidate for an item if it holds one of the item's minima: a minimum of the small set is in the
     large set with a chance equal to the containment, whatever the size of the large set, and minima are distinct
-    shingles, so with one more than may be lacking one of them must be there. A document too small for an item's
+    shingles, so with one more than may be lacking one of them must be there. Only a caller who bounds the minima by
+    ``most_minima`` may lose pairs, each with a chance below (1 - share) ** most_minima. A document too small for an item's
     partition is no candidate. Candidates are then verified on their words. Signatures are one small table that Spark
     broadcasts while it is under its threshold and joins by hash beyond; documents are never shuffled but for
     candidates, which a bitmap of fixed size finds in the second scan.
@@ -87,7 +81,7 @@ def contained(
     hold nothing and are held by nothing. Repeated rows count once; rows without id take part, their id is null. Other
     columns are ignored; where either table is empty there are no pairs.
     """
-    signed = cut_lineage(signatures(items, item_id, item_text, size, share))
+    signed = cut_lineage(signatures(items, item_id, item_text, size, share, most_minima))
     minima = cut_lineage(signed.select("item_key", "partition", F.explode("minima").alias("hash")))
     own = docs.select(
         common.row_key(doc_id, doc_text).alias("doc_key"), words(F.col(doc_text)).alias("words"))

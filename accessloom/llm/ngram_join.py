@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from accessloom.llm import common
 from accessloom.llm.common import mix
 from accessloom.llm.components import components
-from accessloom.session import cut_lineage
+from accessloom.session import cut_lineage, released
 
 #: A key that more different sets have is common: its pairs are not listed at once but found through some members.
 COMMON = 8
@@ -37,7 +37,6 @@ PER_STRETCH = 256
 #: Sets of one component that are compared as one block, and their shingles.
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _COLUMNS = 1 << 12
-_LEAST = 4
 _FLUSH = 1 << 19
 _PER_BUCKET = 1_200_000
 _DELETED, _UPPER = 1, 2
@@ -53,10 +52,15 @@ MET = "kind int, target int, a binary, b binary, c binary, d binary"
 # ---- bands and allocation -------------------------------------------------------------------
 
 
+def least_size(num: int, den: int) -> int:
+    """The least size of a set that is similar enough to any other: one of s shingles to one of s + 1 at best."""
+    return max(1, -(-num // max(1, den - num)))
+
+
 @lru_cache(maxsize=8)
-def bands(num: int, den: int, most: int = 1 << 26) -> list[int]:
-    """Least sizes of the bands: a set's similar partners are in its own band or one beside it."""
-    edges = [_LEAST]
+def bands(num: int, den: int, most: int = 1 << 48) -> list[int]:
+    """Least sizes of the bands: a set's similar partners are in its own band or one beside it. No text has ``most`` words."""
+    edges = [least_size(num, den)]
     while edges[-1] <= most:
         edges.append(max(edges[-1] + 1, (edges[-1] - 1) * den // num + 1))
     return edges
@@ -132,7 +136,7 @@ def entries(tokens: np.ndarray, band: int, deal: int, m: int, deep: int) -> tupl
 
 def set_entries(tokens: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
     """Keys, tags, scheme and lost units of a set in the schemes of its own band and of the band below."""
-    if len(tokens) < _LEAST:
+    if len(tokens) < least_size(num, den):
         return
     own = int(np.searchsorted(bands(num, den), len(tokens), "right")) - 1
     for band in (own, own - 1) if own else (own,):
@@ -245,7 +249,7 @@ def _indexed(size: int, num: int, den: int, buckets: int):
             for _, data, offsets in common.text_blocks(batch.column(0)):
                 for tokens in common.shingle_sets(data, offsets, size):
                     name = set_key(tokens)
-                    if len(tokens) < _LEAST or name in seen:
+                    if len(tokens) < least_size(num, den) or name in seen:
                         continue
                     seen.add(name)
                     for found in set_entries(tokens, num, den):
@@ -577,7 +581,7 @@ class _Join:
             F.col(text_col).cast("string").alias("text"))
         self.sets = cut_lineage(self.docs.mapInArrow(_measured(size), SETS))
         total = self.sets.agg(F.sum("n_shingles")).first()[0] or 0
-        self.classes = cut_lineage(self.sets.where(F.col("n_shingles") >= _LEAST).groupBy("set_key").agg(
+        self.classes = cut_lineage(self.sets.where(F.col("n_shingles") >= least_size(num, den)).groupBy("set_key").agg(
             F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
         self.buckets = max(1, common.partitions(docs.sparkSession), -(-total // _PER_BUCKET))
 
@@ -588,12 +592,13 @@ class _Join:
     def dealt(self, rows: DataFrame, task, schema: str = MET) -> DataFrame:
         return rows.repartitionById(self.buckets, F.col("target")).mapInArrow(task, schema)
 
+    @released
     def pairs(self, rows: DataFrame) -> DataFrame:
         """Candidate pairs (a, b), once each, that sizes and sketches leave open."""
         listed = cut_lineage(self.dealt(rows.where("kind = 0"), _listed, "a long, b long"))
         one = self.classes.select("set_key", "n_shingles", "sketch")
         both = listed.join(one.toDF("a", "n_a", "x"), "a").join(one.toDF("b", "n_b", "y"), "b").select("a", "b", "n_a", "x", "n_b", "y")
-        return cut_lineage(both.mapInArrow(_sieved(self.num, self.den), "a long, b long"))
+        return both.mapInArrow(_sieved(self.num, self.den), "a long, b long")
 
     def fetch(self, pairs: DataFrame, groups: DataFrame) -> None:
         """Stores one text of every set that is in a candidate pair or in a group, by a single scan of the documents."""
@@ -606,9 +611,11 @@ class _Join:
             F.min("row_key").alias("row_key")))
         keys = common.membership(chosen, F.col("row_key"))
         texts = common.with_membership(self.docs, F.col("row_key"), keys, "open").where("open").select("row_key", "text")
-        self.texts = cut_lineage(texts.dropDuplicates(["row_key"]).join(chosen, "row_key").select("set_key", "text"))
-        self.classes = cut_lineage(self.classes.join(self.texts.select("set_key"), "set_key", "left_semi"))
+        # Read until the join is done, so they outlive the step that stores them.
+        self.texts = cut_lineage(texts.dropDuplicates(["row_key"]).join(chosen, "row_key").select("set_key", "text"), True)
+        self.classes = cut_lineage(self.classes.join(self.texts.select("set_key"), "set_key", "left_semi"), True)
 
+    @released
     def checked(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) with exact counts.
 
@@ -625,8 +632,9 @@ class _Join:
         texts = common.with_membership(self.texts, F.col("set_key"), keys, "open").where("open")
         rows = wanted.join(texts, "set_key").select("hub", "salt", "member", "set_key", "text")
         placed = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "member")
-        return cut_lineage(placed.mapInArrow(_compared(self.size), CHECKED))
+        return placed.mapInArrow(_compared(self.size), CHECKED)
 
+    @released
     def settled(self, pairs: DataFrame, known: DataFrame | None) -> DataFrame:
         """(node, root) of all linked sets, from roots so far and candidate pairs.
 
@@ -649,11 +657,13 @@ class _Join:
                 rest.groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
         return roots
 
+    @released
     def joined(self, known: DataFrame | None, pairs: DataFrame) -> DataFrame:
         union = F.col("n_a") + F.col("n_b") - F.col("both")
         links = self.checked(pairs).where(F.col("both") * self.den >= union * self.num).select("a", "b")
         return components(links if known is None else links.unionByName(known.toDF("a", "b")))
 
+    @released
     def roots(self, rounds: int = 1) -> DataFrame:
         """(node, root) of every set that is linked with a lesser one.
 
@@ -684,7 +694,7 @@ class _Join:
                 roots = self.settled(pairs, roots)
         return roots
 
-
+    @released
     def linked(self, roots: DataFrame, counted: bool) -> DataFrame:
         """All links between different sets, or their number by set.
 
@@ -717,6 +727,7 @@ class _Join:
         return sorted_.mapInArrow(_linked(self.size, self.num, self.den, counted), COUNTS if counted else LINKS)
 
 
+@released
 def jaccard_links(
         docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """All links between different sets, once each: a, b (names of the sets, a < b), both, n_a, n_b (shingles)."""
@@ -724,11 +735,13 @@ def jaccard_links(
     return join.linked(join.roots(), False)
 
 
+@released
 def jaccard_components(
         docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100,
         links: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id; with ``links`` also n_links, the number of other sets
-    that the row's own set links with (equal sets, so also exact copies, count once).
+    that the row's own set links with (equal sets, so also exact copies, count once). row_key names the row by id and text,
+    class_key its component, also where that has no id.
 
     Words are runs of other characters than blank and 0x09-0x0D, with A-Z in lower case; a text's set holds its distinct
     runs of ``size`` words, or its whole sequence if it has fewer. Two rows link when den x intersection >= num x union;
@@ -752,4 +765,5 @@ def jaccard_components(
     # A root without shingles is a row of its own, which no component can claim.
     return placed.join(least, "root", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more, "row_key")
+        F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), *more, "row_key",
+        F.col("root").alias("class_key"))

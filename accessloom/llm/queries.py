@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from accessloom.llm import common, decontaminate, exact_dedup, langid, manifest, mixing, ngram_join, packing, pii, secrets, spelling, token_output, toxicity, warc
@@ -22,7 +24,7 @@ def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(_docs(spark, sf_dir), links=True).drop("row_key")
+    return ngram_join.jaccard_components(_docs(spark, sf_dir), links=True).drop("row_key", "class_key")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +113,51 @@ def _leaf(n_chars: str) -> str:
 _STEP = """sha256(CASE WHEN s.digest IS NULL THEN folded WHEN w.i % 2 = 1 THEN s.digest || folded ELSE folded || s.digest END)"""
 _CHECKSUM_7 = _crc32("doc_id::VARCHAR") + " % 7 = 0"
 
+
+
+def _span_sql() -> str:
+    """DuckDB SQL for all matches that count, of each kind of ``secrets``: id, kind, start, end."""
+    def literal(pattern: str) -> str:
+        # Either case is written out, as the flag would also fold letters beyond ASCII here.
+        flagged = re.sub(r"\(\?i:([^()]*)\)", lambda m: "(?:" + re.sub("[a-z]", lambda c: f"[{c[0]}{c[0].upper()}]", m[1]) + ")", pattern)
+        return "'" + flagged.replace("'", "''") + "'"
+
+    def of(number: int, name: str, pattern: str, group: int, least: int) -> str:
+        mixed = "".join(f" AND regexp_matches(hit, '{c}')" for c in ("[a-z]", "[A-Z]", "[0-9]")) if name == "weak" else ""
+        return f"""
+            SELECT id, {number} AS kind, stop - length(hit) AS start, stop AS end FROM (
+                SELECT id, hit, bound, sum(length(gap) + length(hit)) OVER (PARTITION BY id ORDER BY i) AS stop FROM (
+                    SELECT id, unnest(hits) AS hit, unnest(bounds) AS bound, unnest(gaps[:len(hits)]) AS gap, unnest(range(len(hits))) AS i FROM (
+                        SELECT id, regexp_extract_all(text, {literal(pattern)}, 0) AS hits, regexp_extract_all(text, {literal(pattern)}, {group}) AS bounds,
+                               regexp_split_to_array(text, {literal(pattern)}) AS gaps FROM texts)))
+            WHERE length(bound) >= {least}{mixed}"""
+
+    return " UNION ALL ".join(of(i, *kind) for i, kind in enumerate(secrets.BASE + secrets.WEAK))
+
+
+_NAMED = f"{list(secrets.KINDS)}[kind + 1] || ':' || start || ':' || \"end\""
+
 ORACLES = {
+    "op10_secret_scan": f"""
+        WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents),
+        found AS MATERIALIZED ({_span_sql()}),
+        free AS MATERIALIZED (
+            SELECT * FROM found s WHERE kind IN (0, 2, 5) AND NOT EXISTS (
+                FROM found h WHERE h.id = s.id AND h.kind IN (3, 4) AND h.start < s.end AND s.start < h.end)),
+        shown AS (
+            SELECT * FROM found WHERE kind < 3
+            UNION ALL
+            SELECT * FROM found h WHERE kind IN (3, 4) AND EXISTS (
+                FROM free s WHERE s.id = h.id AND (s.start >= h.end OR h.start >= s.end) AND s.start - h.end <= 300 AND h.start - s.end <= 300)
+            UNION ALL
+            SELECT * FROM free s WHERE kind = 5 AND EXISTS (
+                FROM found h WHERE h.id = s.id AND h.kind IN (1, 3, 4) AND (s.start >= h.end OR h.start >= s.end) AND s.start - h.end <= 300
+                AND h.start - s.end <= 300))
+        SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+               count(*) FILTER (kind > 2) AS n_linked,
+               sha256(coalesce(string_agg({_NAMED}, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,
+               coalesce(string_agg({_NAMED}, ',' ORDER BY start, kind), '') AS spans
+        FROM texts LEFT JOIN shown USING (id) GROUP BY texts.id, doc_id""",
     "op5_decontaminate": r"""
         WITH w AS (
             SELECT 'd' AS side, doc_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
@@ -130,18 +176,22 @@ ORACLES = {
     "op7_mix_sources": f"""
         WITH RECURSIVE sizes AS (SELECT source, count(*) AS n, sqrt(count(*)::DOUBLE) AS weight FROM documents GROUP BY source),
         whole AS (SELECT sum(weight) AS weights, sum(n)::DOUBLE AS total FROM sizes),
-        rates AS (SELECT source, round(least(8.0::DOUBLE, weight / weights * total * 1.0::DOUBLE / n), 9) AS rate FROM sizes, whole),
+        rates AS (SELECT source, round(weight / weights * total * 1.0::DOUBLE / n, 9) AS rate FROM sizes, whole),
+        parts AS (SELECT source, rate, greatest(1, ceil(rate / 256.0::DOUBLE))::INTEGER AS draws, rate / draws AS mean FROM rates),
         steps AS (
-            SELECT source, rate, 0 AS k, exp(-rate) AS term, exp(-rate) AS below FROM rates
+            SELECT source, rate, mean, 0 AS k, exp(-mean) AS term, exp(-mean) AS below FROM parts
             UNION ALL
-            SELECT source, rate, k + 1, term * rate / (k + 1), below + term * rate / (k + 1) FROM steps
-            WHERE k < ceil(rate + 12 * sqrt(rate) + 30)),
-        draws AS (SELECT *, {_UNIT.format("'17|' || doc_id::VARCHAR")} AS draw FROM documents),
+            SELECT source, rate, mean, k + 1, term * mean / (k + 1), below + term * mean / (k + 1) FROM steps
+            WHERE k < ceil(mean + 12 * sqrt(mean) + 30)),
+        drawn AS (SELECT doc_id, source, draws, unnest(generate_series(1, draws)) AS part FROM documents JOIN parts USING (source)),
+        draws AS (
+            SELECT doc_id, source, CASE WHEN draws = 1 THEN {_UNIT.format("'17|' || doc_id::VARCHAR")}
+                ELSE {_UNIT.format("'17|' || doc_id::VARCHAR || '|draw|' || part::VARCHAR")} END AS draw FROM drawn),
         counts AS (
             SELECT doc_id, any_value(rate) AS rate, count(*) FILTER (below <= draw) AS n FROM draws JOIN steps USING (source) GROUP BY doc_id)
         SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, c.copy::INTEGER AS copy, rate,
                {_UNIT.format("'18|' || d.doc_id::VARCHAR || '|' || c.copy::VARCHAR")} AS order_key
-        FROM draws d JOIN (SELECT doc_id, rate, unnest(generate_series(1, n)) AS copy FROM counts) c USING (doc_id)""",
+        FROM documents d JOIN (SELECT doc_id, rate, unnest(generate_series(1, n)) AS copy FROM counts) c USING (doc_id)""",
     "op8_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         g AS (SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest)
