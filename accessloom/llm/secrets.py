@@ -65,8 +65,9 @@ def linked(found: DataFrame, scope: int = 300) -> DataFrame:
     """The weak spans that have a complementary part within ``scope`` code points: an identifier or endpoint needs a
     secret, a weak secret needs an identifier or endpoint.
 
-    An interval join: each span is put in the scope-wide cells that it, widened by the scope, touches, and joined by
-    cell. Semi joins keep a weak span once, however many parts are near it.
+    Parts are disjoint: what overlaps an identifier or endpoint is part of it, so it is no second part, neither
+    of that one nor of another. An interval join: each span is put in the scope-wide cells that it, widened by the scope,
+    touches, and joined by cell. Semi joins keep a weak span once, however many parts are near it.
     """
     number = F.col("kind")
 
@@ -77,13 +78,19 @@ def linked(found: DataFrame, scope: int = 300) -> DataFrame:
         low, high = F.floor((F.col("start") - widen) / scope), F.floor((F.col("end") - 1 + widen) / scope)
         return df.withColumn("cell", F.explode(F.sequence(low, high)))
 
-    def near(weak, others):
-        a, b = cells(weak, scope).alias("a"), cells(others, 0).alias("b")
-        meet = (F.col("b.start") - F.col("a.end") <= scope) & (F.col("a.start") - F.col("b.end") <= scope)
-        return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.cell") == F.col("b.cell")) & meet, "left_semi").drop("cell").distinct()
-
-    weak_parts, parts = found.where(of(("ident", "endpoint"))), found.where(of(_IDENTIFIERS + _ENDPOINTS))
-    return near(weak_parts, found.where(of(_SECRETS))).unionByName(near(found.where(of(("weak",))), parts))
+    def beside(spans_, others, meet, widen):
+        a, b = cells(spans_, widen).alias("a"), cells(others, 0).alias("b")
+        same = (F.col("a.key") == F.col("b.key")) & (F.col("a.cell") == F.col("b.cell"))
+        return a.join(b, same & meet, "left_semi").drop("cell").distinct()
+
+    ahead, behind = F.col("b.start") - F.col("a.end"), F.col("a.start") - F.col("b.end")
+    near = (ahead <= scope) & (behind <= scope) & ((ahead >= 0) | (behind >= 0))
+    holders = found.where(of(("ident", "endpoint")))
+    covered = beside(found.where(of(_SECRETS)), holders, (ahead < 0) & (behind < 0), 0)
+    secrets = found.where(of(_SECRETS)).join(covered, ["key", "kind", "start", "end"], "left_anti").select(*found.columns)
+    free = cut_lineage(secrets)
+    parts = found.where(of(_IDENTIFIERS + _ENDPOINTS))
+    return beside(holders, free, near, scope).unionByName(beside(free.where(of(("weak",))), parts, near, scope))
 
 
 def _shown(spans_: Column) -> Column:
