@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 UNKNOWN = "und"
 RESULT = "lang_pred string, score double"
 _SPACE, _OTHER, _FIRST = 0, 1, 2
-_LETTERS = 126
+#: Letters, the most frequent ones, whose transitions stand in a dense table; those of all others are sorted arcs.
+_DENSE = 46
 _CELLS = 1 << 21
 
 
@@ -40,8 +41,8 @@ def _folded(points: np.ndarray) -> np.ndarray:
     return out[:-1] if len(out) and out[-1] == 0 else out
 
 
-def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions of the automaton of all substrings of ``codes``: (states, letters), 0 where there is none.
+def suffix_automaton(codes: np.ndarray) -> tuple[int, np.ndarray]:
+    """The automaton of all substrings of ``codes``: how many states it has, and its arcs as rows of state, letter, state.
 
     State 0 is kept free, state 1 is the start. Built letter by letter with suffix links, in time linear in the text.
     """
@@ -70,11 +71,11 @@ def suffix_automaton(codes: np.ndarray, letters: int) -> np.ndarray:
                     nxt[p][c] = copy
                     p = link[p]
         last = current
-    out = np.zeros((len(nxt), letters), np.int32)
-    for state, arcs in enumerate(nxt):
-        for c, to in arcs.items():
-            out[state, c] = to
-    return out
+    n = sum(map(len, nxt))
+    state = np.repeat(np.arange(len(nxt), dtype=np.int32), [len(arcs) for arcs in nxt])
+    letter = np.fromiter((c for arcs in nxt for c in arcs), np.int32, n)
+    to = np.fromiter((t for arcs in nxt for t in arcs.values()), np.int32, n)
+    return len(nxt), np.stack([state, letter, to], axis=1)
 
 
 class Model:
@@ -83,31 +84,65 @@ class Model:
     Entry (state, letter) is the next state while the phrase goes on; where the phrase must end it is minus the state
     that the letter leads to from the start, so one lookup does a step of the parse. Each language has a state from which
     every letter starts a phrase: a parse begins there, and a letter the reference lacks leads there.
+
+    Every letter of the references counts. The space and the most frequent letters have columns of the table; the arcs
+    of all others are found by binary search among (state, letter), those from the start among them.
     """
 
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         folded = {k: _folded(_points(samples[k])) for k in self.languages}
         every = np.concatenate([x[x != 0] for x in folded.values()] or [np.zeros(0, np.uint32)])
-        seen, count = np.unique(every, return_counts=True)
-        self.alphabet = np.sort(seen[np.argsort(-count, kind="stable")][:_LETTERS])
-        letters = _FIRST + len(self.alphabet)
-        tables, self.starts, base = [np.zeros((1, letters), np.int64)], [], 1
+        self.alphabet, count = np.unique(every, return_counts=True)
+        rank = np.empty(len(count), np.int64)
+        rank[np.argsort(-count, kind="stable")] = np.arange(len(count))
+        self.code = (rank + _FIRST).astype(np.int32)
+        self.width = _FIRST + min(_DENSE, len(count))
+        self.letters = _FIRST + len(count)
+        tables, keys, targets, self.starts, base = [np.zeros((1, self.width), np.int32)], [], [], [], 1
         for name in self.languages:
-            table = suffix_automaton(self.codes(folded[name]), letters)
-            to = np.where(table > 0, table + base, 0)
-            root = np.where(to[1] > 0, to[1], base)
-            tables.append(np.where(to > 0, to, -root[None, :]))
+            states, arcs = suffix_automaton(self.codes(folded[name]))
+            state, letter, to = arcs.T
+            dense = letter < self.width
+            root = np.full(self.width, base, np.int32)
+            first = dense & (state == 1)
+            root[letter[first]] = to[first] + base
+            table = np.repeat(-root[None, :], states, axis=0)
+            table[state[dense], letter[dense]] = to[dense] + base
+            tables.append(table)
+            keys.append((state[~dense].astype(np.int64) + base) * self.letters + letter[~dense])
+            targets.append(to[~dense] + base)
             self.starts.append(base)
-            base += len(table)
-        self.table = np.concatenate(tables).astype(np.int32).ravel()
-        self.width = letters
+            base += states
+        self.table = np.concatenate(tables).ravel()
+        key, target = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, targets))
+        order = np.argsort(key)
+        self.arc_key, self.arc_to = key[order], target[order].astype(np.int32)
         self.bits = np.log2([max(2, len(folded[k])) for k in self.languages]) if self.languages else np.zeros(0)
 
     def codes(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.alphabet, points)
-        known = self.alphabet[np.minimum(at, max(0, len(self.alphabet) - 1))] == points if len(self.alphabet) else np.zeros(len(points), bool)
-        return np.where(points == 0, _SPACE, np.where(known, at + _FIRST, _OTHER))
+        at = np.minimum(np.searchsorted(self.alphabet, points), max(0, len(self.alphabet) - 1))
+        if not len(self.alphabet):
+            return np.where(points == 0, _SPACE, _OTHER)
+        return np.where(points == 0, _SPACE, np.where(self.alphabet[at] == points, self.code[at], _OTHER))
+
+    def _arc(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The state that a sparse arc leads to, 0 where there is none."""
+        key = state.astype(np.int64) * self.letters + letter
+        at = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
+        return np.where(self.arc_key[at] == key, self.arc_to[at], 0)
+
+    def _step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """Next states, negative where a phrase ends; rows are languages, columns pieces."""
+        rare = letter >= self.width
+        if not rare.any():
+            return self.table[state * np.int32(self.width) + letter]
+        to = self.table[state * np.int32(self.width) + np.where(rare, np.int32(_OTHER), letter)]
+        begin = np.array(self.starts, np.int32)[:, None]
+        on = self._arc(state[:, rare], letter[rare][None, :])
+        root = self._arc(np.broadcast_to(begin + 1, on.shape), letter[rare][None, :])
+        to[:, rare] = np.where(on > 0, on, -np.where(root > 0, root, begin))
+        return to
 
     def _phrases(self, pieces: list[np.ndarray]) -> np.ndarray:
         """Phrases of each piece in each language; all pieces go forward together, the longest first."""
@@ -120,10 +155,9 @@ class Model:
         active = len(pieces) - np.searchsorted(lengths[::-1], np.arange(longest), "right")
         state = np.repeat(np.array(self.starts, np.int32)[:, None], len(pieces), 1)
         count = np.zeros(state.shape, np.int32)
-        width = np.int32(self.width)
         for t in range(longest):
             n = active[t]
-            to = self.table[state[:, :n] * width + codes[t, :n]]
+            to = self._step(state[:, :n], codes[t, :n])
             count[:, :n] += to < 0
             state[:, :n] = np.abs(to)
         out = np.empty((len(pieces), len(self.languages)))
