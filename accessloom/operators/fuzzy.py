@@ -2,9 +2,10 @@
 
 Two names within Indel distance k share the string left after deleting d1 characters from one and
 d2 from the other with d1 + d2 <= k, and the least such d1 + d2 is their distance. Names whose pair
-allows k <= 3 meet on these shortened strings. Longer names meet on their rarest trigrams (an edit
-destroys at most three, so the 3k + 1 rarest of both must overlap) and are then verified; the parts
-that many names share, such as a suffix, are never keys. Cutting names into k + 1 segments instead
+allows k <= 3 meet on these shortened strings. Longer names meet on their rarest trigrams at places at most
+k apart: an edit destroys at most three and moves the others by one, so among the 3k + 1 rarest of both is one that both
+keep, the rarest and leftmost of those kept. They are then verified; the parts that many names share, such as a
+suffix, are never keys. Cutting names into k + 1 segments instead
 was tried: with a shared suffix most segments are common, and 1,500 names took 200 s.
 Both routes are exact; which one a pair takes depends on its summed length only.
 """
@@ -73,19 +74,27 @@ def _shortened(names: DataFrame, scope: Sequence[str], side: str) -> DataFrame:
 
 def _rare_grams(names: DataFrame, frequencies: DataFrame, scope: Sequence[str], side: str) -> DataFrame:
     grams = F.transform(F.sequence(F.lit(1), F.col("name_len") - (GRAM - 1)), lambda i: F.substr(F.col("name"), i, F.lit(GRAM)))
-    numbered = F.transform(
-        F.col("grams"),
-        lambda g, i: F.struct(
-            g.alias("gram"),
-            F.size(F.filter(F.slice(F.col("grams"), F.lit(1), i + 1), lambda x: x == g)).alias("nth")))
+    placed = F.transform(F.col("grams"), lambda g, i: F.struct(g.alias("gram"), i.alias("place")))
     longest_sum = F.col("name_len") + F.floor(F.col("name_len") * (200 - THRESHOLD) / THRESHOLD)
     budget = F.floor(longest_sum * (100 - THRESHOLD) / 100)
     tokens = names.withColumn("grams", grams).select(
-        *scope, "name", "name_len", (GRAM * budget + 1).alias("keep"), F.inline(numbered))
-    by_rarity = Window.partitionBy(*scope, "name").orderBy(F.coalesce("seen", F.lit(0)), "gram", "nth")
+        *scope, "name", "name_len", (GRAM * budget + 1).alias("keep"), F.inline(placed))
+    by_rarity = Window.partitionBy(*scope, "name").orderBy(F.coalesce("seen", F.lit(0)), "gram", "place")
     ranked = tokens.join(frequencies, "gram", "left").withColumn("rarity", F.row_number().over(by_rarity))
     return ranked.filter(F.col("rarity") <= F.col("keep")).select(
-        *scope, "gram", "nth", F.col("name").alias(f"{side}_name"), F.col("name_len").alias(f"{side}_len"))
+        *scope, "gram", F.col("place").alias(f"{side}_place"), F.col("name").alias(f"{side}_name"), F.col("name_len").alias(f"{side}_len"))
+
+
+def long_candidates(probe: DataFrame, known: DataFrame, frequencies: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Pairs of different names that may be similar enough: a rare trigram at places, and lengths, no further apart than
+    their distance allows, and a Levenshtein distance, which never exceeds the Indel distance, within that."""
+    a, b = F.col("probe_name"), F.col("index_name")
+    total = F.col("probe_len") + F.col("index_len")
+    allowed = F.floor(total * (100 - THRESHOLD) / 100)
+    near = (F.abs(F.col("probe_len") - F.col("index_len")) <= allowed) & (F.abs(F.col("probe_place") - F.col("index_place")) <= allowed)
+    met = _rare_grams(probe, frequencies, scope, "probe").join(_rare_grams(known, frequencies, scope, "index"), [*scope, "gram"], "inner")
+    pairs = met.filter((allowed > DELETION_BUDGET) & near & (a != b)).select(*scope, "probe_name", "index_name").distinct()
+    return pairs.filter(similarity.maybe_at_least(a, b, THRESHOLD))
 
 
 def similar_names(probes: DataFrame, index: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
@@ -124,16 +133,7 @@ def similar_names(probes: DataFrame, index: DataFrame, scope: Sequence[str] = ()
     frequencies = long_only(known).select(F.explode(F.transform(
         F.sequence(F.lit(1), F.col("name_len") - (GRAM - 1)), lambda i: F.substr(F.col("name"), i, F.lit(GRAM)))).alias("gram"))
     frequencies = frequencies.groupBy("gram").agg(F.count("*").alias("seen"))
-    a, b = F.col("probe_name"), F.col("index_name")
-    far = (
-        _rare_grams(long_only(probe), frequencies, scope, "probe")
-        .join(_rare_grams(long_only(known), frequencies, scope, "index"), [*scope, "gram", "nth"], "inner")
-        .filter((allowed > DELETION_BUDGET) & (F.abs(F.col("probe_len") - F.col("index_len")) <= allowed) & (a != b))
-        .select(*pair).distinct()
-        .filter(similarity.maybe_at_least(a, b, THRESHOLD))
-        # A generator, so that the ratio is not worked out once more inside the filter.
-        .select(*pair, F.explode_outer(F.array(similarity.indel_ratio(a, b))).alias("ratio"))
-        .filter(F.col("ratio") >= THRESHOLD - 1e-9))
+    far = similarity.with_ratio(long_candidates(long_only(probe), long_only(known), frequencies, scope), "probe_name", "index_name", THRESHOLD)
     return equal.unionByName(near).unionByName(far)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
@@ -14,9 +15,13 @@ from accessloom.session import cut_lineage
 MAX_DEPTH = 10
 
 
-def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH) -> DataFrame:
+def reachable(
+    entitlements: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH, roots: DataFrame | None = None
+) -> DataFrame:
     """(root_id, node_id, depth, path, path_names, truncated): each entitlement and all it implies, once per root.
 
+    ``roots`` (root_id) confines the walk to those that start there.
+
     With ``max_depth`` None the walk goes on until nothing new is found. ``truncated`` marks the rows at the bound from
     which the walk would have gone on.
 
@@ -27,6 +32,8 @@ def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int | None =
     start = nodes.select(
         F.col("entitlement_id").alias("root_id"), F.col("entitlement_id").alias("node_id"), F.lit(0).alias("depth"),
         F.array("entitlement_id").alias("path"), F.array("name").alias("path_names"))
+    if roots is not None:
+        start = start.join(roots.select("root_id"), "root_id", "left_semi")
     steps = edges.select("child_id", "parent_id").distinct().join(
         nodes.select(F.col("entitlement_id").alias("parent_id"), F.col("name").alias("parent_name")), "parent_id")
     steps = cut_lineage(steps)
@@ -58,16 +65,18 @@ def reachable(entitlements: DataFrame, edges: DataFrame, max_depth: int | None =
 
 def effective_access(
     accounts: DataFrame, grants: DataFrame, entitlements: DataFrame, edges: DataFrame, max_depth: int | None = MAX_DEPTH,
-    wanted: Column | None = None,
+    wanted: Column | None = None, closure: DataFrame | None = None,
 ) -> DataFrame:
     """Direct and inherited access of every owned account with the path that gives it.
 
     ``wanted``, a condition on entitlement columns, keeps what leads to such entitlements only, before grants are read.
+    A ``closure`` known already, of these edges, is not worked out again.
     """
     attributes = (entitlements if wanted is None else entitlements.filter(wanted)).select(
         F.col("entitlement_id").alias("node_id"), F.col("name").alias("entitlement_name"),
         F.col("type").alias("entitlement_type"), "privileged")
-    reach = reachable(entitlements, edges, max_depth).join(attributes, "node_id").withColumnRenamed("root_id", "entitlement_id")
+    closure = reachable(entitlements, edges, max_depth) if closure is None else closure
+    reach = closure.join(attributes, "node_id").withColumnRenamed("root_id", "entitlement_id")
     owned = accounts.filter(F.col("owner_id").isNotNull()).select(
         "account_id", F.col("owner_id").alias("identity_id"), "username", "application")
     held = grants.select("account_id", "entitlement_id").join(owned, "account_id")
@@ -77,6 +86,56 @@ def effective_access(
         F.when(F.col("depth") == 0, "direct").otherwise("inherited").alias("grant_type"), "depth", "path_names")
 
 
+@dataclass(frozen=True)
+class Changed:
+    """A closure and the access it gives after a change, and what was worked out anew: roots and accounts."""
+
+    closure: DataFrame
+    access: DataFrame
+    roots: DataFrame
+    accounts: DataFrame
+
+
+def _differing(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows that are in one of two tables only."""
+    sides = old.select(*keys).distinct().withColumn("_side", F.lit(1)).unionByName(new.select(*keys).distinct().withColumn("_side", F.lit(2)))
+    return sides.groupBy(*keys).agg(F.sum("_side").alias("_sides")).filter("_sides < 3").drop("_sides")
+
+
+def after_change(
+    closure: DataFrame, access: DataFrame, accounts: DataFrame, entitlements: DataFrame, old_grants: DataFrame,
+    new_grants: DataFrame, old_edges: DataFrame, new_edges: DataFrame, max_depth: int | None = MAX_DEPTH,
+) -> Changed:
+    """Closure and access after edges and grants changed, from those before.
+
+    An edge, added or removed, can only change what roots reach that reached its lower end before: the way of any other
+    root has no changed edge to begin with. Those roots and new entitlements are walked again; all other rows of the
+    closure stay as they are. Access is worked out again for these roots, and for accounts whose grants changed.
+    """
+    edge = ["child_id", "parent_id"]
+    known = entitlements.select("entitlement_id")
+
+    def live(edges: DataFrame) -> DataFrame:
+        return edges.select(*edge).join(known.withColumnRenamed("entitlement_id", "parent_id"), "parent_id", "left_semi")
+
+    moved = cut_lineage(_differing(old_edges, live(new_edges), edge))
+    touched = closure.join(moved.select(F.col("child_id").alias("node_id")).distinct(), "node_id", "left_semi").select("root_id")
+    fresh = known.select(F.col("entitlement_id").alias("root_id")).join(closure.filter("depth = 0").select("root_id"), "root_id", "left_anti")
+    roots = cut_lineage(touched.unionByName(fresh).distinct())
+    kept = closure.join(roots, "root_id", "left_anti").join(known.withColumnRenamed("entitlement_id", "root_id"), "root_id", "left_semi")
+    again = cut_lineage(reachable(entitlements, new_edges, max_depth, roots))
+    accounts_ = cut_lineage(_differing(old_grants, new_grants, ["account_id", "entitlement_id"]).select("account_id").distinct())
+    stays = access.join(accounts_, "account_id", "left_anti").join(roots.withColumnRenamed("root_id", "granted_id"), "granted_id", "left_anti").join(
+        known.withColumnRenamed("entitlement_id", "granted_id"), "granted_id", "left_semi")
+    after = kept.unionByName(again)
+    of_accounts = new_grants.join(accounts_, "account_id", "left_semi")
+    of_roots = new_grants.join(accounts_, "account_id", "left_anti").join(
+        roots.withColumnRenamed("root_id", "entitlement_id"), "entitlement_id", "left_semi")
+    redone = effective_access(accounts, of_accounts, entitlements, new_edges, closure=after).unionByName(
+        effective_access(accounts, of_roots, entitlements, new_edges, closure=again))
+    return Changed(after, stays.select(*access.columns).unionByName(redone), roots, accounts_)
+
+
 def path_text(path: Column) -> Column:
     return F.array_join(path, " -> ")
 
@@ -84,8 +143,39 @@ def path_text(path: Column) -> Column:
 DIRECT, NEAREST, FALLBACK = "direct_manager", "nearest_active_manager", "iam_fallback_queue"
 
 
-def route_reviewers(identities: DataFrame, max_managers: int = MAX_DEPTH) -> DataFrame:
-    """(identity_id, reviewer_id, reviewer_route): nearest active manager within ``max_managers`` hops.
+def _within(inactive: DataFrame, max_managers: int) -> DataFrame:
+    """(passed, reviewer, truncated) by a hop a round."""
+    found = [inactive.filter("found").select("passed", F.col("above").alias("reviewer"))]
+    walking = inactive.filter(~F.col("found")).select("passed", "above")
+    hop = inactive.select(F.col("passed").alias("above"), F.col("above").alias("next"), "found")
+    for _ in range(max_managers - 2):
+        moved = cut_lineage(walking.join(hop, "above").select("passed", F.col("next").alias("above"), "found"))
+        if moved.isEmpty():
+            return reduce(DataFrame.unionByName, found).withColumn("truncated", F.lit(False))
+        found.append(moved.filter("found").select("passed", F.col("above").alias("reviewer")))
+        walking = moved.filter(~F.col("found")).select("passed", "above")
+    ended = walking.join(hop.select("above"), "above", "left_semi").select("passed").distinct().withColumn("truncated", F.lit(True))
+    return reduce(DataFrame.unionByName, found).withColumn("truncated", F.lit(False)).unionByName(ended, allowMissingColumns=True)
+
+
+def _highest(inactive: DataFrame) -> DataFrame:
+    """(passed, reviewer, truncated) without a bound: each round doubles the hops behind every row, so after as many rounds
+    as the number of people has bits only rings are left."""
+    state = inactive
+    for _ in range(inactive.count().bit_length() + 1):
+        onward = state.filter(~F.col("found")).join(state.toDF("above", "next", "next_found"), "above").select(
+            "passed", F.col("next").alias("above"), F.col("next_found").alias("found"))
+        if onward.isEmpty():
+            break
+        state = cut_lineage(state.filter("found").unionByName(onward))
+    return state.filter("found").select("passed", F.col("above").alias("reviewer"), F.lit(False).alias("truncated"))
+
+
+def route_reviewers(identities: DataFrame, max_managers: int | None = MAX_DEPTH) -> DataFrame:
+    """(identity_id, reviewer_id, reviewer_route, truncated): nearest active manager within ``max_managers`` hops.
+
+    With None the walk goes on to the top; a ring of inactive managers leads nowhere. ``truncated`` marks people whose walk
+    the bound ended while managers were left above.
 
     Only people without an active manager above them need a walk, so the loop runs over inactive
     people and everyone else is one lookup.
@@ -98,20 +188,11 @@ def route_reviewers(identities: DataFrame, max_managers: int = MAX_DEPTH) -> Dat
     inactive = cut_lineage(linked.filter((F.col("lifecycle_status") != "active") & F.col("_known")).select(
         F.col("identity_id").alias("passed"), F.col("manager_id").alias("above"), F.col("_manager_active").alias("found")))
 
-    found = [inactive.filter("found").select("passed", F.col("above").alias("reviewer"))]
-    walking = inactive.filter(~F.col("found")).select("passed", "above")
-    hop = inactive.select(F.col("passed").alias("above"), F.col("above").alias("next"), "found")
-    for _ in range(max_managers - 2):
-        moved = cut_lineage(walking.join(hop, "above").select("passed", F.col("next").alias("above"), "found"))
-        if moved.isEmpty():
-            break
-        found.append(moved.filter("found").select("passed", F.col("above").alias("reviewer")))
-        walking = moved.filter(~F.col("found")).select("passed", "above")
-    beyond = reduce(DataFrame.unionByName, found)
-
+    beyond = _highest(inactive) if max_managers is None else _within(inactive, max_managers)
     through = F.when(F.col("_known") & ~F.col("_manager_active"), F.col("manager_id"))
     routed = lookup(linked.withColumn("_through", through), "_through", beyond, "passed", ["identity_id"])
     direct = F.coalesce(F.col("_manager_active"), F.lit(False))
     return routed.select(
         "identity_id", F.when(direct, F.col("manager_id")).otherwise(F.col("reviewer")).alias("reviewer_id"),
-        F.when(direct, DIRECT).when(F.col("reviewer").isNotNull(), NEAREST).otherwise(FALLBACK).alias("reviewer_route"))
+        F.when(direct, DIRECT).when(F.col("reviewer").isNotNull(), NEAREST).otherwise(FALLBACK).alias("reviewer_route"),
+        (~direct & F.coalesce("truncated", F.lit(False))).alias("truncated"))

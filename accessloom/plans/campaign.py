@@ -45,7 +45,7 @@ def review_items(accounts: DataFrame, grants: DataFrame, identities: DataFrame,
     scoped = accounts.filter((F.col("application") == application) & F.col("owner_id").isNotNull()).select(
         "account_id", F.col("owner_id").alias("identity_id"))
     items = grants.select("account_id", "entitlement_id").join(scoped, "account_id").distinct()
-    return cut_lineage(items.join(route_reviewers(identities), "identity_id"))
+    return cut_lineage(items.join(route_reviewers(identities).drop("truncated"), "identity_id"))
 
 
 @dataclass(frozen=True)
@@ -98,6 +98,16 @@ def progress(items: DataFrame) -> DataFrame:
         *[F.count_if(F.col("decision") == d).alias(f"{d}_count") for d in ("approve", "revoke", "delegate")])
 
 
+def evidence_head(pack: DataFrame, n: int = 30) -> DataFrame:
+    """The first ``n`` rows of a pack by identity and entitlement, each with the number of all rows.
+
+    The rows are those of a top-n that every task cuts to ``n``; the pack is stored, so its count is a second read only.
+    """
+    stored = cut_lineage(pack)
+    first = ("identity", "entitlement", "account_id", "entitlement_id")
+    return stored.orderBy(*[F.asc_nulls_first(c) for c in first]).limit(n).withColumn("total", F.lit(stored.count()))
+
+
 def evidence_pack(items: DataFrame, identities: DataFrame, entitlements: DataFrame, tasks: DataFrame) -> DataFrame:
     """Who reviewed what, the decision and what came of it, one row per item."""
     people = identities.select(F.col("identity_id"), F.col("name").alias("identity"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -9,10 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from accessloom.functions import text
 from accessloom.operators import correlate as corr
-from accessloom.operators import fuzzy, graph, mentions, merge, quality, sheets
+from accessloom.operators import buckets, fuzzy, graph, keys, mentions, merge, quality, sheets
 from accessloom.plans import campaign, evaluate, findings, ingest, lifecycle, roster, snapshot, triage
-from accessloom.session import cut_lineage, prepare
-from accessloom.sources import fixtures as fx
+from accessloom.session import cut_lineage, prepare, shared_folder
+from accessloom.sources import files, fixtures as fx
 from accessloom.sources.fixtures import Fixtures
 
 
@@ -246,6 +247,32 @@ def account_snapshot(f: Fixtures) -> DataFrame:
     return merge.upsert(latest, new, ["native_id"], [F.col("source_line")])
 
 
+def account_snapshot_bucketed(f: Fixtures) -> DataFrame:
+    """The accounts of ``account_snapshot``, kept in buckets of which the second load rewrites those it touches."""
+    old = f.crm_raw().select(text.email_local(F.col("email")).alias("native_id"), F.col("profile").alias("origin"), "source_line")
+    new = f.directory_raw().select(F.lower("samAccountName").alias("native_id"), F.col("description").alias("origin"), "source_line")
+    table = buckets.BucketedSnapshot(f.spark, f"{shared_folder(f.spark).rstrip('/')}/accounts-{uuid.uuid4().hex}", ("native_id",), 32)
+    table.create(old, [F.col("source_line")])
+    table.upsert(new, [F.col("source_line")])
+    return table.read().select("native_id", "origin", "source_line")
+
+
+def application_keys(f: Fixtures) -> DataFrame:
+    """Ids of brands as applications after a load of some parts and one of all: those known keep theirs."""
+    def load(parts: DataFrame) -> DataFrame:
+        return parts.select(F.col("p_brand").alias("application"), F.lit("parts").alias("source_system"))
+
+    part = f.table("part")
+    first = cut_lineage(keys.get_or_create(None, load(part.filter(F.substring("p_brand", 7, 1) < "4")), ("application",), "application_id"))
+    second = cut_lineage(keys.get_or_create(first, load(part), ("application",), "application_id"))
+    before = first.select("application", F.col("application_id").alias("before"))
+    total = second.agg(F.countDistinct("application_id"), F.max("application_id")).first()
+    return second.join(before, "application", "left").select(
+        "application", F.col("before").isNotNull().cast("int").alias("known"),
+        F.coalesce(F.col("before") == F.col("application_id"), F.lit(True)).cast("int").alias("same_id"),
+        F.lit(int(total[0] == total[1])).alias("gapless"))
+
+
 # ---- graph --------------------------------------------------------------------------------
 
 
@@ -265,6 +292,16 @@ def effective_access(f: Fixtures) -> DataFrame:
         graph.path_text(F.col("path_names")).alias("path"))
 
 
+def access_after_change(f: Fixtures) -> DataFrame:
+    """Effective access after edges and grants changed, from the closure and access before the change."""
+    closure = cut_lineage(graph.reachable(f.entitlements(), f.edges()))
+    access = cut_lineage(graph.effective_access(f.accounts(), f.grants(), f.entitlements(), f.edges(), closure=closure))
+    after = graph.after_change(
+        closure, access, f.accounts(), f.entitlements(), f.grants(), f.changed_grants(), f.edges(), f.changed_edges())
+    return after.access.select(
+        "identity_id", "account_id", "granted_id", "entitlement_id", "grant_type", "depth", graph.path_text(F.col("path_names")).alias("path"))
+
+
 def why_entitlement(f: Fixtures) -> DataFrame:
     return triage.why(f.accounts(), f.grants(), f.entitlements(), f.edges(), "promo")
 
@@ -490,6 +527,11 @@ def evidence_pack(f: Fixtures) -> DataFrame:
     return campaign.evidence_pack(decided.items, f.identities(), f.entitlements(), tasks)
 
 
+def evidence_head(f: Fixtures) -> DataFrame:
+    """The first 30 rows of the evidence pack and the number of all."""
+    return campaign.evidence_head(evidence_pack(f))
+
+
 def execute_revocations(f: Fixtures) -> DataFrame:
     _, remaining = campaign.execute_revocations(_decided(f).revocations, f.grants(), _as_of())
     return remaining
@@ -511,6 +553,19 @@ def run_diff(f: Fixtures) -> DataFrame:
     return triage.diff_runs(metrics, pairs)
 
 
+def metric_listing(f: Fixtures) -> DataFrame:
+    return quality.ordered_metrics(quality.reconcile(f.run_records(), ["run_id"]), ["run_id"])
+
+
+def run_metrics(f: Fixtures) -> DataFrame:
+    """The directory load as a run: its metrics, counted while its rows were stored, and what its run row says."""
+    feed = f.directory_raw()
+    run = files.start_run(feed, "directory", "directory-1", F.lit(fx.AS_OF).cast("timestamp"))
+    done = quality.store_run(_directory(f).records, run, ingest.DIRECTORY_OUTCOMES, _as_of())
+    closed = done.run.first()
+    return done.metrics.withColumns({c: F.lit(closed[c]) for c in ("rows_in", "rows_normalized", "rows_quarantined", "status")})
+
+
 def run_reconcile(f: Fixtures) -> DataFrame:
     return quality.run_totals(f.run_records(), ["run_id"]).withColumn("invariant_ok", F.col("invariant_ok").cast("int"))
 
@@ -602,7 +657,7 @@ QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
         workflow_dedup, campaign_items, campaign_launch_gate, campaign_rejected, campaign_progress, evidence_pack,
         execute_revocations, campaign_why_not, run_diff, run_reconcile, source_health, overall_health, exec_value,
         correlation_eval, iam_eval, multi_account_people, reconcile_all, quarantine_open, quarantine_counts,
-        workflow_recent)},
+        workflow_recent, account_snapshot_bucketed, application_keys, access_after_change, evidence_head, metric_listing, run_metrics)},
 }
 
 

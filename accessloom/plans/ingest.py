@@ -29,6 +29,12 @@ GROUP_NESTING = (("Plant-Ops-Leads", "Manufacturing-All"), ("Manufacturing-All",
 SERVICE_PREFIXES = ("svc-", "plant-shared-")
 SERVICE_KEYWORDS = ("service", "ci", "automation", "integration")
 
+# What may become of a directory row.
+DIRECTORY_OUTCOMES = (
+    ("normalized", "OK"), ("normalized", "AUTO_MATCHED"), ("normalized", "OK_SAM_MATCH"), ("normalized", "CONTRACTOR_CLASSIFIED"),
+    ("normalized", "SERVICE_ACCOUNT_OWNER_RESOLVED"), ("quarantined", "CORRELATION_AMBIGUOUS"), ("quarantined", "UNOWNED_SERVICE_ACCOUNT"),
+    ("quarantined", "ORPHANED_DIRECTORY_ACCOUNT"))
+
 
 @dataclass(frozen=True)
 class Ingest:

@@ -68,13 +68,26 @@ def birthright(
     return rated.filter(F.col("prevalence") >= prevalence).select("identity_id", "entitlement_id", "prevalence")
 
 
-def mover_delta(identities: DataFrame, accounts: DataFrame, grants: DataFrame, **options) -> DataFrame:
+def held_links(accounts: DataFrame, grants: DataFrame) -> DataFrame:
+    """(identity_id, entitlement_id, account_id): every link through which a person holds an entitlement."""
+    owned = accounts.filter(F.col("owner_id").isNotNull()).select("account_id", F.col("owner_id").alias("identity_id"))
+    return grants.select("account_id", "entitlement_id").join(owned, "account_id").select(
+        "identity_id", "entitlement_id", "account_id").distinct()
+
+
+def mover_delta(
+    identities: DataFrame, accounts: DataFrame, grants: DataFrame, every_link: bool = True, **options
+) -> DataFrame:
     """Entitlements to grant, revoke or keep per person; grants go to the smallest account.
 
-    A person without an account gets no grant and is reported as such.
+    What a person holds through several accounts is a row for each, so that no link stays behind when it is revoked;
+    without ``every_link`` only that of the smallest account is. A person without an account gets no grant and is
+    reported as such.
     """
-    held = cut_lineage(held_entitlements(accounts, grants))
-    target = birthright(identities, held, **options)
+    held = cut_lineage(held_links(accounts, grants))
+    pairs = held.groupBy("identity_id", "entitlement_id").agg(F.min("account_id").alias("account_id"))
+    target = birthright(identities, cut_lineage(pairs), **options)
+    held = held if every_link else pairs
     homes = accounts.filter(F.col("owner_id").isNotNull()).groupBy(F.col("owner_id").alias("identity_id")).agg(
         F.min("account_id").alias("home_account"))
     both = held.join(target, ["identity_id", "entitlement_id"], "full_outer").join(homes, "identity_id", "left")
@@ -105,7 +118,7 @@ def joiner_plan(
     people = identities.select("identity_id", "title", "department")
     requests = target.join(entitlements.select("entitlement_id", "application"), "entitlement_id").join(people, "identity_id")
     rationale = F.concat(
-        F.lit("Held by "), percent(F.col("prevalence")), F.lit(" of peers in "), "title", F.lit("/"), "department")
+        percent(F.col("prevalence")), F.lit(" of active people who are "), "title", F.lit(" in "), "department", F.lit(" have it"))
     requests = requests.select("identity_id", "entitlement_id", "application", "prevalence", rationale.alias("rationale"))
     if mode == "dry_run":
         return requests.select(
@@ -330,8 +343,8 @@ def run_leavers(
     disable_events = executed.filter("fresh").select(
         F.lit("system:leaver_workflow").alias("actor"), F.lit("disable_account").alias("action"),
         F.lit("account").alias("object_type"), F.col("account_id").cast("string").alias("object_id"),
-        F.concat(F.lit("Leaver workflow for "), "name", F.lit(" (terminated "),
-                 F.coalesce(F.col("termination_date").cast("string"), F.lit("unknown")), F.lit(")")).alias("reason"),
+        F.concat(F.lit("account of "), "name", F.lit(", who left on "),
+                 F.coalesce(F.col("termination_date").cast("string"), F.lit("a date not given"))).alias("reason"),
         F.concat(F.lit("enabled="), F.col("enabled").cast("string")).alias("before_state"),
         F.lit("enabled=false").alias("after_state"), F.col("idempotency_key").alias("correlation_id"))
     flag_events = joined.filter((F.col("service_accounts") > 0) & (F.col("mode") == "execute")).select(

@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from accessloom.operators import merge
+from accessloom.operators import keys, merge
 from accessloom.plans.ingest import Ingest
 
+#: How critical an application is until someone says otherwise.
+STANDARD = "standard"
 QUARANTINE_KEYS = ("feed", "source_file", "source_sheet", "source_line", "reason_code")
 
 
@@ -21,6 +23,7 @@ class State:
     identities: DataFrame | None = None
     aliases: DataFrame | None = None
     quarantine: DataFrame | None = None
+    applications: DataFrame | None = None
 
 
 def quarantine_rows(records: DataFrame, feed: str) -> DataFrame:
@@ -50,10 +53,12 @@ def next_state(state: State | None, loaded: Ingest, feed: str) -> State:
     """Load a feed over a state. Loading the same feed again changes nothing.
 
     The last load of an account counts; entitlements, grants, edges, people and aliases keep their first row; an open
-    case takes the new explanation and a resolved one stays resolved.
+    case takes the new explanation and a resolved one stays resolved. An application gets its id when it is first seen.
     """
     old = state or State(loaded.accounts.limit(0))
     fresh = quarantine_rows(loaded.records, feed)
+    applications = loaded.accounts.select("application").distinct().select(
+        "application", F.lit(feed).alias("source_system"), F.lit(STANDARD).alias("criticality"))
     return State(
         merge.upsert(old.accounts, loaded.accounts, ["application", "native_id"], [F.col("source_line")]),
         _added(old.entitlements, loaded.entitlements, ("application", "native_id")),
@@ -61,7 +66,8 @@ def next_state(state: State | None, loaded: Ingest, feed: str) -> State:
         _added(old.edges, loaded.edges, ("application", "parent_native_id", "child_native_id", "relationship")),
         _added(old.identities, loaded.identities, ("identity_id",)),
         _added(old.aliases, loaded.aliases, ("identity_id", "alias_type", "value")),
-        merge.merge_quarantine(old.quarantine if old.quarantine is not None else fresh.limit(0), fresh, QUARANTINE_KEYS))
+        merge.merge_quarantine(old.quarantine if old.quarantine is not None else fresh.limit(0), fresh, QUARANTINE_KEYS),
+        keys.get_or_create(old.applications, applications, ("application",), "application_id"))
 
 
 def merge_people(existing: DataFrame, incoming: DataFrame, kept: tuple[str, ...] = ("manager_id",)) -> DataFrame:

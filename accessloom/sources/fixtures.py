@@ -176,6 +176,24 @@ class Fixtures:
             F.lit("nested_group").alias("relationship"))
         return to_type.unionByName(chain).unionByName(ring)
 
+    def changed_edges(self) -> DataFrame:
+        """The edges after some types were taken from parts and given to others."""
+        part, p = self.table("part"), F.col("p_partkey")
+        gone = part.filter(p % 35 == 0).select(
+            F.concat(F.lit("part:"), p.cast("string")).alias("child_id"), F.concat(F.lit("type:"), "p_type").alias("parent_id"))
+        more = part.filter(p % 31 == 3).select(
+            F.concat(F.lit("part:"), p.cast("string")).alias("child_id"), F.concat(F.lit("type:"), "p_type").alias("parent_id"))
+        return self.edges().select("child_id", "parent_id").join(gone, ["child_id", "parent_id"], "left_anti").unionByName(more)
+
+    def changed_grants(self) -> DataFrame:
+        """The grants after some accounts lost their parts and others got a type."""
+        a = F.col("account_id")
+        lost = (a % 97 == 5) & F.startswith("entitlement_id", F.lit("part:"))
+        types = self.table("orders").filter(F.col("o_orderkey") % 89 == 1).select(
+            F.col("o_orderkey").alias("account_id"), F.concat(F.lit("type:"), F.element_at(
+                F.array(*[F.lit(t) for t in PART_TYPES]), (F.col("o_orderkey") % len(PART_TYPES) + 1).cast("int"))).alias("entitlement_id"))
+        return self.grants().filter(~lost).unionByName(types).distinct()
+
     def sod_pairs(self) -> DataFrame:
         return _values(self.spark, SOD_PAIRS, "rule, left_pattern, right_pattern")
 

@@ -440,8 +440,8 @@ _KEPT = dict.fromkeys(
      "cohort_held", "sod_side", "outlier", "valid_disposition", "raw_finding"), "MATERIALIZED ")
 
 
-def _statement(final: str, *needed: str, feed: str | None = None) -> str:
-    ctes = {**CTES, **_scored("cloud_raw", "_cloud"), **_scored("crm_raw", "_crm"), **(_scored(feed) if feed else {})}
+def _statement(final: str, *needed: str, feed: str | None = None, instead: dict | None = None) -> str:
+    ctes = {**CTES, **_scored("cloud_raw", "_cloud"), **_scored("crm_raw", "_crm"), **(_scored(feed) if feed else {}), **(instead or {})}
     order: list[str] = []
 
     def add(name: str) -> None:
@@ -576,7 +576,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN h.account_id IS NOT NULL THEN 'existing' WHEN f THEN 'failed' ELSE 'provision' END AS account_step,
         CASE WHEN h.account_id IS NULL AND f THEN 'deferred' WHEN l.account_id IS NOT NULL THEN 'already_held' ELSE 'grant' END AS grant_step,
         h.account_id::VARCHAR AS account_id,
-        'Held by '||round_even(prevalence*100,0)::INT||'% of peers in '||title||'/'||department AS rationale
+        round_even(prevalence*100,0)::INT||'% of active people who are '||title||' in '||department||' have it' AS rationale
       FROM (SELECT *, identity_id%11=0 AS flaky FROM right_) r JOIN entitlement e USING (entitlement_id) JOIN identity i USING (identity_id)
       LEFT JOIN (SELECT owner_id, application, min(account_id) AS account_id FROM account WHERE owner_id IS NOT NULL GROUP BY ALL) h
         ON h.owner_id=r.identity_id AND h.application=e.application
@@ -586,9 +586,10 @@ ORACLES: dict[str, str] = {
     "mover_delta": _statement("""SELECT coalesce(h.identity_id, r.identity_id) AS identity_id, coalesce(h.entitlement_id, r.entitlement_id) AS entitlement_id,
         CASE WHEN r.identity_id IS NULL THEN 'revoke' WHEN h.identity_id IS NOT NULL THEN 'keep' WHEN home.a IS NULL THEN 'grant_without_account'
           ELSE 'grant' END AS action, coalesce(h.account_id, home.a)::VARCHAR AS account_id
-      FROM held h FULL JOIN right_ r ON r.identity_id=h.identity_id AND r.entitlement_id=h.entitlement_id
+      FROM (SELECT DISTINCT owner_id AS identity_id, entitlement_id, account_id FROM links JOIN account USING (account_id) WHERE owner_id IS NOT NULL) h
+      FULL JOIN right_ r ON r.identity_id=h.identity_id AND r.entitlement_id=h.entitlement_id
       LEFT JOIN (SELECT owner_id, min(account_id) AS a FROM account GROUP BY owner_id) home ON home.owner_id=coalesce(h.identity_id, r.identity_id)""",
-                              "held", "right_", "account"),
+                              "links", "right_", "account"),
     "leaver_plan": _statement("""SELECT 'leaver:'||i.identity_id||':hr-'||i.identity_id AS idempotency_key, i.identity_id, 'execute' AS mode,
         i.lifecycle_status, count(s.account_id) AS account_count, count_if(coalesce(s.ok,false))::BIGINT AS disabled, count_if(coalesce(NOT s.ok,false))::BIGINT AS failed,
         coalesce(sum(CASE WHEN s.ok OR NOT s.enabled THEN l.n END),0)::BIGINT AS entitlements_revoked,
@@ -708,7 +709,7 @@ ORACLES |= {
     "ingest_twice": f"""SELECT part, n AS first_load, n AS second_load FROM (
         SELECT 'accounts' AS part, count(*) AS n FROM ({ORACLES['directory_accounts']})
         UNION ALL SELECT 'entitlements', count(*) FROM ({_GROUPS}) UNION ALL SELECT 'grants', count(*) FROM ({ORACLES['directory_grants']})
-        UNION ALL SELECT 'edges', 2
+        UNION ALL SELECT 'edges', 2 UNION ALL SELECT 'applications', 1
         UNION ALL SELECT unnest(['identities', 'aliases']), count(DISTINCT lower(native_id)) FROM ({ORACLES['directory_classify']})
           WHERE reason_code='CONTRACTOR_CLASSIFIED'
         UNION ALL SELECT 'quarantine', count(*) FROM ({ORACLES['directory_classify']}) WHERE stage='quarantined')""",
@@ -737,3 +738,26 @@ ORACLES |= {
       UNION ALL SELECT 'second reviewer', 'review_decision:revoke', account_id||'/'||entitlement_id, 'second look', '2002-01-01' FROM decided
         WHERE decision='approve' AND account_id%2=0""", "decided"),
 }
+
+_CHANGED = {
+    "edge": (f"""SELECT child_id, parent_id FROM ({CTES['edge'][0]}) e WHERE NOT EXISTS (SELECT 1 FROM part p
+          WHERE p_partkey%35=0 AND e.child_id='part:'||p_partkey AND e.parent_id='type:'||p_type)
+        UNION SELECT 'part:'||p_partkey, 'type:'||p_type FROM part WHERE p_partkey%31=3""", ()),
+    "links": (f"""SELECT account_id, entitlement_id FROM ({CTES['links'][0]}) WHERE NOT (account_id%97=5 AND starts_with(entitlement_id, 'part:'))
+        UNION SELECT o_orderkey, 'type:'||({TYPES})[o_orderkey%6+1] FROM orders WHERE o_orderkey%89=1""", CTES["links"][1]),
+}
+
+ORACLES |= {
+    "account_snapshot_bucketed": ORACLES["account_snapshot"],
+    "application_keys": """SELECT p_brand AS application, (substr(p_brand,7,1)<'4')::INT AS known, 1 AS same_id, 1 AS gapless
+      FROM part GROUP BY p_brand""",
+    "access_after_change": _statement("SELECT identity_id, account_id, granted_id, entitlement_id, grant_type, depth, path FROM access", "access", instead=_CHANGED),
+    "evidence_head": f"""SELECT *, count(*) OVER () AS total FROM ({ORACLES['evidence_pack']})
+      ORDER BY identity NULLS FIRST, entitlement NULLS FIRST, account_id, entitlement_id LIMIT 30""",
+    "metric_listing": _statement("""SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY stage, row_count DESC, reason_code)::INT AS position
+      FROM (SELECT run_id, stage, reason_code, count(*) AS row_count FROM run_record GROUP BY ALL)""", "run_record"),
+    "run_metrics": f"""SELECT 'directory-1' AS run_id, stage, reason_code, count(*) AS row_count, sum(count(*)) OVER ()::BIGINT AS rows_in,
+        sum(count(*)) FILTER (stage='normalized') OVER ()::BIGINT AS rows_normalized,
+        sum(count(*)) FILTER (stage='quarantined') OVER ()::BIGINT AS rows_quarantined, 'succeeded' AS status
+      FROM ({ORACLES['directory_classify']}) GROUP BY stage, reason_code""",
+}
