@@ -595,6 +595,33 @@ def correlation_eval(f: Fixtures) -> DataFrame:
         "label", "tp", "fp", "fn", _ratio("precision"), _ratio("recall"))
 
 
+def label_eval(f: Fixtures) -> DataFrame:
+    """Every kind of known answer against what the loads found, all kinds at once."""
+    records = cut_lineage(_roster_records(f))
+    people = ingest.Directory(roster.identities(records), roster.aliases(records), corr.CorrelationPolicy(fx.CORPORATE_DOMAINS))
+    cloud = ingest.ingest_cloud_directory(f.cloud_raw(), people)
+    directory = ingest.ingest_directory(f.directory_raw(), people)
+    crm = ingest.ingest_crm(f.crm_raw(), people, fx.CORPORATE_DOMAIN).records
+    sheet = ingest.ingest_spreadsheet(f.cells_raw(), people, fx.CONTEXT_DEPARTMENT).records
+    without_id = f.cloud_raw().filter("employeeId IS NULL").select("source_line")
+    owned = F.col("ownership_status").isin("service_owned", "service_owned_by_terminated")
+
+    def found(df: DataFrame, condition: Column, label_set: str, entity: Column) -> DataFrame:
+        return df.filter(condition).select(F.lit(label_set).alias("label_set"), entity.cast("string").alias("entity"))
+
+    line, reason = F.col("source_line"), F.col("reason_code")
+    predicted = [
+        found(records, F.startswith(reason, F.lit("EMPLOYEE_ID_COLLISION")), "employee_id_collision", line),
+        found(cloud.records.join(without_id, "source_line", "left_semi"), F.col("decision") == "auto_match", "null_employee_id", line),
+        found(sheet, reason == "STALE_WORKSHEET_EXCLUDED", "stale_sheet", F.concat_ws(":", "sheet", line.cast("string"))),
+        found(crm, reason == "CORRELATION_LEGACY_DOMAIN", "legacy_domain", line),
+        found(directory.records, F.col("ownership_status") == "contractor", "contractor", line),
+        found(directory.records, (F.col("account_type") == "service") & owned, "service_owner", line),
+        found(evaluate.multi_account_people(cloud.accounts.unionByName(directory.accounts)), F.lit(True), "dual_account", F.col("owner_identity_id"))]
+    return evaluate.judge(reduce(DataFrame.unionByName, predicted), f.known_answers()).select(
+        "label_set", "tp", "fp", "fn", _ratio("precision"), _ratio("recall"))
+
+
 def iam_eval(f: Fixtures) -> DataFrame:
     users = f.iam_users_raw()
     records = ingest.ingest_cloud_iam(users, f.iam_roles_raw(), _people(f)).records
@@ -657,7 +684,7 @@ QUERIES: dict[str, Callable[[Fixtures], DataFrame]] = {
         workflow_dedup, campaign_items, campaign_launch_gate, campaign_rejected, campaign_progress, evidence_pack,
         execute_revocations, campaign_why_not, run_diff, run_reconcile, source_health, overall_health, exec_value,
         correlation_eval, iam_eval, multi_account_people, reconcile_all, quarantine_open, quarantine_counts,
-        workflow_recent, account_snapshot_bucketed, application_keys, access_after_change, evidence_head, metric_listing, run_metrics)},
+        workflow_recent, account_snapshot_bucketed, application_keys, access_after_change, evidence_head, metric_listing, run_metrics, label_eval)},
 }
 
 

@@ -23,6 +23,25 @@ def classification_quality(records: DataFrame, labels: DataFrame) -> DataFrame:
     return precision_recall(rows, F.col("kind"), F.col("expected"), F.col("predicted"))
 
 
+def judge(predicted: DataFrame, labels: DataFrame) -> DataFrame:
+    """(label_set, tp, fp, fn, precision, recall) of each label set and, as ``all``, of all together.
+
+    Both sides are (label_set, entity); they meet in one grouping by both, and all sets are counted in one pass over it.
+    An entity that is given twice counts once; an empty denominator gives null.
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("label_set", F.col("entity").cast("string").alias("entity"), F.lit(name).alias("side"))
+
+    met = side(predicted, "p").unionByName(side(labels, "e")).filter("label_set IS NOT NULL").groupBy("label_set", "entity").agg(
+        F.max(F.col("side") == "p").alias("p"), F.max(F.col("side") == "e").alias("e"))
+    counted = met.rollup("label_set").agg(
+        F.count_if(F.expr("p AND e")).alias("tp"), F.count_if(F.expr("p AND NOT e")).alias("fp"), F.count_if(F.expr("e AND NOT p")).alias("fn"))
+    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
+    return counted.select(
+        F.coalesce("label_set", F.lit("all")).alias("label_set"), "tp", "fp", "fn",
+        F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall"))
+
+
 def no_human_quality(records: DataFrame, expected: DataFrame) -> DataFrame:
     """Precision and recall of "no person behind this user"; ``expected`` is (username)."""
     flagged = expected.select("username").distinct().withColumn("_expected", F.lit(True))

@@ -142,6 +142,32 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(CELL_SCHEMA).parquet(path)
 
 
+def read_labels(spark: SparkSession, path: str) -> DataFrame:
+    """A document of known answers as one long table: source_file, system, label_set, entity, detail.
+
+    The document names systems, each its label sets: a list of entities (text, or objects, which are kept as their JSON), an
+    object of entities with a detail each, or a note, which is a detail without an entity. Whatever sets there are is
+    read; no schema is asked for.
+    """
+    documents = spark.read.option("wholetext", True).text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.parse_json("value").alias("document"))
+
+    def opened(df: DataFrame, column: str, key: str, value: str) -> DataFrame:
+        entries = df.lateralJoin(spark.tvf.variant_explode_outer(F.col(column).outer()))
+        return entries.select(*df.columns, F.col("key").alias(key), F.col("value").alias(value))
+
+    def shown(value: str) -> Column:
+        return F.coalesce(F.try_variant_get(value, "$", "string"), F.to_json(F.col(value)))
+
+    sets = opened(opened(documents, "document", "system", "sets").drop("document"), "sets", "label_set", "entities").drop("sets")
+    nested = F.schema_of_variant("entities").rlike("^(ARRAY|OBJECT)<")
+    notes = sets.filter(~nested).withColumns({"entity": F.lit(None).cast("string"), "detail": shown("entities")})
+    listed = opened(sets.filter(nested), "entities", "member", "found").filter("found IS NOT NULL").withColumns({
+        "entity": F.coalesce("member", shown("found")), "detail": F.when(F.col("member").isNotNull(), shown("found"))})
+    columns = ["source_file", "system", "label_set", "entity", "detail"]
+    return listed.select(*columns).unionByName(notes.select(*columns)).filter("label_set IS NOT NULL")
+
+
 def source_records(feed: DataFrame, source_system: str, columns: Sequence[str], run_id: str, sheet: str | None = None) -> DataFrame:
     """Provenance rows of a feed: verbatim payload and its hash under the record key."""
     return feed.select(

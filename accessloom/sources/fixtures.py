@@ -6,6 +6,8 @@ Every projection is a per-row formula (or one join) over whole tables, so feeds
 from __future__ import annotations
 
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from accessloom.functions.dates import FILETIME_UNIX_EPOCH
@@ -418,6 +420,24 @@ class Fixtures:
         notes = cells(self.table("region"), "Notes", F.col("r_regionkey") + 2, [F.col("r_name"), F.lit("2002-06-01")])
         return headers.unionByName(current).unionByName(stale).unionByName(notes)
 
+    def known_answers(self) -> DataFrame:
+        """(label_set, entity): what the raw feeds were made to hold."""
+        k, o = F.col("c_custkey"), F.col("o_orderkey")
+        customers, orders = self.table("customer"), self.table("orders")
+        contractor, person = o % 19 == 0, (o % 19 != 0) & ~(o % 17).isin(0, 1, 2)
+
+        def labels(df: DataFrame, condition: Column, label_set: str, entity: Column) -> DataFrame:
+            return df.filter(condition).select(F.lit(label_set).alias("label_set"), entity.cast("string").alias("entity"))
+
+        parts = [
+            labels(customers, (k % 97).isin(95, 96), "employee_id_collision", k + 2),
+            labels(customers, (k % 7 == 3) | (k % 61 == 60), "null_employee_id", k + 2),
+            labels(customers, F.lit(True), "stale_sheet", F.concat(F.lit("Old extract:"), (k + 2).cast("string"))),
+            labels(orders, o % 16 == 0, "legacy_domain", o + 2), labels(orders, contractor, "contractor", o + 2),
+            labels(orders, ~contractor & (o % 17 == 2), "service_owner", o + 2),
+            labels(orders, person, "dual_account", _employee_id(F.col("o_custkey") + 1)).distinct()]
+        return reduce(DataFrame.unionByName, parts)
+
     def runs(self) -> DataFrame:
         """One ingestion run per source and day, from the event stream."""
         day = F.date_trunc("DAY", F.col("ts").cast("timestamp"))

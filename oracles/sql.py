@@ -761,3 +761,27 @@ ORACLES |= {
         sum(count(*)) FILTER (stage='quarantined') OVER ()::BIGINT AS rows_quarantined, 'succeeded' AS status
       FROM ({ORACLES['directory_classify']}) GROUP BY stage, reason_code""",
 }
+
+ORACLES["label_eval"] = f"""WITH predicted AS (
+        SELECT 'employee_id_collision' AS label_set, source_line::VARCHAR AS entity FROM ({ORACLES['standardise_roster']}) WHERE reason_code LIKE 'EMPLOYEE_ID_COLLISION%'
+        UNION SELECT 'null_employee_id', source_line::VARCHAR FROM ({ORACLES['correlate_accounts']})
+          WHERE decision='auto_match' AND ((source_line-2)%7=3 OR (source_line-2)%61=60)
+        UNION SELECT 'stale_sheet', sheet||':'||source_line FROM ({ORACLES['sheet_name_match']}) WHERE reason_code='STALE_WORKSHEET_EXCLUDED'
+        UNION SELECT 'legacy_domain', source_line::VARCHAR FROM ({ORACLES['crm_accounts']}) WHERE reason_code='CORRELATION_LEGACY_DOMAIN'
+        UNION SELECT 'contractor', source_line::VARCHAR FROM ({ORACLES['directory_classify']}) WHERE ownership_status='contractor'
+        UNION SELECT 'service_owner', source_line::VARCHAR FROM ({ORACLES['directory_classify']})
+          WHERE account_type='service' AND ownership_status IN ('service_owned','service_owned_by_terminated')
+        UNION SELECT 'dual_account', owner_identity_id FROM ({ORACLES['multi_account_people']})),
+      expected AS (
+        SELECT 'employee_id_collision' AS label_set, (c_custkey+2)::VARCHAR AS entity FROM customer WHERE c_custkey%97 IN (95, 96)
+        UNION SELECT 'null_employee_id', (c_custkey+2)::VARCHAR FROM customer WHERE c_custkey%7=3 OR c_custkey%61=60
+        UNION SELECT 'stale_sheet', 'Old extract:'||(c_custkey+2) FROM customer
+        UNION SELECT 'legacy_domain', (o_orderkey+2)::VARCHAR FROM orders WHERE o_orderkey%16=0
+        UNION SELECT 'contractor', (o_orderkey+2)::VARCHAR FROM orders WHERE o_orderkey%19=0
+        UNION SELECT 'service_owner', (o_orderkey+2)::VARCHAR FROM orders WHERE o_orderkey%19<>0 AND o_orderkey%17=2
+        UNION SELECT 'dual_account', {_eid('o_custkey+1')} FROM orders WHERE o_orderkey%19<>0 AND o_orderkey%17 NOT IN (0,1,2)),
+      met AS (SELECT coalesce(p.label_set, e.label_set) AS label_set, p.entity IS NOT NULL AS p, e.entity IS NOT NULL AS e
+        FROM predicted p FULL JOIN expected e ON p.label_set=e.label_set AND p.entity=e.entity)
+      SELECT coalesce(label_set, 'all') AS label_set, tp, fp, fn, round(tp/nullif(tp+fp,0),6) AS precision, round(tp/nullif(tp+fn,0),6) AS recall
+      FROM (SELECT label_set, count_if(p AND e)::BIGINT AS tp, count_if(p AND NOT e)::BIGINT AS fp, count_if(e AND NOT p)::BIGINT AS fn
+        FROM met GROUP BY ROLLUP (label_set))"""
