@@ -51,6 +51,26 @@ class Scope:
 _innermost: ContextVar[Scope | None] = ContextVar("innermost scope", default=None)
 
 
+def _located(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), where
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that the library wrote, in any file system Spark reads."""
+    files, where = _located(spark, path)
+    files.delete(where, True)
+
+
+def folders_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path`` that a finished write left."""
+    files, where = _located(spark, path)
+    if not files.exists(where):
+        return []
+    done = spark._jvm.org.apache.hadoop.fs.Path
+    return [s.getPath().getName() for s in files.listStatus(where) if s.isDirectory() and files.exists(done(s.getPath(), "_SUCCESS"))]
+
+
 @contextmanager
 def stored_tables() -> Iterator[Scope]:
     """Tables that ``cut_lineage`` writes inside are deleted at the end; what is to be read later goes through ``keep``.
@@ -64,8 +84,7 @@ def stored_tables() -> Iterator[Scope]:
     finally:
         _innermost.reset(token)
         for spark, path in scope.stored:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+            delete_folder(spark, path)
 
 
 def released(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
