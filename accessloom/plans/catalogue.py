@@ -187,7 +187,7 @@ def iam_role_privilege(f: Fixtures) -> DataFrame:
 
 
 def sheet_header_detect(f: Fixtures) -> DataFrame:
-    return sheets.detect_headers(f.cells_raw())
+    return sheets.detect_headers(f.cells_raw().unionByName(f.header_cells()))
 
 
 def sheet_primary(f: Fixtures) -> DataFrame:

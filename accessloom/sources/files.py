@@ -184,10 +184,11 @@ def start_run(feed: DataFrame, source_system: str, run_id: str, started_at) -> D
 
 
 def finish_run(run: DataFrame, totals: DataFrame, completed_at) -> DataFrame:
-    """Close a run with its totals; the status says whether every row got exactly one outcome."""
-    counts = totals.select("rows_normalized", "rows_quarantined", F.col("rows_in").alias("_outcomes"), F.lit(1).alias("_one"))
-    joined = run.drop("status").withColumn("_one", F.lit(1)).join(counts, "_one").drop("_one")
-    whole = (F.col("_outcomes") == F.col("rows_in")) & (
-        F.col("rows_in") == F.col("rows_normalized") + F.col("rows_quarantined"))
-    return joined.withColumn("completed_at", completed_at).withColumn(
-        "status", F.when(whole, "succeeded").otherwise("failed")).drop("_outcomes")
+    """Close a run with its totals, one row; the status says whether every row got exactly one outcome. A run of which
+    there are no totals failed."""
+    found = totals.select("rows_in", "rows_normalized", "rows_quarantined").first() or (0, 0, 0)
+    outcomes, normalized, quarantined = (F.lit(n).cast("bigint") for n in found)
+    whole = (outcomes == F.col("rows_in")) & (F.col("rows_in") == normalized + quarantined)
+    return run.drop("status").withColumns({
+        "rows_normalized": normalized, "rows_quarantined": quarantined, "completed_at": completed_at,
+        "status": F.when(whole & F.lit(tuple(found) != (0, 0, 0)), "succeeded").otherwise("failed")})

@@ -420,6 +420,26 @@ class Fixtures:
         notes = cells(self.table("region"), "Notes", F.col("r_regionkey") + 2, [F.col("r_name"), F.lit("2002-06-01")])
         return headers.unionByName(current).unionByName(stale).unionByName(notes)
 
+    def header_cells(self) -> DataFrame:
+        """A sheet per supplier: its key says in which row the header stands, from which column on, in which order and
+        spelling; some have only half a header, some one too far down or right."""
+        key = F.col("s_suppkey")
+        titles = ("employee name", "role", "granted by", "date")
+
+        def spelled(title: str) -> Column:
+            plain = F.lit(title)
+            return F.when(key % 3 == 0, F.upper(plain)).when(key % 3 == 1, F.concat(F.lit("  "), F.initcap(plain))).otherwise(F.concat(plain, F.lit(" ")))
+
+        cells = F.array(*[F.struct(
+            (key % 5 + 1 + (key + i) % 4).cast("int").alias("col"),
+            F.when((key % 7 == 0) & F.lit(i > 1), F.lit("comment")).otherwise(spelled(t)).alias("value")) for i, t in enumerate(titles)])
+        below = F.struct((key % 5 + 1).cast("int").alias("col"), F.col("s_name").alias("value"))
+        rows = F.array(
+            F.struct((key % 13 + 1).cast("int").alias("row"), cells.alias("cells")),
+            F.struct((key % 13 + 2).cast("int").alias("row"), F.array(below).alias("cells")))
+        sheets = self.table("supplier").select(F.concat(F.lit("sheet "), key.cast("string")).alias("sheet"), F.inline(rows))
+        return sheets.select("sheet", "row", F.inline("cells"))
+
     def known_answers(self) -> DataFrame:
         """(label_set, entity): what the raw feeds were made to hold."""
         k, o = F.col("c_custkey"), F.col("o_orderkey")

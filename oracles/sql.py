@@ -531,7 +531,9 @@ ORACLES: dict[str, str] = {
         SELECT 'role-'||p_partkey AS child, 'role-'||(p_partkey//4) AS parent FROM part WHERE p_partkey>0 AND p_partkey%5=0
         UNION ALL SELECT 'role-'||(p_partkey//4), 'role-'||(p_partkey//16) FROM part WHERE p_partkey>0 AND p_partkey%5=0) WHERE child<>parent""",
     "iam_role_privilege": "SELECT 'role-'||p_partkey AS role_name, (p_size=50)::INT AS privileged FROM part",
-    "sheet_header_detect": _statement("SELECT sheet, header_row FROM header", "header"),
+    "sheet_header_detect": _statement("""SELECT sheet, header_row FROM header UNION ALL
+        SELECT 'sheet '||s_suppkey, (s_suppkey%13+1)::INT FROM supplier WHERE s_suppkey%13<10
+          AND len(list_filter(range(4), lambda i: s_suppkey%5+1+(s_suppkey+i)%4<=7 AND NOT (s_suppkey%7=0 AND i>1)))>=3""", "header"),
     "sheet_primary": _statement("""SELECT sheet, header_row, max_date::VARCHAR AS max_date,
         (sheet=(SELECT arg_max(sheet, max_date) FROM sheet_date))::INT AS is_primary FROM sheet_date""", "sheet_date"),
     "sheet_name_match": _statement("""SELECT sheet, source_line::INT AS source_line, raw_name, role, identity_id, match_rule, stage, reason_code
