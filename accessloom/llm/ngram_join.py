@@ -38,10 +38,11 @@ PER_STRETCH = 256
 BLOCK, BLOCK_SHINGLES = 256, 1 << 20
 _COLUMNS = 1 << 12
 _FLUSH = 1 << 19
-_PER_BUCKET = 1_200_000
+#: Entries that meet in one task; it holds about 17 bytes for each, and a few times that while it sorts them.
+_PER_BUCKET = 2_000_000
 _DELETED, _UPPER = 1, 2
 
-SETS = "row_key long, doc_id long, n_shingles long, set_key long, sketch binary"
+SETS = "row_key long, doc_id long, n_shingles long, set_key long, sketch binary, n_entries long"
 BLOBS = "bucket int, keys binary, sets binary, tags binary, schemes binary, lost binary"
 CHECKED = "a long, b long, both long, n_a long, n_b long"
 LINKS = "a long, b long, both long, n_a long, n_b long"
@@ -151,6 +152,18 @@ def set_entries(tokens: np.ndarray, num: int, den: int) -> Iterator[tuple[np.nda
             yield mix(np.uint64([band + 1 << 40])), np.uint8([4]) | upper, band * (DEALS + 1) + DEALS, 0
 
 
+def expected_entries(n: int, num: int, den: int) -> int:
+    """About how many entries a set of n shingles has."""
+    if n < least_size(num, den):
+        return 0
+    own = int(np.searchsorted(bands(num, den), n, "right")) - 1
+    total = 0
+    for band in (own, own - 1) if own else (own,):
+        m, deep, _ = allocation(band, num, den)
+        total += min(m, n) + int(deep * n / m)
+    return total
+
+
 def spare_units(scheme: np.ndarray, num: int, den: int) -> np.ndarray:
     """By scheme: lost units beyond which a set counts on common keys too; below 0 where nothing can be lost."""
     out = np.zeros(len(scheme), np.int64)
@@ -213,7 +226,7 @@ def _pair_target(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
     return (mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(n)).astype(np.int32)
 
 
-def _measured(size: int):
+def _measured(size: int, num: int, den: int):
     """Rows of SETS from batches of row_key, doc_id and text."""
     def measure(batches):
         for batch in batches:
@@ -224,7 +237,8 @@ def _measured(size: int):
                     keys.append(set_key(tokens))
                     sketches.append(sketch(tokens))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(sketches, pa.binary()),
+                 pa.array([expected_entries(n, num, den) for n in sizes], pa.int64())],
                 names=[c.split()[0] for c in SETS.split(", ")])
     return measure
 
@@ -579,11 +593,12 @@ class _Join:
         self.docs = docs.select(
             common.row_key(id_col, text_col).alias("row_key"), F.col(id_col).cast("long").alias("doc_id"),
             F.col(text_col).cast("string").alias("text"))
-        self.sets = cut_lineage(self.docs.mapInArrow(_measured(size), SETS))
-        total = self.sets.agg(F.sum("n_shingles")).first()[0] or 0
+        self.sets = cut_lineage(self.docs.mapInArrow(_measured(size, num, den), SETS))
+        total = self.sets.agg(F.sum("n_entries")).first()[0] or 0
         self.classes = cut_lineage(self.sets.where(F.col("n_shingles") >= least_size(num, den)).groupBy("set_key").agg(
             F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")))
-        self.buckets = max(1, common.partitions(docs.sparkSession), -(-total // _PER_BUCKET))
+        # As few as memory allows: the fewer there are, the more entries of one set stand together and are sent as one.
+        self.buckets = max(1, docs.sparkSession.sparkContext.defaultParallelism, -(-total // _PER_BUCKET))
 
     def met(self) -> DataFrame:
         found = self.docs.select("text").mapInArrow(_indexed(self.size, self.num, self.den, self.buckets), BLOBS)
