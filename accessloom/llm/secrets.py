@@ -116,9 +116,12 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = rows.join(of_row.withColumnRenamed("key", "_key"), "_key", "left").select(
         id_col, F.sort_array(all_).alias("spans"))
     base = F.filter("spans", lambda s: s["kind"] < len(BASE))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{name}")
-        for i, (name, *_) in enumerate(BASE)]
+
+    def of_kind(number: int) -> Column:
+        # A second parameter of the lambda, even one with a default, would be the place in the array.
+        return F.size(F.filter("spans", lambda s: s["kind"] == number)).cast("long")
+
+    counts = [of_kind(i).alias(f"n_{name}") for i, (name, *_) in enumerate(BASE)]
     return joined.select(
         id_col, *counts, F.size(F.filter("spans", lambda s: s["kind"] >= len(BASE))).cast("long").alias("n_linked"),
         base.alias("base_spans"), "spans")
