@@ -10,6 +10,7 @@ from accessloom.functions import similarity, text
 from accessloom.operators import fuzzy
 from accessloom.operators.joins import lookup
 from accessloom.operators.rank import first_per_key
+from accessloom.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -27,9 +28,11 @@ class CorrelationPolicy:
     clear_lead: int = 10
 
 
-INLINE_HOLDERS = 16
+INLINE_NAMES = 16
 SHOWN_CANDIDATES = 3
-_CANDIDATE = "array<struct<identity_id:{id},name:string,norm_name:string>>"
+# Tiers of name agreement.
+EQUAL, SIMILAR, NEITHER = 2, 1, 0
+_CANDIDATE = "array<struct<identity_id:{id},name:string,tier:int>>"
 
 
 def identifier_index(identities: DataFrame, aliases: DataFrame, alias_type: str) -> DataFrame:
@@ -46,75 +49,84 @@ def unique_holder(aliases: DataFrame, alias_type: str) -> DataFrame:
         F.count("*").alias("holders"), F.min("identity_id").alias("holder_id"))
 
 
-def _people() -> Column:
-    return F.collect_list(F.struct("identity_id", "name", "norm_name"))
+def _smallest_name() -> Column:
+    # Within a struct a null counts, as the smallest.
+    return F.min(F.struct("name"))["name"].alias("name")
 
 
-def _widely_shared(index: DataFrame) -> DataFrame:
-    return index.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > INLINE_HOLDERS).select("value")
+def _asked(probes: DataFrame, key: str) -> DataFrame:
+    """Each (value, probe_name) that accounts ask for, once; no name counts as the empty one."""
+    return cut_lineage(
+        probes.filter(F.col(key).isNotNull())
+        .select(F.col(key).alias("value"), F.coalesce("norm_name", F.lit("")).alias("probe_name")).distinct())
 
 
-def _attach(probes: DataFrame, index: DataFrame, key: str, out: str) -> DataFrame:
-    """Add array ``out`` of people that can decide the outcome for identifier column ``key``.
+def _agreeing(asked: DataFrame, names: DataFrame, policy: CorrelationPolicy) -> DataFrame:
+    """(value, probe_name, index_name, tier) for the names known under a value that are equal or similar to an asked one.
 
-    Up to INLINE_HOLDERS people share a value: all of them are listed. Beyond that the list is cut
-    to what ranking can use, exactly: the first three by id overall, the first three whose name is
-    equal and the first three whose name is similar. No value ever lists all its holders.
+    Where a value has at most INLINE_NAMES names all are compared, beyond that the similarity join finds them.
+    """
+    named = asked.filter(F.col("probe_name") != "")
+    known = names.filter(F.col("index_name") != "")
+    probe, index = F.col("probe_name"), F.col("index_name")
+    equal = named.join(known, (named["value"] == known["value"]) & (probe == index), "left_semi").select(
+        "value", "probe_name", probe.alias("index_name"), F.lit(EQUAL).alias("tier"))
+    crowded = known.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > INLINE_NAMES).select("value")
+    any_crowded = not crowded.isEmpty()
+    few = named.join(crowded, "value", "left_anti") if any_crowded else named
+    compared = few.join(known, "value").filter((probe != index) & similarity.at_least(probe, index, policy.fuzzy_threshold))
+    found = equal.unionByName(compared.select("value", "probe_name", "index_name", F.lit(SIMILAR).alias("tier")))
+    if not any_crowded:
+        return found
+    similar = fuzzy.similar_names(
+        named.join(crowded, "value", "left_semi").select("value", probe.alias("name")),
+        known.join(crowded, "value", "left_semi").select("value", index.alias("name")), ["value"])
+    return found.unionByName(similar.filter(probe != index).select("value", "probe_name", "index_name", F.lit(SIMILAR).alias("tier")))
+
+
+def _attach(probes: DataFrame, asked: DataFrame, index: DataFrame, key: str, out: str, policy: CorrelationPolicy) -> DataFrame:
+    """Add array ``out`` of people, with their tier of name agreement, that can decide the outcome for identifier column ``key``.
+
+    Ranking can use, exactly, the first three by tier and id: of the first three by id overall, of each equal and of each
+    similar name. They are found once for each value and name that accounts ask for, so the work follows the distinct
+    pairs and not the accounts times the holders, and no value ever lists all its holders.
     """
     id_type = dict(index.dtypes)["identity_id"]
     empty = F.array().cast(_CANDIDATE.format(id=id_type))
-    listed = (
-        first_per_key(index, ["value"], [F.col("identity_id")], INLINE_HOLDERS + 1)
-        .groupBy("value").agg(F.array_sort(_people()).alias("people")))
-    crowded = F.size("people") > INLINE_HOLDERS
-    heads = listed.select(
-        F.col("value").alias("_value"), crowded.alias("_crowded"),
-        F.when(crowded, F.slice("people", 1, SHOWN_CANDIDATES)).otherwise(F.col("people")).alias("_people"))
-
-    located = lookup(probes, key, heads, "_value", ["account_key"])
-    if _widely_shared(index).isEmpty():
-        return located.withColumn(out, F.coalesce("_people", empty)).drop("_crowded", "_people")
-
-    hot = listed.filter(crowded).select("value")
-    hot_index = index.join(hot, "value", "left_semi")
-    asked = (
-        probes.select(F.col(key).alias("value"), F.col("norm_name").alias("name"))
-        .filter((F.col("name") != "") & F.col("value").isNotNull())
-        .join(hot, "value", "left_semi").distinct())
-    by_name = first_per_key(hot_index, ["value", "norm_name"], [F.col("identity_id")], SHOWN_CANDIDATES)
-    similar = fuzzy.similar_names(asked, by_name.withColumn("name", F.col("norm_name")), ["value"])
-    matched = similar.join(by_name.withColumnRenamed("norm_name", "index_name"), ["value", "index_name"])
-    equal_first = F.when(F.col("index_name") == F.col("probe_name"), 0).otherwise(1)
-    tiers = first_per_key(
-        matched.withColumn("tier", equal_first), ["value", "probe_name", "tier"], [F.col("identity_id")],
-        SHOWN_CANDIDATES)
-    extra = (
-        tiers.withColumnRenamed("index_name", "norm_name")
-        .groupBy("value", "probe_name").agg(_people().alias("_extra"))
-        .select(F.concat_ws("\u0001", "value", "probe_name").alias("_extra_key"), "_extra"))
-    named = F.when(F.col("_crowded"), F.concat_ws("\u0001", key, "norm_name"))
-    joined = lookup(located.withColumn("_named", named), "_named", extra, "_extra_key", ["account_key"])
-    people = F.concat(F.coalesce("_people", empty), F.coalesce("_extra", empty))
-    return joined.withColumn(out, people).drop("_crowded", "_people", "_named", "_extra")
-
-
-def _scored(people: Column, base: Column, rule: Column, norm_name: Column, policy: CorrelationPolicy) -> Column:
-    # Tiers of name agreement: 2 equal, 1 similar, 0 neither.
-    def agreement(person: Column) -> Column:
-        known = person["norm_name"]
-        return (
-            F.when((norm_name != "") & (known == norm_name), 2)
-            .when(similarity.at_least(norm_name, known, policy.fuzzy_threshold), 1).otherwise(0))
-
-    def score(person: Column, tier: Column) -> Column:
-        total = base + F.when(tier == 2, policy.exact_name_bonus).when(tier == 1, policy.fuzzy_name_bonus).otherwise(0)
-        suffix = F.when(tier == 2, "+EXACT_NAME").when(tier == 1, "+FUZZY_NAME").otherwise("")
+    if asked.isEmpty():
+        return probes.withColumn(out, empty)
+    # One row per person and name; of several spellings of a name the smallest is shown.
+    holders = index.join(asked.select("value"), "value", "left_semi").groupBy(
+        "value", F.coalesce("norm_name", F.lit("")).alias("index_name"), "identity_id").agg(_smallest_name())
+    top = cut_lineage(first_per_key(holders, ["value", "index_name"], [F.col("identity_id")], SHOWN_CANDIDATES))
+    agreeing = _agreeing(asked, top.select("value", "index_name").distinct(), policy).join(top, ["value", "index_name"])
+    people = top.groupBy("value", "identity_id").agg(_smallest_name())
+    heads = first_per_key(people, ["value"], [F.col("identity_id")], SHOWN_CANDIDATES)
+    rows = agreeing.select("value", "probe_name", "identity_id", "name", "tier").unionByName(
+        asked.join(heads, "value").withColumn("tier", F.lit(NEITHER)))
+    # A person counts once, by the best tier, so that three different people are kept.
+    best = rows.groupBy("value", "probe_name", "identity_id").agg(F.min(F.struct((-F.col("tier")).alias("rank"), "name")).alias("b"))
+    best = best.select("value", "probe_name", "identity_id", "b.name", (-F.col("b.rank")).alias("tier"))
+    rows = first_per_key(best, ["value", "probe_name"], [F.desc("tier"), F.col("identity_id")], SHOWN_CANDIDATES)
+    listed = rows.groupBy("value", "probe_name").agg(
+        F.collect_list(F.struct("identity_id", "name", "tier")).alias("_people")).select(
+        F.concat_ws("\u0001", "value", "probe_name").alias("_asked_key"), "_people")
+    named = F.when(F.col(key).isNotNull(), F.concat_ws("\u0001", F.col(key), F.coalesce("norm_name", F.lit(""))))
+    joined = lookup(probes.withColumn("_named", named), "_named", listed, "_asked_key", ["account_key"])
+    return joined.withColumn(out, F.coalesce("_people", empty)).drop("_people", "_named")
+
+
+def _scored(people: Column, base: Column, rule: Column, policy: CorrelationPolicy) -> Column:
+    def score(person: Column) -> Column:
+        tier = person["tier"]
+        total = base + F.when(tier == EQUAL, policy.exact_name_bonus).when(tier == SIMILAR, policy.fuzzy_name_bonus).otherwise(0)
+        suffix = F.when(tier == EQUAL, "+EXACT_NAME").when(tier == SIMILAR, "+FUZZY_NAME").otherwise("")
         # Negated score first: the natural struct order is then best score, smallest id.
         return F.struct(
             (-total).alias("order_key"), person["identity_id"].alias("identity_id"),
             person["name"].alias("name"), total.alias("score"), F.concat(rule, suffix).alias("rule"))
 
-    return F.zip_with(people, F.transform(people, agreement), score)
+    return F.transform(people, score)
 
 
 def correlate(
@@ -129,17 +141,20 @@ def correlate(
         accounts.withColumn("norm_name", text.normalize_name(F.col("display_name")))
         .withColumn("_employee_key", F.when(F.col("employee_id") != "", F.col("employee_id")))
         .withColumn("_local_key", F.when(F.col("local_part") != "", F.col("local_part"))))
-    probes = _attach(probes, identifier_index(identities, aliases, "employee_id"), "_employee_key", "_by_id")
-    probes = _attach(probes, identifier_index(identities, aliases, "email_localpart"), "_local_key", "_by_local")
+    # Parsed once for what is asked and for the accounts themselves.
+    probes = cut_lineage(probes)
+    for key, alias_type, out, asked in [
+            ("_employee_key", "employee_id", "_by_id", _asked(probes, "_employee_key")),
+            ("_local_key", "email_localpart", "_by_local", _asked(probes, "_local_key"))]:
+        probes = _attach(probes, asked, identifier_index(identities, aliases, alias_type), key, out, policy)
 
     corporate = text.is_corporate(F.col("domain"), policy.corporate_domains)
     local_weight = F.when(corporate, policy.corporate_local_weight).otherwise(policy.other_local_weight)
     local_rule = F.when(corporate, "CORPORATE_LOCALPART_MATCH").otherwise("NONCORPORATE_LOCALPART_MATCH")
-    by_id = _scored(F.col("_by_id"), F.lit(policy.employee_id_weight), F.lit("EMPLOYEE_ID_MATCH"),
-                    F.col("norm_name"), policy)
-    by_local = _scored(F.col("_by_local"), local_weight, local_rule, F.col("norm_name"), policy)
+    by_id = _scored(F.col("_by_id"), F.lit(policy.employee_id_weight), F.lit("EMPLOYEE_ID_MATCH"), policy)
+    by_local = _scored(F.col("_by_local"), local_weight, local_rule, policy)
 
-    ranked = probes.withColumn("_all", F.array_sort(F.array_distinct(F.concat(by_id, by_local))))
+    ranked = probes.withColumn("_all", F.sort_array(F.concat(by_id, by_local)))
     first_seen = F.filter(
         F.col("_all"),
         lambda c, i: ~F.exists(F.slice(F.col("_all"), F.lit(1), i), lambda p: p["identity_id"] == c["identity_id"]))

@@ -167,6 +167,8 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
         classify_unmatched(F.col("description"), F.col("distinguishedName"), F.col("sam")))
     scored = scored.withColumn("kind", kind).withColumn("ambiguous", ambiguous).withColumn("sam_match", sam_match)
 
+    # Read for the descriptions and again for all rows, so it is scored once.
+    scored = cut_lineage(scored)
     texts = scored.filter(F.col("kind") == "service").select(F.col("description").alias("text"))
     owners = mentions.first_mentioned(texts, people.identities).withColumnRenamed("identity_id", "mentioned_id")
     status = people.identities.select(
