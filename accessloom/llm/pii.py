@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import pickle
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from accessloom.llm import boosting
+from accessloom.session import cut_lineage
 
 # The kinds and their patterns. Digits and letters are ASCII.
 KINDS = ("email", "ip", "card", "phone")
@@ -235,87 +240,129 @@ def _labelled(text: str, form: int) -> tuple[np.ndarray, list[int], list[str]]:
     return np.array(parts, float).reshape(len(parts), 25), labels, notes
 
 
-def _resolved(found: list) -> list[tuple]:
-    """(id, x, label 0 or 1) of the examples; those that stay open are left out.
+def _resolved(found: DataFrame) -> DataFrame:
+    """(half, x, label 0 or 1) of the examples; those that stay open are left out.
 
     A written-out address is right if it has an @, a bracket or a written dot and the last label of its domain is one of
     the base addresses or a usual one, wrong if it has neither, else open. A number with the shape of a rewritten phone
     number is open, as it may well be one; one of another shape, or a bare run of digits, is not.
     """
-    endings = _ENDINGS | {r.note for r in found if r.label == 5}
-    shapes = {r.note for r in found if r.label == 4}
-    out = []
-    for r in found:
-        label = r.label
-        if label == 2:
-            marked, ending = r.note.split("|")
-            label = 1 if marked and ending in endings else 0 if not marked and ending not in endings else None
-        elif label == 3:
-            label = None if r.note in shapes else 0
-        elif label in (4, 5):
-            label = 1 if label == 4 else None
-        if label is not None:
-            out.append((r.id, r.x, label))
-    return sorted(out)
-
-
-def train(
-        docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: int = 4000, max_chars: int = 4000,
-        precision: float = 0.98, least: int = 20) -> Detector:
-    """A detector from at most ``texts`` texts of at most ``max_chars`` code points that hold a digit or an @.
-
-    The first by a hash of the id; ids are ranked, texts fetched for them alone, candidates and features made by tasks.
-    What reaches the driver is bounded by texts x max_chars. Examples are spans that the base patterns miss, as only such
-    can be added: each base span once in another form, and candidates that checks decide (see ``_labelled``). Odd texts
-    train the trees, even ones calibrate: each kind gets a logistic fit of its own and the least probability at which
-    the kept examples are right with the wanted ``precision``, if missed spans are as many as base spans; a kind with
-    fewer than ``least`` right examples there adds nothing.
-    """
-    text = F.col(text_col)
-    usable = (F.length(text) <= max_chars) & text.rlike(r"@|[0-9][0-9 ().:/-]{5}") & F.col(id_col).isNotNull()
-    chosen = docs.where(usable).select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(texts)
-    rows = docs.where(usable).select(F.col(id_col).alias("id"), text.alias("text")).join(F.broadcast(chosen), "id")
-
+    label, ending = F.col("label"), F.substring_index("note", "|", -1)
+    endings = found.where(label == 5).select("note").distinct().select(F.col("note").alias("ending"), F.lit(True).alias("told"))
+    addresses = found.where(label == 2).withColumn("ending", ending).join(endings, "ending", "left")
+    known = F.coalesce("told", F.lit(False)) | F.col("ending").isin(*_ENDINGS)
+    marked = ~F.startswith("note", F.lit("|"))
+    addresses = addresses.withColumn("label", F.when(marked & known, 1).when(~marked & ~known, 0)).where("label is not null")
+    numbers = found.where(label == 3).join(found.where(label == 4).select("note").distinct(), "note", "left_anti").withColumn("label", F.lit(0))
+    rest = found.where(label.isin(0, 1, 4)).withColumn("label", F.when(label == 0, 0).otherwise(1))
+    return reduce(DataFrame.unionByName, [df.select("half", "x", "label") for df in (addresses, numbers, rest)])
+
+
+def _examples(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(half, x, label, n): the distinct examples of all whole texts and how often each occurs."""
     def described(batches):
+        parts = []
         for batch in batches:
-            parts = []
             for i, t in zip(batch["id"], batch["text"]):
                 x, labels, notes = _labelled(t, int(i) // 2)
-                parts += [(int(i), y, note, row.tolist()) for y, note, row in zip(labels, notes, x)]
-            yield pd.DataFrame(parts, columns=["id", "label", "note", "x"])
+                parts += [(int(i) % 2, y, note, row) for y, note, row in zip(labels, notes, x.tolist())]
+                if len(parts) > 5000:
+                    yield pd.DataFrame(parts, columns=["half", "label", "note", "x"])
+                    parts = []
+        if parts:
+            yield pd.DataFrame(parts, columns=["half", "label", "note", "x"])
+
+    rows = docs.where(F.col(text_col).isNotNull()).select(
+        F.abs(F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(F.xxhash64(id_col))).alias("id"),
+        F.col(text_col).alias("text"))
+    found = cut_lineage(rows.mapInPandas(described, "half int, label int, note string, x array<double>"))
+    return cut_lineage(_resolved(found).groupBy("half", "label", "x").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _columns(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = batch.column("x").combine_chunks() if isinstance(batch, pa.Table) else batch.column("x")
+    return (x.flatten().to_numpy(zero_copy_only=False).reshape(-1, 25) if len(x) else np.zeros((0, 25)),
+            batch.column("label").to_numpy().astype(float), batch.column("n").to_numpy().astype(float))
+
+
+def _grown(rows: DataFrame, edges: list[np.ndarray], share: float) -> boosting.Boosted:
+    """The trees of rows that stay in their tasks: what a level of a tree needs are sums, of fixed size for each task."""
+    def measured(model, *state):
+        def summed(batches):
+            total = 0
+            for batch in batches:
+                x, y, n = _columns(batch)
+                if len(y):
+                    total = total + boosting.slopes(model, model.binned(x), y, n, *state)
+            if not np.isscalar(total):
+                yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "sums": pa.array([pickle.dumps(total)], pa.binary())})
+
+        parts = sorted(rows.mapInArrow(summed, "part long, sums binary").collect(), key=lambda r: r.part)
+        return sum(pickle.loads(r.sums) for r in parts)
+
+    return boosting.grow(edges, share, measured)
+
+
+def _spread(trees: boosting.Boosted, rows: DataFrame) -> np.ndarray:
+    """(kind, log-odds, label, n) of all rows, log-odds to 1/1024, so that their number is bounded."""
+    def judged(batches):
+        for batch in batches:
+            x, y, n = _columns(batch)
+            z = np.round(np.clip(trees.log_odds(x), -35, 35) * 1024)
+            yield pa.RecordBatch.from_arrays([pa.array(v.astype(np.int64)) for v in (x[:, 0], z, y, n)], names=["kind", "z", "y", "n"])
+
+    found = rows.mapInArrow(judged, "kind long, z long, y long, n long").groupBy("kind", "z", "y").agg(F.sum("n").alias("n")).collect()
+    return np.array(sorted((r.kind, r.z / 1024, r.y, r.n) for r in found), float).reshape(-1, 4)
+
 
-    hashed = rows.withColumn("id", F.abs(F.xxhash64("id")))
-    found = _resolved(hashed.mapInPandas(described, "id long, label int, note string, x array<double>").collect())
+def train(
+        docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", precision: float = 0.98, least: int = 20,
+        in_memory: int = 100_000) -> Detector:
+    """A detector from all whole texts.
+
+    Candidates and features are made by tasks. Examples are spans that the base patterns miss, as only such can be added:
+    each base span once in another form, and candidates that checks decide (see ``_labelled``). Equal examples are counted.
+    Texts of odd ids train the trees, those of even ones calibrate: each kind gets a logistic fit of its own and the least
+    probability at which the kept examples are right with the wanted ``precision``, if missed spans are as many as base
+    spans; a kind with fewer than ``least`` right examples there adds nothing. Up to ``in_memory`` distinct examples are
+    summed on the driver, more of them in tasks, with the same trees.
+    """
+    rows = _examples(docs, id_col, text_col)
     nothing = Detector(None, [1.0] * 4, [0.0] * 4, [1.0] * 4)
-    if not found:
-        return nothing
-    ids, x, y = (np.array(c, t) for c, t in zip(zip(*found), (np.int64, float, float)))
-    even = ids % 2 == 0
-    if min((~even).sum(), even.sum()) < least or not 0 < y[~even].mean() < 1:
+    odd, even = rows.where("half = 1"), rows.where("half = 0")
+    size = {r.half: r for r in rows.groupBy("half").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("ones"), F.count(F.lit(1)).alias("distinct")).collect()}
+    if len(size) < 2 or min(size[0].n, size[1].n) < least or not 0 < size[1].ones < size[1].n:
         return nothing
-    trees = boosting.fit(x[~even], y[~even])
-    z, out = trees.log_odds(x), Detector(trees, [1.0] * 4, [0.0] * 4, [1.0] * 4)
+    values = odd.select("n", F.posexplode("x").alias("j", "v")).groupBy("j", "v").agg(F.sum("n").alias("n")).collect()
+    edges = [boosting.edges_of(*np.array([(r.v, r.n) for r in values if r.j == j], float).T) for j in range(25)]
+    if size[1].distinct <= in_memory:
+        x, y, n = _columns(odd.orderBy("x", "label").toArrow())
+        trees = boosting.fit(x, y, n, edges)
+    else:
+        trees = _grown(odd, edges, size[1].ones / size[1].n)
+    spread, out = _spread(trees, even), Detector(trees, [1.0] * 4, [0.0] * 4, [1.0] * 4)
     for k in range(len(KINDS)):
-        own = even & (x[:, 0] == k)
-        if y[own].sum() < least:
+        _, z, y, n = spread[spread[:, 0] == k].T
+        if (y * n).sum() < least:
             continue
-        out.slope[k], out.offset[k] = _logistic(z[own], y[own])
-        p = 1 / (1 + np.exp(-(out.slope[k] * z[own] + out.offset[k])))
-        order = np.argsort(-p, kind="stable")
-        right = np.cumsum(y[own][order]) / np.arange(1, own.sum() + 1)
-        last = np.flatnonzero(right >= precision)
-        if len(last) and last[-1] + 1 >= least:
+        out.slope[k], out.offset[k] = _logistic(z, y, n)
+        at, group = np.unique(-z, return_inverse=True)
+        p = 1 / (1 + np.exp(-(out.slope[k] * -at + out.offset[k])))
+        named = np.cumsum(np.bincount(group, n))
+        last = np.flatnonzero(np.cumsum(np.bincount(group, n * y)) / named >= precision)
+        if len(last) and named[last[-1]] >= least:
             # Halfway down to the first candidate that would be too many.
-            kept = p[order][last[-1]:last[-1] + 2]
+            kept = p[last[-1]:last[-1] + 2]
             out.least[k] = max(0.5, float(kept.mean() if len(kept) == 2 else kept[0] / 2))
     return out
 
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
     a, b = 1.0, 0.0
     for _ in range(25):
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        d, h = p - y, p * (1 - p)
+        p = 1 / (1 + np.exp(-np.clip(a * z + b, -35, 35)))
+        d, h = n * (p - y), n * p * (1 - p)
         g = np.array([(d * z).sum() + 0.1 * (a - 1), d.sum() + 0.1 * b])
         m = np.array([[(h * z * z).sum() + 0.1, (h * z).sum()], [(h * z).sum(), h.sum() + 0.1]])
         step = np.linalg.solve(m, g)
