@@ -25,7 +25,7 @@ from accessloom.session import cut_lineage
 VOCABULARY = None
 VOCABULARY_FILE = "word_bpe_49k.json"
 #: Parts of words whose ids a Python worker remembers at least (words: a quarter); bytes of text it takes at once; ids it hands on at once.
-REMEMBERED, BYTES, IDS = 400_000, 1 << 22, 1 << 21
+REMEMBERED, BYTES, IDS = 400_000, 1 << 23, 1 << 21
 
 # Where the vocabulary's own pattern always cuts. Runs of letters, single digits and runs of other signs are
 # pieces of their own; the apostrophe and the signs of special tokens are left out, as they may join what
@@ -33,6 +33,8 @@ REMEMBERED, BYTES, IDS = 400_000, 1 << 22, 1 << 21
 _LETTERS, _SIGNS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f", r"""!"#$%&()*+,\-./:;=?@\[\\\]^_`{}~"""
 _PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|[{_SIGNS}]+")
 _PLAIN = re.compile(f"[{_LETTERS}0-9{_SIGNS}]+")
+_RUN, _SIMPLE = re.compile(f"[{_LETTERS}]+"), re.compile(f"([{_LETTERS}]+)[{_SIGNS}]?")
+_MARK = "!"
 
 
 class _Memory:
@@ -68,28 +70,60 @@ class _Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.words, self.parts = _Memory(REMEMBERED // 4), _Memory(REMEMBERED)
 
     def known(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words."""
-        new = {w: [p.lower() if p.isascii() else p for p in _PARTS.findall(w)] if _PLAIN.fullmatch(w) else [w]
-               for w in self.words.missing(words)}
-        ask = list(self.parts.missing({p for ps in new.values() for p in ps}))
-        young = self.parts.young
-        for at in range(0, len(ask), 4096):
-            part = ask[at:at + 4096]
+        whole, ended, other = {}, {}, {}
+        for w in self.words.missing(words):
+            # Nearly all words are letters alone or with one sign behind them.
+            if w.isascii() and w.isalpha():
+                whole[w] = w.lower()
+            elif simple := _SIMPLE.fullmatch(w):
+                ended[w] = simple[1].lower() if w.isascii() else simple[1]
+            else:
+                other[w] = [p.lower() if p.isascii() else p for p in _PARTS.findall(w)] if _PLAIN.fullmatch(w) else [w]
+        asked = {*whole.values(), *ended.values(), *{w[-1] for w, p in ended.items() if len(p) < len(w)}}
+        for ps in other.values():
+            asked.update(ps)
+        self._learn(self.parts.missing(asked))
+        get, known = self.parts.young.__getitem__, self.words.young
+        known.update(zip(whole, map(get, whole.values())))
+        known.update((w, get(p) if len(p) == len(w) else get(p) + get(w[-1])) for w, p in ended.items())
+        known.update((w, b"".join(map(get, ps))) for w, ps in other.items())
+        return list(map(known.__getitem__, words))
+
+    def _learn(self, parts: Collection[str]) -> None:
+        """The ids of parts not met before. Runs of letters are encoded as one text, each followed by a sign that none of
+        them holds, whose id says where the next begins: a text of its own costs about twice as much."""
+        young, code = self.parts.young, self.dtype.char
+        runs = [p for p in parts if _RUN.fullmatch(p)] if self.mark is not None else []
+        single = [p for p in parts if not _RUN.fullmatch(p)] if runs else list(parts)
+        for at in range(0, len(runs), 4096):
+            part = runs[at:at + 4096]
+            text = f" {_MARK} ".join([*part, ""])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) != len(part):
+                single += part
+                continue
+            blob, width, first = ids.tobytes(), self.dtype.itemsize, 0
+            for run, end in zip(part, ends.tolist()):
+                young[run] = blob[first * width:end * width]
+                first = end + 1
+        for at in range(0, len(single), 4096):
+            part = single[at:at + 4096]
             for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                young[text] = array(self.dtype.char, found.ids).tobytes()
-        get = young.__getitem__
-        self.words.young.update((w, b"".join(map(get, ps))) for w, ps in new.items())
-        return list(map(self.words.young.__getitem__, words))
+                young[text] = array(code, found.ids).tobytes()
 
     def encoded(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end id, as one array, and how many each has."""
         words = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
         bounds = np.asarray(words.offsets)
         coded = words.flatten().dictionary_encode()
-        found = self.known(coded.dictionary.to_pylist())
+        found = self.known(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
         end = len(found)
         found.append(np.array([end_id], self.dtype).tobytes())
         flat = np.frombuffer(b"".join(found), self.dtype)
