@@ -214,8 +214,9 @@ def similar_names(probes: DataFrame, index: DataFrame, scope: Sequence[str] = ()
         .select(*scope, F.col("name").alias("probe_name"), F.col("name").alias("index_name"), F.lit(100.0).alias("ratio")))
 
     dropped = total - 2 * F.length("rest")
+    # A name has up to about 1,500 shortened strings, which Spark's estimate of a size to broadcast does not see.
     near = (
-        _shortened(probe, scope, "probe").join(_shortened(known, scope, "index"), [*scope, "rest"], "inner")
+        _shortened(probe, scope, "probe").join(_shortened(known, scope, "index").hint("merge"), [*scope, "rest"], "inner")
         .filter((dropped <= allowed) & (F.col("probe_name") != F.col("index_name")) & (allowed <= DELETION_BUDGET))
         .groupBy(*pair).agg(F.min(dropped).alias("distance"), F.first(total).alias("total"))
         .select(*pair, similarity.ratio_from_distance(F.col("distance"), F.col("total")).alias("ratio")))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from accessloom.functions import dates, text
 from accessloom.operators import fuzzy
+from accessloom.session import cut_lineage
 
 # Header names, and how far down and right they may stand.
 EXPECTED_HEADERS = ("employee name", "role", "granted by", "date")
@@ -39,7 +40,8 @@ def sheet_layout(cells: DataFrame, headers: Sequence[str] = EXPECTED_HEADERS) ->
     The column map has a few rows per sheet; the date maximum is a map-side aggregate over the date
     column.
     """
-    columns = _column_map(cells, headers)
+    # Stored, so that its size is known and the cells, whose size is not, are never the side that is broadcast.
+    columns = cut_lineage(_column_map(cells, headers))
     dated = columns.filter(F.col("header") == "date").select("sheet", "header_row", F.col("header_col").alias("col"))
     newest = (
         cells.join(dated, ["sheet", "col"]).filter(F.col("row") > F.col("header_row"))
