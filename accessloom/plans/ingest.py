@@ -174,11 +174,12 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
     status = people.identities.select(
         F.col("identity_id").alias("mentioned_id"), F.col("lifecycle_status").alias("mentioned_status"))
     owners = owners.join(status, "mentioned_id")
-    scored = lookup(
-        scored.withColumn("_text", F.when(F.col("kind") == "service", F.col("description"))), "_text",
-        owners, "text", ["source_line"])
-
     contractor, service = F.col("kind") == "contractor", F.col("kind") == "service"
+    # Only service accounts are moved to meet the owners that their descriptions name.
+    named = F.coalesce(service & F.col("description").isNotNull(), F.lit(False))
+    described = lookup(scored.filter(named), "description", owners, "text", ["source_line"])
+    scored = described.unionByName(scored.filter(~named), allowMissingColumns=True)
+
     owner = (
         F.when(F.col("decision") == "auto_match", F.col("matched_identity_id"))
         .when(F.col("sam_match"), F.col("holder_id"))
