@@ -61,6 +61,16 @@ def _asked(probes: DataFrame, key: str) -> DataFrame:
         .select(F.col(key).alias("value"), F.coalesce("norm_name", F.lit("")).alias("probe_name")).distinct())
 
 
+def _case() -> Column:
+    """One text for all that a score depends on, null without any identifier. Names hold no separator, and the length says
+    where the employee id ends."""
+    employee = F.coalesce("_employee_key", F.lit(""))
+    return F.when(
+        F.col("_employee_key").isNotNull() | F.col("_local_key").isNotNull(),
+        F.concat_ws("\u0001", F.length(employee).cast("string"), employee, F.col("_corporate").cast("string"),
+                    F.coalesce("_local_key", F.lit("")), "norm_name"))
+
+
 def _agreeing(asked: DataFrame, names: DataFrame, policy: CorrelationPolicy) -> DataFrame:
     """(value, probe_name, index_name, tier) for the names known under a value that are equal or similar to an asked one.
 
@@ -140,21 +150,39 @@ def correlate(
     probes = (
         accounts.withColumn("norm_name", text.normalize_name(F.col("display_name")))
         .withColumn("_employee_key", F.when(F.col("employee_id") != "", F.col("employee_id")))
-        .withColumn("_local_key", F.when(F.col("local_part") != "", F.col("local_part"))))
+        .withColumn("_local_key", F.when(F.col("local_part") != "", F.col("local_part")))
+        .withColumn("_corporate", F.coalesce(text.is_corporate(F.col("domain"), policy.corporate_domains), F.lit(False))))
     # Parsed once for what is asked and for the accounts themselves.
-    probes = cut_lineage(probes)
+    keys = ["_employee_key", "_local_key", "_corporate", "norm_name"]
+    probes = cut_lineage(probes.withColumn("_case", _case()))
+    # Below a case stands for all accounts that show it.
+    cases = probes.filter(F.col("_case").isNotNull()).select(F.col("_case").alias("account_key"), *keys)
+    scored = cut_lineage(_scored_cases(cases, identities, aliases, policy).withColumnRenamed("account_key", "_case"))
+    found = lookup(probes.drop(*keys), "_case", scored, "_case", ["account_key"])
+    none = F.array().cast(scored.schema["candidates"].dataType)
+    return found.withColumns({
+        "candidates": F.coalesce("candidates", none), "decision": F.coalesce("decision", F.lit("unmatched"))}).drop("_case")
+
+
+def _scored_cases(
+    cases: DataFrame, identities: DataFrame, aliases: DataFrame, policy: CorrelationPolicy
+) -> DataFrame:
+    """Score each distinct case that has a candidate once, whatever the number of accounts that show it."""
+    cases = cut_lineage(cases.distinct())
     for key, alias_type, out, asked in [
-            ("_employee_key", "employee_id", "_by_id", _asked(probes, "_employee_key")),
-            ("_local_key", "email_localpart", "_by_local", _asked(probes, "_local_key"))]:
-        probes = _attach(probes, asked, identifier_index(identities, aliases, alias_type), key, out, policy)
+            ("_employee_key", "employee_id", "_by_id", _asked(cases, "_employee_key")),
+            ("_local_key", "email_localpart", "_by_local", _asked(cases, "_local_key"))]:
+        cases = _attach(cases, asked, identifier_index(identities, aliases, alias_type), key, out, policy)
 
-    corporate = text.is_corporate(F.col("domain"), policy.corporate_domains)
+    corporate = F.col("_corporate")
     local_weight = F.when(corporate, policy.corporate_local_weight).otherwise(policy.other_local_weight)
     local_rule = F.when(corporate, "CORPORATE_LOCALPART_MATCH").otherwise("NONCORPORATE_LOCALPART_MATCH")
     by_id = _scored(F.col("_by_id"), F.lit(policy.employee_id_weight), F.lit("EMPLOYEE_ID_MATCH"), policy)
     by_local = _scored(F.col("_by_local"), local_weight, local_rule, policy)
 
-    ranked = probes.withColumn("_all", F.sort_array(F.concat(by_id, by_local)))
+    # Without a candidate a case is unmatched.
+    ranked = cases.filter((F.size("_by_id") > 0) | (F.size("_by_local") > 0))
+    ranked = ranked.withColumn("_all", F.sort_array(F.concat(by_id, by_local)))
     first_seen = F.filter(
         F.col("_all"),
         lambda c, i: ~F.exists(F.slice(F.col("_all"), F.lit(1), i), lambda p: p["identity_id"] == c["identity_id"]))
@@ -169,8 +197,9 @@ def correlate(
         .when(F.col("best_score") >= policy.auto_match_at, "auto_match")
         .otherwise("quarantine"))
     ranked = ranked.withColumn("decision", decision)
-    return ranked.withColumn("matched_identity_id", F.when(F.col("decision") == "auto_match", best["identity_id"])).drop(
-        "_employee_key", "_local_key", "_by_id", "_by_local", "_all", "norm_name")
+    return ranked.select(
+        "account_key", "candidates", "best_score", "runner_up_score", "decision",
+        F.when(F.col("decision") == "auto_match", best["identity_id"]).alias("matched_identity_id"))
 
 
 def candidate_ids(candidates: Column) -> Column:

@@ -113,11 +113,10 @@ def ingest_cloud_directory(feed: DataFrame, people: Directory, application: str
         dates.iso_timestamp(F.col("lastSignInDateTime")).alias("last_activity_at"))
     scored = correlate(parsed, people.identities, people.aliases, people.policy)
     matched = F.col("decision") == "auto_match"
-    rows = scored.select(
+    rows = cut_lineage(scored).select(
         "*", F.lit(application).alias("application"), F.col("account_key").alias("native_id"),
         F.lit("human").alias("account_type"), F.col("matched_identity_id").alias("owner_identity_id"),
         F.when(matched, "owned").otherwise("unresolved").alias("ownership_status"))
-    rows = cut_lineage(rows)
     reason = (
         F.when(matched, "AUTO_MATCHED").when(F.col("decision") == "quarantine", "CORRELATION_AMBIGUOUS")
         .otherwise("NO_IDENTITY_MATCH"))
@@ -155,7 +154,8 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
         dates.filetime_timestamp(F.col("lastLogonTimestamp")).alias("last_activity_at"),
         text.split_values(F.col("memberOf"), ";").alias("groups"), "description", "distinguishedName")
     scored = correlate(parsed, people.identities, people.aliases, people.policy)
-    by_sam = unique_holder(people.aliases, "email_localpart").withColumnRenamed("value", "_local")
+    # Stored, so that its size is known to the join and accounts move only if it is large.
+    by_sam = cut_lineage(unique_holder(people.aliases, "email_localpart").withColumnRenamed("value", "_local"))
     scored = lookup(scored.withColumn("_sam", F.lower("sam")), "_sam", by_sam, "_local", ["source_line"])
 
     matched = F.col("decision") == "auto_match"
@@ -167,18 +167,16 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
         classify_unmatched(F.col("description"), F.col("distinguishedName"), F.col("sam")))
     scored = scored.withColumn("kind", kind).withColumn("ambiguous", ambiguous).withColumn("sam_match", sam_match)
 
-    # Read for the descriptions and again for all rows, so it is scored once.
-    scored = cut_lineage(scored)
     texts = scored.filter(F.col("kind") == "service").select(F.col("description").alias("text"))
     owners = mentions.first_mentioned(texts, people.identities).withColumnRenamed("identity_id", "mentioned_id")
     status = people.identities.select(
         F.col("identity_id").alias("mentioned_id"), F.col("lifecycle_status").alias("mentioned_status"))
-    owners = owners.join(status, "mentioned_id")
+    owners = cut_lineage(owners.join(status, "mentioned_id"))
     contractor, service = F.col("kind") == "contractor", F.col("kind") == "service"
-    # Only service accounts are moved to meet the owners that their descriptions name.
-    named = F.coalesce(service & F.col("description").isNotNull(), F.lit(False))
-    described = lookup(scored.filter(named), "description", owners, "text", ["source_line"])
-    scored = described.unionByName(scored.filter(~named), allowMissingColumns=True)
+    scored = lookup(
+        scored.withColumn("_described", F.when(service, F.col("description"))), "_described", owners, "text", ["source_line"])
+    # What follows from other columns is worked out by those who read it.
+    scored = cut_lineage(scored.drop("_described", "_sam", "holders"))
 
     owner = (
         F.when(F.col("decision") == "auto_match", F.col("matched_identity_id"))
@@ -193,7 +191,6 @@ def ingest_directory(feed: DataFrame, people: Directory, application: str = "Dir
         "*", F.lit(application).alias("application"), F.col("sam").alias("native_id"),
         F.when(service, "service").otherwise("human").alias("account_type"), owner.alias("owner_identity_id"),
         ownership.alias("ownership_status"))
-    rows = cut_lineage(rows)
     service_owned = service & F.col("mentioned_id").isNotNull()
     reason = (
         F.when(F.col("decision") == "auto_match", "OK").when(F.col("sam_match"), "OK_SAM_MATCH")
@@ -239,11 +236,10 @@ def ingest_crm(feed: DataFrame, people: Directory, primary_domain: str, applicat
         dates.iso_timestamp(F.col("last_login")).alias("last_activity_at"), "profile", "permission_sets")
     scored = correlate(parsed, people.identities, people.aliases, people.policy)
     matched = F.col("decision") == "auto_match"
-    rows = scored.select(
+    rows = cut_lineage(scored).select(
         "*", F.lit(application).alias("application"), F.col("username").alias("native_id"),
         F.lit("human").alias("account_type"), F.col("matched_identity_id").alias("owner_identity_id"),
         F.when(matched, "owned").otherwise("unresolved").alias("ownership_status"))
-    rows = cut_lineage(rows)
     reason = (
         F.when(matched, "OK").when((F.col("domain") != "") & (F.col("domain") != primary_domain), "CORRELATION_LEGACY_DOMAIN")
         .when(F.col("decision") == "quarantine", "CORRELATION_AMBIGUOUS").otherwise("NO_IDENTITY_MATCH"))
