@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from accessloom.llm import common
 from accessloom.llm.common import mix
 from accessloom.llm.components import components
-from accessloom.session import cut_lineage, released
+from accessloom.session import PLAIN_SIZES, cut_lineage, released, under
 
 #: A key that more different sets have is common: its pairs are not listed at once but found through some members.
 COMMON = 8
@@ -742,6 +742,7 @@ class _Join:
         return sorted_.mapInArrow(_linked(self.size, self.num, self.den, counted), COUNTS if counted else LINKS)
 
 
+@under(PLAIN_SIZES)
 @released
 def jaccard_links(
         docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -750,6 +751,7 @@ def jaccard_links(
     return join.linked(join.roots(), False)
 
 
+@under(PLAIN_SIZES)
 @released
 def jaccard_components(
         docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, num: int = 80, den: int = 100,
